@@ -1 +1,163 @@
-"""Placeholder."""
+"""Facility names and the entries of index files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clearcharge import fixed_values as fv
+from clearcharge.functions import names, similarity, web
+from clearcharge.operators import matching
+from clearcharge.plans import audit
+from clearcharge.registry import duck, views
+from clearcharge.registry.core import register
+from clearcharge.registry.reg_text import project
+
+c = F.col
+project("P20_clean_name", "d_entries", {"n": "location_name || ' & Sons-' || index_id"}, {"cleaned": (lambda: names.clean_name(c("n")), duck.clean_name("n"))}, "entry_no")
+project("P21_match_tokens", "d_entries", {"n": "location_name"}, {"words": (lambda: names.match_text(c("n")), f"array_to_string({duck.match_tokens('n')}, ' ')")}, "entry_no")
+_HOST = "CASE page_id % 3 WHEN 0 THEN 'WWW.' ELSE '' END || regexp_replace(regexp_replace(url, '^https?://', ''), '[/?#].*$', '')"
+_APEX = "array_to_string(string_split(regexp_replace(lower(h), '^www\\.', ''), '.')[-2:], '.')"
+project("P23_hosts_to_try", "pages", {"h": f"lower({_HOST})"},
+        {"apex": (lambda: web.registrable(c("h")), _APEX),
+         "hosts": (lambda: F.array_join(web.hosts_to_try(c("h")), " "), f"h || CASE WHEN {_APEX} = regexp_replace(h, '^www\\.', '') THEN '' ELSE ' ' || {_APEX} END")}, "page_id")
+
+_SEED_NAME = ("CASE s_suppkey % 6 WHEN 0 THEN 'HCA HOUSTON ' WHEN 1 THEN 'St. Luke''s ' WHEN 2 THEN 'Baylor Scott & White ' ELSE 'The ' END || name")
+
+
+def _domains(x: str) -> str:
+    cleaned = duck.clean_name(x)
+    seeds = ", ".join(f"CASE WHEN regexp_matches({cleaned}, '{p}') THEN {duck.text_list(d)} ELSE []::VARCHAR[] END" for p, d in fv.SYSTEM_DOMAINS)
+    toks = f"list_filter(string_split({cleaned}, ' '), lambda w: NOT list_contains({duck.text_list(('',) + fv.COMPANY_SUFFIXES)}, w))"
+    bare = f"list_filter({toks}, lambda w: NOT list_contains({duck.text_list(fv.HOSPITAL_WORDS)}, w))"
+    stem = lambda t: f"lower(array_to_string({t}, ''))"
+    guesses = f"[{stem(bare)} || '.com', {stem(bare)} || '.org'] || CASE WHEN {stem(toks)} <> {stem(bare)} THEN [{stem(toks)} || '.com', {stem(toks)} || '.org'] ELSE []::VARCHAR[] END"
+    return f"array_to_string(flatten([{seeds}]) || {guesses}, ' ')"
+
+
+project("P24_J19_domain_candidates", "d_raw_hospitals", {"n": _SEED_NAME}, {"domains": (lambda: F.array_join(names.domain_candidates(c("n")), " "), _domains("n"))}, "ccn")
+_LUHN = ("(SELECT sum(CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN d * 2 - 9 ELSE d * 2 END) FROM (SELECT i, CAST(substr(reverse('80840' || x), i + 1, 1) AS INT) AS d FROM range(15) r(i))) % 10 = 0")
+project("P25_npi_valid", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)"}, {"valid": (lambda: web.npi_valid(c("x")), _LUHN)}, "o_orderkey")
+project("P26_npi_in_file_name", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)", "u": "'https://x.org/1124137054/741109643-' || CAST(1000000000 + o_orderkey * 7 AS STRING) || '_a_standardcharges.csv?z=1124137054'"},
+        {"npi": (lambda: web.npi_in(c("u")), f"CASE WHEN {_LUHN} THEN x END")}, "o_orderkey")
+project("P27_same_place", "d_raw_hospitals", {"a": "address", "ci": "city", "z": "CASE WHEN length(zip) = 5 THEN zip ELSE '' END", "b": "CAST(100 + s_suppkey % 2 * (s_suppkey % 900) AS STRING) || ' Elsewhere'", "cj": "CASE WHEN s_nationkey % 2 = 0 THEN upper(city) ELSE 'x' END", "y": "CAST(10000 + s_suppkey * 13 AS STRING)"},
+        {"number": (lambda: names.street_number(c("a")), "regexp_extract(a, '^[0-9]+')"),
+         "same": (lambda: names.same_place(c("a"), c("ci"), c("z"), c("b"), c("cj"), c("y")), f"regexp_extract(a, '^[0-9]+') = regexp_extract(b, '^[0-9]+') AND ({duck.clean_name('ci')} = {duck.clean_name('cj')} OR z = y)")}, "ccn")
+
+# --- aliases, shared words, matching ------------------------------------------------------
+_SUFFIX = "regexp_extract({x}, '\\(([^)]*)\\)\\s*$', 1)"
+_HAS_SUFFIX = "regexp_matches({x}, '\\([^)]*\\)\\s*$')"
+_SUF = lambda x: duck.clean_name(_SUFFIX.format(x=x))
+ALIASED = f"""{views.with_views('d_raw_hospitals', 'd_entries')},
+suffixes AS (SELECT index_id, {_SUF('location_name')} AS suffix, count(*) AS n FROM d_entries WHERE {_HAS_SUFFIX.format(x='location_name')} GROUP BY ALL),
+named AS (SELECT index_id, entry_no, location_name AS alias FROM d_entries UNION
+          SELECT index_id, entry_no, trim(regexp_replace(location_name, '^.* d/b/a ', '')) FROM d_entries WHERE contains(location_name, ' d/b/a ')),
+aliases AS (SELECT * FROM named UNION SELECT n.index_id, n.entry_no, trim(regexp_replace(n.alias, '\\s*\\([^)]*\\)\\s*$', '')) FROM named n JOIN suffixes s ON s.index_id = n.index_id AND s.n >= 2
+            AND {_HAS_SUFFIX.format(x='n.alias')} AND s.suffix = {_SUF('n.alias')}),
+alias_words AS (SELECT index_id, entry_no, alias, {duck.match_tokens('alias')} AS words FROM aliases),
+common AS (SELECT w.index_id, w.token FROM (SELECT index_id, entry_no, alias, unnest(list_distinct(words)) AS token FROM alias_words) w
+           GROUP BY w.index_id, w.token HAVING count(*) * 2 >= (SELECT count(*) FROM d_entries e WHERE e.index_id = w.index_id))"""
+MATCHED = f"""{ALIASED},
+targets AS (SELECT ccn, 'N' || s_nationkey AS index_id, {duck.match_tokens('name')} AS words FROM d_raw_hospitals),
+target_rare AS (SELECT t.ccn, t.index_id, token FROM (SELECT ccn, index_id, unnest(words) AS token FROM targets) t WHERE NOT EXISTS (SELECT 1 FROM common k WHERE k.index_id = t.index_id AND k.token = t.token)),
+rare_lists AS (SELECT ccn, list(DISTINCT token) AS rare FROM target_rare GROUP BY ccn),
+pairs AS (SELECT t.ccn, a.entry_no, a.alias, {duck.sorted_text('t.words')} AS u, {duck.sorted_text('a.words')} AS v, coalesce(list_has_any(r.rare, a.words), false) AS shares, r.rare IS NOT NULL AS has_rare,
+          list_sort(list_distinct(t.words)) = list_sort(list_distinct(a.words)) AND len(t.words) > 0 AS same, regexp_matches(a.alias, '(?i)\\bER 24/7\\b|\\bEMERGENCY CENTER\\b|\\bFREESTANDING\\b') AS er
+          FROM targets t JOIN alias_words a ON a.index_id = t.index_id LEFT JOIN rare_lists r ON r.ccn = t.ccn),
+per_entry AS (SELECT ccn, entry_no, max({duck.ratio('u', 'v')}) AS best, bool_or(shares) AS shares, any_value(has_rare) AS has_rare, bool_or(same) AS same, bool_and(er) AS er FROM pairs GROUP BY ccn, entry_no),
+exact AS (SELECT ccn, min(entry_no) AS exact_no FROM per_entry WHERE same GROUP BY ccn HAVING count(*) = 1),
+scored AS (SELECT p.ccn, p.entry_no, CASE WHEN x.exact_no = p.entry_no THEN 100.0 WHEN p.has_rare AND NOT p.shares THEN least(p.best, 30) ELSE p.best END AS score, coalesce(x.exact_no = p.entry_no, false) AS is_exact
+           FROM per_entry p LEFT JOIN exact x ON x.ccn = p.ccn WHERE NOT p.er),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ccn ORDER BY score DESC, entry_no) AS place, max(score) OVER (PARTITION BY ccn) AS top FROM scored),
+candidates AS (SELECT *, row_number() OVER (PARTITION BY ccn ORDER BY place) AS nth FROM ranked WHERE place <= 5 AND score >= 40 AND score >= top - 25),
+decided AS (SELECT h.ccn, CASE WHEN a.ccn IS NULL THEN 'none' WHEN a.is_exact OR (a.score >= 90 AND a.score - coalesce(b.score, 0) >= 10) THEN 'matched' ELSE 'ambiguous' END AS verdict, a.entry_no AS first_no, a.score,
+            (SELECT count(*) FROM candidates k WHERE k.ccn = h.ccn) AS n_candidates
+            FROM d_raw_hospitals h LEFT JOIN candidates a ON a.ccn = h.ccn AND a.nth = 1 LEFT JOIN candidates b ON b.ccn = h.ccn AND b.nth = 2)"""
+
+
+@register("P22_entry_aliases", f"{ALIASED} SELECT index_id, entry_no, string_agg(alias, '|' ORDER BY alias) AS aliases FROM aliases GROUP BY ALL")
+def aliases(spark, folder):
+    (entries,) = views.load(spark, folder, "d_entries")
+    return matching.entry_aliases(entries).select("index_id", "entry_no", F.array_join(F.array_sort("aliases"), "|").alias("aliases"))
+
+
+@register("A7_shared_suffixes", f"{ALIASED} SELECT index_id, suffix FROM suffixes WHERE n >= 2")
+def suffixes(spark, folder):
+    (entries,) = views.load(spark, folder, "d_entries")
+    return matching.shared_suffixes(entries)
+
+
+@register("A8_common_tokens", f"{ALIASED} SELECT index_id, token FROM common")
+def common(spark, folder):
+    (entries,) = views.load(spark, folder, "d_entries")
+    return matching.common_tokens(matching.entry_aliases(entries))
+
+
+def matched(spark, folder):
+    hospitals, entries = views.load(spark, folder, "d_raw_hospitals", "d_entries")
+    asked = hospitals.withColumn("index_id", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")))
+    return matching.match_entries(asked, entries)
+
+
+@register("D6_J8_W6_match_entry", f"{MATCHED} SELECT ccn, verdict, CASE WHEN verdict = 'matched' THEN first_no END AS entry_no, round(score, 6) AS score, n_candidates FROM decided")
+def match(spark, folder):
+    return matched(spark, folder).select("ccn", "verdict", "entry_no", F.round("score", 6).alias("score"), F.size("candidates").cast("bigint").alias("n_candidates"))
+
+
+@register("F10_F11_candidates", f"{MATCHED} SELECT ccn, entry_no, round(score, 6) AS score FROM candidates")
+def candidates(spark, folder):
+    return matched(spark, folder).select("ccn", F.inline("candidates")).select("ccn", "entry_no", F.round("score", 6).alias("score"))
+
+
+_REGISTRY = """SELECT DISTINCT npi, address, city, zip FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN '1124137054' ELSE CAST(1234567890 + s_suppkey AS STRING) END AS npi,
+    CASE WHEN s_suppkey % 3 = 0 THEN '100 RESEARCH' ELSE CAST(100 + s_suppkey % 900 AS STRING) || ' Main Street' END AS address, 'CITY OF N' || CAST(s_nationkey * (s_suppkey % 3) AS STRING) AS city, '00000' AS zip FROM supplier WHERE s_suppkey % 9 <> 4)"""
+_FIRST_REGISTRY = f"SELECT npi, min(address) AS address, min(city) AS city, min(zip) AS zip FROM ({_REGISTRY}) AS r GROUP BY npi"
+
+
+@register("D7_J10_npi_tie_break", f"""{MATCHED}, registry AS ({_FIRST_REGISTRY}),
+looked AS (SELECT k.ccn, k.entry_no, CASE WHEN regexp_matches(e.mrf_url, '741109643-1124137054') THEN '1124137054' WHEN {_LUHN.replace('x)', "regexp_extract(e.mrf_url, '/([0-9]{{10}})_', 1))").replace('{{', '{').replace('}}', '}')}
+               AND regexp_matches(e.mrf_url, '/[0-9]{{10}}_') THEN regexp_extract(e.mrf_url, '/([0-9]{{10}})_', 1) END AS npi
+           FROM candidates k JOIN decided d ON d.ccn = k.ccn AND d.verdict = 'ambiguous' JOIN d_entries e ON e.entry_no = k.entry_no),
+hits AS (SELECT l.*, r.npi IS NOT NULL AS answered, coalesce(regexp_extract(h.address, '^[0-9]+') = regexp_extract(r.address, '^[0-9]+') AND ({duck.clean_name('h.city')} = {duck.clean_name('r.city')} OR r.zip = h.zip), false) AS hit
+         FROM looked l JOIN d_raw_hospitals h ON h.ccn = l.ccn LEFT JOIN registry r ON r.npi = l.npi)
+SELECT ccn, CASE WHEN count(*) FILTER (WHERE hit) = 1 THEN max(entry_no) FILTER (WHERE hit) END AS entry_no,
+    CASE WHEN count(npi) = 0 THEN 'no NPI in the filenames' WHEN count(*) FILTER (WHERE hit) = 1 THEN 'settled' WHEN count(*) FILTER (WHERE hit) > 1 THEN count(*) FILTER (WHERE hit) || ' candidates'' NPIs are registered at the hospital''s address'
+         WHEN count(*) FILTER (WHERE answered) = 0 THEN 'the NPI registry did not answer' ELSE 'no candidate''s NPI is registered at the hospital''s address' END AS why FROM hits GROUP BY ccn""".replace("{{10}}", "{10}"))
+def tie_break(spark, folder):
+    ambiguous = matched(spark, folder).filter("verdict = 'ambiguous'")
+    registry = spark.sql(_FIRST_REGISTRY)
+    said = matching.npi_tie_break(ambiguous, registry)
+    return said.select("ccn", "entry_no", F.when(F.col("why").startswith("NPI "), "settled").otherwise(F.col("why")).alias("why"))
+
+
+_SITE = """SELECT index_id, CAST(row_number() OVER (PARTITION BY index_id ORDER BY entry_no) AS BIGINT) AS entry_no,
+    'https://site.example/' || CASE WHEN entry_no % 3 = 0 THEN 'shoppable-' ELSE '' END || replace(lower(location_name), ' ', '-') || '.csv?x=' || CAST(entry_no AS STRING) AS url, 'https://site.example/' AS page
+    FROM d_entries WHERE entry_no % 4 = 0"""
+
+
+@register("D8_F9_entry_from_site", f"""{views.with_views('d_raw_hospitals', 'd_entries')}, files AS ({_SITE}), kept AS (SELECT *, count(*) OVER (PARTITION BY index_id) AS n FROM files WHERE NOT contains(url, 'shoppable'))
+    SELECT h.ccn, CASE WHEN k.n IS NULL THEN 'none' ELSE 'one' END AS files, k.url AS mrf_url FROM d_raw_hospitals h JOIN (SELECT DISTINCT index_id FROM files) f ON f.index_id = 'N' || h.s_nationkey
+    LEFT JOIN kept k ON k.index_id = f.index_id WHERE k.n IS NULL OR k.n = 1""")
+def from_site(spark, folder):
+    hospitals, entries = views.load(spark, folder, "d_raw_hospitals", "d_entries")
+    entries.createOrReplaceTempView("d_entries_given")
+    files = spark.sql(_SITE.replace("FROM d_entries", "FROM d_entries_given"))
+    asked = hospitals.select("ccn", "name", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("index_id"))
+    said = matching.entry_from_site(asked, files).filter(~F.col("step").contains("files linked"))
+    return said.select("ccn", F.when(F.col("verdict") == "none", "none").otherwise("one").alias("files"), "mrf_url")
+
+
+@register("J16_best_external", f"""{views.with_views('d_raw_hospitals', 'd_entries')},
+ours AS (SELECT ccn, {duck.sorted_text(duck.match_tokens('name'))} AS u FROM d_raw_hospitals), theirs AS (SELECT entry_no, mrf_url, {duck.sorted_text(duck.match_tokens('location_name'))} AS v FROM d_entries),
+scored AS (SELECT ccn, entry_no, {duck.ratio('u', 'v')} AS score FROM ours CROSS JOIN theirs WHERE 200 * least(length(u), length(v)) >= 85 * (length(u) + length(v)))
+SELECT ccn, round(score, 6) AS score, entry_no AS row_no FROM (SELECT *, row_number() OVER (PARTITION BY ccn ORDER BY score DESC, entry_no) AS n FROM scored WHERE score >= 85) WHERE n = 1""")
+def external(spark, folder):
+    hospitals, entries = views.load(spark, folder, "d_raw_hospitals", "d_entries")
+    listed = entries.select(F.col("entry_no").alias("row_no"), F.col("location_name").alias("name"), F.col("mrf_url").alias("url"))
+    return matching.best_external(hospitals, listed).select("ccn", F.round("score", 6).alias("score"), "row_no")
+
+
+@register("A13_external_agreement", """SELECT count(*) AS overlap, count(*) FILTER (WHERE page_id % 3 = 0 OR regexp_matches(url, '//([^/]*\\.)?example\\.com')) AS agree,
+    count(*) FILTER (WHERE NOT (page_id % 3 = 0 OR regexp_matches(url, '//([^/]*\\.)?example\\.com'))) AS differ FROM pages""")
+def agreement(spark, folder):
+    (pages,) = views.load(spark, folder, "pages")
+    return audit.external_agreement(pages.select("url", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.lit("https://www.example.com/x")).alias("mrf_url")))
