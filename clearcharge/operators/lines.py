@@ -43,17 +43,6 @@ def charge_lines(charges: DataFrame, items: DataFrame, item_codes: DataFrame, wa
                 F.lit(False).alias("class_from_review")))
 
 
-def other_codes_sql(spark, item_codes_view: str, types=fv.SERVICE_CODE_TYPES) -> DataFrame:
-    """The same "other codes" as a correlated sub-query in Spark SQL; Catalyst turns it into a join."""
-    listed = ", ".join(f"'{t}'" for t in types)
-    return spark.sql(f"""
-        SELECT ic.extraction_id, ic.item_id, ic.code_type, ic.code,
-               (SELECT array_sort(collect_list(concat_ws(' ', o.code_type, o.code))) FROM {item_codes_view} o
-                 WHERE o.extraction_id = ic.extraction_id AND o.item_id = ic.item_id
-                   AND NOT (o.code_type = ic.code_type AND o.code = ic.code)) AS other_codes
-        FROM {item_codes_view} ic WHERE ic.code_type IN ({listed})""")
-
-
 def apply_review(lines: DataFrame, answers: DataFrame) -> DataFrame:
     """Fill in a billing class a reviewer confirmed for this hospital's line. The file's own
     value wins, and the answer must still fit the line's description.

@@ -35,7 +35,7 @@ def _domains(x: str) -> str:
 
 
 project("P24_J19_domain_candidates", "d_raw_hospitals", {"n": _SEED_NAME}, {"domains": (lambda: F.array_join(names.domain_candidates(c("n")), " "), _domains("n"))}, "ccn")
-_LUHN = ("(SELECT sum(CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN d * 2 - 9 ELSE d * 2 END) FROM (SELECT i, CAST(substr(reverse('80840' || x), i + 1, 1) AS INT) AS d FROM range(15) r(i))) % 10 = 0")
+_LUHN = ("(SELECT sum(CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN d * 2 - 9 ELSE d * 2 END) FROM (SELECT i, try_cast(substr(reverse('80840' || x), i + 1, 1) AS INT) AS d FROM range(15) r(i))) % 10 = 0")
 project("P25_npi_valid", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)"}, {"valid": (lambda: web.npi_valid(c("x")), _LUHN)}, "o_orderkey")
 project("P26_npi_in_file_name", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)", "u": "'https://x.org/1124137054/741109643-' || CAST(1000000000 + o_orderkey * 7 AS STRING) || '_a_standardcharges.csv?z=1124137054'"},
         {"npi": (lambda: web.npi_in(c("u")), f"CASE WHEN {_LUHN} THEN x END")}, "o_orderkey")
@@ -114,14 +114,14 @@ _FIRST_REGISTRY = f"SELECT npi, min(address) AS address, min(city) AS city, min(
 
 
 @register("D7_J10_npi_tie_break", f"""{MATCHED}, registry AS ({_FIRST_REGISTRY}),
-looked AS (SELECT k.ccn, k.entry_no, CASE WHEN regexp_matches(e.mrf_url, '741109643-1124137054') THEN '1124137054' WHEN {_LUHN.replace('x)', "regexp_extract(e.mrf_url, '/([0-9]{{10}})_', 1))").replace('{{', '{').replace('}}', '}')}
-               AND regexp_matches(e.mrf_url, '/[0-9]{{10}}_') THEN regexp_extract(e.mrf_url, '/([0-9]{{10}})_', 1) END AS npi
+found AS (SELECT k.ccn, k.entry_no, regexp_extract(e.mrf_url, '([0-9]{{10}})_', 1) AS x
            FROM candidates k JOIN decided d ON d.ccn = k.ccn AND d.verdict = 'ambiguous' JOIN d_entries e ON e.entry_no = k.entry_no),
+looked AS (SELECT ccn, entry_no, CASE WHEN length(x) = 10 AND {_LUHN} THEN x END AS npi FROM found),
 hits AS (SELECT l.*, r.npi IS NOT NULL AS answered, coalesce(regexp_extract(h.address, '^[0-9]+') = regexp_extract(r.address, '^[0-9]+') AND ({duck.clean_name('h.city')} = {duck.clean_name('r.city')} OR r.zip = h.zip), false) AS hit
          FROM looked l JOIN d_raw_hospitals h ON h.ccn = l.ccn LEFT JOIN registry r ON r.npi = l.npi)
 SELECT ccn, CASE WHEN count(*) FILTER (WHERE hit) = 1 THEN max(entry_no) FILTER (WHERE hit) END AS entry_no,
     CASE WHEN count(npi) = 0 THEN 'no NPI in the filenames' WHEN count(*) FILTER (WHERE hit) = 1 THEN 'settled' WHEN count(*) FILTER (WHERE hit) > 1 THEN count(*) FILTER (WHERE hit) || ' candidates'' NPIs are registered at the hospital''s address'
-         WHEN count(*) FILTER (WHERE answered) = 0 THEN 'the NPI registry did not answer' ELSE 'no candidate''s NPI is registered at the hospital''s address' END AS why FROM hits GROUP BY ccn""".replace("{{10}}", "{10}"))
+         WHEN count(*) FILTER (WHERE answered) = 0 THEN 'the NPI registry did not answer' ELSE 'no candidate''s NPI is registered at the hospital''s address' END AS why FROM hits GROUP BY ccn""")
 def tie_break(spark, folder):
     ambiguous = matched(spark, folder).filter("verdict = 'ambiguous'")
     registry = spark.sql(_FIRST_REGISTRY)
