@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clearcharge import fixed_values as fv
@@ -41,3 +43,29 @@ def admission_stream(attempts: DataFrame, limit: int) -> DataFrame:
             ["address", "attempt_id", "ts", "admitted", "wait_seconds"]]
 
     return attempts.groupBy("address").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def admission_batch(attempts: DataFrame, limit: int) -> DataFrame:
+    """The same decisions over landed attempts.
+
+    After an hour without attempts nothing is remembered, so an address falls into stretches
+    that are decided independently. Rows stream through each task in order; a stretch is
+    never held, only its last admitted times."""
+    per_address = Window.partitionBy("address").orderBy("ts", "attempt_id")
+    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(per_address)) >= fv.ADMISSION_WINDOW_SECONDS * 1_000_000
+    stretched = attempts.withColumn("stretch", F.sum(F.when(gap, 1).otherwise(0)).over(per_address.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = stretched.repartition("address", "stretch").sortWithinPartitions("address", "stretch", "ts", "attempt_id")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = None, []
+        for frame in frames:
+            seconds = frame["ts"].astype("datetime64[us]").astype("int64") / 1e6
+            said = []
+            for row_key, attempt, now in zip(zip(frame["address"], frame["stretch"]), frame["attempt_id"], seconds):
+                if row_key != key:
+                    key, recent = row_key, []
+                decided, recent = admit([(attempt, now)], recent, limit)
+                said += decided
+            yield frame[["address", "attempt_id", "ts"]].assign(admitted=[a for a, _ in said], wait_seconds=[w for _, w in said])
+
+    return ordered.mapInPandas(fold, OUTPUT)
