@@ -12,9 +12,16 @@ from clearcharge import fixed_values as fv
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+# Every character a text trim removes.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(value: Column) -> Column:
+    return F.trim(value, F.lit(BLANKS))
+
+
 def blank_to_null(value: Column) -> Column:
-    trimmed = F.regexp_replace(value, r"^\s+|\s+$", "")
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(stripped(value), F.lit(""))
 
 
 def enum_text(value: Column) -> Column:
@@ -27,8 +34,9 @@ def norm_header(header: Column) -> Column:
 
 
 def _price_text(value: Column) -> Column:
-    text = F.trim(value)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\$", ""), ",", ""))
+    text = stripped(value)
+    bare = F.when(text.startswith("$"), F.substring(text, 2, 1_000_000)).otherwise(text)
+    return stripped(F.replace(bare, F.lit(","), F.lit("")))
 
 
 def money(value: Column) -> Column:
@@ -38,24 +46,26 @@ def money(value: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """The text in quotes, the way a note shows it: double quotes only around an apostrophe."""
-    escaped = F.regexp_replace(text, r"\\", r"\\\\")
-    for raw, shown in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
-        escaped = F.regexp_replace(escaped, raw, shown)
+    escaped = text
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
     plain = F.concat(F.lit("'"), escaped, F.lit("'"))
     double = F.concat(F.lit('"'), escaped, F.lit('"'))
-    both = F.concat(F.lit("'"), F.regexp_replace(escaped, "'", r"\\'"), F.lit("'"))
+    both = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
     has_single, has_double = text.contains("'"), text.contains('"')
     return F.when(has_single & ~has_double, double).when(has_single, both).otherwise(plain)
 
 
-def price_note(cells: list[tuple[str, Column]]) -> Column:
-    """`column='text'` for each price cell that holds text instead of a number."""
+def price_note(cells: list[tuple[str, Column]], parsed: list[Column] | None = None) -> Column:
+    """`column='text'` for each price cell that holds text instead of a number. `parsed` are
+    the cells' prices where they are columns already."""
+    prices = parsed if parsed is not None else [money(cell) for _, cell in cells]
     notes = [
         F.when(
-            blank_to_null(cell).isNotNull() & money(cell).isNull(),
-            F.concat(F.lit(f"{name}="), quoted(F.substring(F.trim(cell), 1, fv.NOTE_TEXT_LIMIT))),
+            price.isNull() & blank_to_null(cell).isNotNull(),
+            F.concat(F.lit(f"{name}="), quoted(F.substring(stripped(cell), 1, fv.NOTE_TEXT_LIMIT))),
         )
-        for name, cell in cells
+        for (name, cell), price in zip(cells, prices)
     ]
     joined = F.concat_ws("; ", *notes)
     return F.when(joined != "", joined)

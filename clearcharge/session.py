@@ -13,11 +13,13 @@ BROADCAST_ROWS = 200_000
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "clearcharge") -> SparkSession:
+    # Python-side query contexts cost more than building the plans they annotate.
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
