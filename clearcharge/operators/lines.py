@@ -20,24 +20,27 @@ def service_codes(services: DataFrame) -> DataFrame:
 def matched_items(item_codes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Items that carry a wanted code, with the matched code and the item's other codes.
 
-    The code filter comes first; the full code list is then gathered only for items that
-    matched (a semi-join), once per item instead of once per line."""
-    matched = item_codes.filter(F.col("code_type").isin(*fv.SERVICE_CODE_TYPES)).join(wanted, "code")
-    hit = matched.select("extraction_id", "item_id").distinct()
-    all_codes = item_codes.join(hit, ["extraction_id", "item_id"], "left_semi").groupBy("extraction_id", "item_id").agg(
-        F.array_sort(F.collect_list(F.struct("code_type", "code"))).alias("all_codes"))
+    One pass over the codes: a row learns whether its code is wanted (the wanted list is a
+    catalog's, joined map-side when small), each item's codes meet once, and items without a
+    wanted code are dropped there."""
+    asked = wanted.select("code").distinct().withColumn("asked", F.lit(True))
+    known = item_codes.join(asked, "code", "left").withColumn(
+        "asked", F.coalesce("asked", F.lit(False)) & F.col("code_type").isin(*fv.SERVICE_CODE_TYPES))
+    per_item = known.groupBy("extraction_id", "item_id").agg(
+        F.max("asked").alias("any_asked"), F.array_sort(F.collect_list(F.struct("code_type", "code", "asked"))).alias("all_codes")).filter("any_asked")
+    hits = per_item.select("extraction_id", "item_id", "all_codes", F.inline(F.filter("all_codes", lambda c: c["asked"]))).drop("asked")
     rest = F.filter("all_codes", lambda c: ~((c["code_type"] == F.col("code_type")) & (c["code"] == F.col("code"))))
-    return matched.join(all_codes, ["extraction_id", "item_id"]).withColumn(
-        "other_codes", F.transform(rest, lambda c: F.concat_ws(" ", c["code_type"], c["code"]))).drop("all_codes")
+    listed = F.transform(rest, lambda c: F.concat_ws(" ", c["code_type"], c["code"]))
+    return hits.withColumn("other_codes", listed).drop("all_codes").join(wanted, "code")
 
 
 def charge_lines(charges: DataFrame, items: DataFrame, item_codes: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row per (charge, matched code). `wanted` has code, service_id and setting_expected;
     an item with two matching codes yields two lines."""
     found = matched_items(item_codes, wanted)
-    described = items.select("extraction_id", "item_id", "description")
+    described = found.join(items.select("extraction_id", "item_id", "description"), ["extraction_id", "item_id"])
     return (
-        charges.join(found, ["extraction_id", "item_id"]).join(described, ["extraction_id", "item_id"])
+        charges.join(described, ["extraction_id", "item_id"])
         .select("extraction_id", "service_id", "setting_expected", "code_type", "code", "other_codes", "description", "setting",
                 "billing_class", "modifiers", "gross", "discounted_cash", "minimum", "maximum", "source_ref", "off_template_note",
                 F.lit(False).alias("class_from_review")))

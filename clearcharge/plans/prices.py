@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clearcharge import fixed_values as fv
 from clearcharge.functions import billing_codes, text, web
 from clearcharge.operators import latest, lines, places, resolve, verdicts
+from clearcharge.session import materialise
 
 
 @dataclass(frozen=True)
@@ -65,14 +66,14 @@ def hospital_prices(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of
     could not be read or were past a cap. Lines are found once per extraction and service,
     however many ZIPs or hospitals share the file."""
     with_files = located_files(store, hospitals, as_of).withColumn("shown_name", text.short_name(F.col("name")))
-    asked = wanted.select("ccn", "service_id").distinct().join(with_files, "ccn")
+    asked = materialise(wanted.select("ccn", "service_id").distinct().join(with_files, "ccn"), "asked")
     needed = asked.filter(F.col("extraction_id").isNotNull() & F.col("located")).select("extraction_id").distinct()
     services = store.services.join(wanted.select(F.col("service_id").alias("id")).distinct(), "id", "left_semi")
     found = lines.charge_lines(
         store.charges.join(needed, "extraction_id", "left_semi"), store.items.join(needed, "extraction_id", "left_semi"),
         store.item_codes.join(needed, "extraction_id", "left_semi"), lines.service_codes(services))
     per_hospital = asked.filter("located").select("ccn", "service_id", "extraction_id", F.col("shown_name").alias("hospital")).join(found, ["extraction_id", "service_id"])
-    reviewed = lines.apply_review(per_hospital, store.reviews)
+    reviewed = materialise(lines.apply_review(per_hospital, store.reviews), "lines")  # read twice: verdicts and shown lines
     summary = verdicts.summarise(reviewed, ["ccn", "service_id"])
     # A few lines travel with each result; all of them, when asked for, stay rows of `all_lines`.
     collected = verdicts.collected_lines(reviewed, ["ccn", "service_id"], shown if shown is not None else fv.SHOWN_LINES)
@@ -116,12 +117,12 @@ def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed:
 
     Distinct queries are resolved once, distinct ZIPs located once, each (hospital, service)
     is answered once, and the answers are joined back to the searches."""
-    resolutions = resolve.resolve(searches.select("query"), store.services)
+    resolutions = materialise(resolve.resolve(searches.select("query"), store.services), "resolutions")
     ranked = places.nearest_hospitals(store.hospitals, store.zcta, searches.select("zip"), limit)
     chosen = resolutions.filter(F.col("service_id").isNotNull()).select("query", "service_id")
     asked = searches.select("query", "zip").distinct().join(chosen, "query").select("service_id", F.col("zip").alias("query_zip")).distinct()
     near = ranked.select("query_zip", "rank", "ccn", "distance_km", "approximate")
-    places_asked = asked.join(near, "query_zip")
+    places_asked = materialise(asked.join(near, "query_zip"), "places-asked")
     answers = hospital_prices(store, places_asked, store.hospitals, as_of, failed=failed)
     results = places_asked.join(answers, ["ccn", "service_id"]).withColumn("distance_km", F.round("distance_km", 1))
     return resolutions, results
@@ -130,6 +131,7 @@ def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed:
 def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column) -> DataFrame:
     """One JSON payload per search: ok with results and pairs, or the candidates to choose from."""
     resolutions, results = prices(store, searches, limit, as_of)
+    results = materialise(results, "results")
     pairs = verdicts.priced_pairs(results, ["query_zip", "service_id"], limit=limit).select("query_zip", "service_id", F.col("pairs").alias("comparisons"), "unpriced")
     for_reader = F.struct(
         "ccn", "name", "distance_km", "approximate", "hospital_type", "url", "file_date", "verdict", "detail", "line_count",
