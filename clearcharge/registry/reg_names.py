@@ -161,3 +161,34 @@ def external(spark, folder):
 def agreement(spark, folder):
     (pages,) = views.load(spark, folder, "pages")
     return audit.external_agreement(pages.select("url", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.lit("https://www.example.com/x")).alias("mrf_url")))
+
+
+# --- the discovery chain over landed logs -----------------------------------------------
+@register("D18_stored_answers", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'HOUSEHOLD' ELSE c_mktsegment END = c_mktsegment AND c_custkey % 4 <> 0 AS known FROM customer""")
+def stored_answers(spark, folder):
+    from clearcharge.plans import discovery
+
+    (customer,) = views.load(spark, folder, "customer")
+    asked = customer.select("c_custkey", F.sha2(F.col("c_custkey").cast("string"), 256).alias("key"), F.array("c_mktsegment").alias("candidates"))
+    told = asked.filter("c_custkey % 4 <> 0").select("key", F.when(F.col("c_custkey") % 3 == 0, F.lit("HOUSEHOLD")).otherwise(F.element_at("candidates", 1)).alias("choice"))
+    return discovery.stored_answer(asked, told, F.col("candidates")).select("c_custkey", "known")
+
+
+# The chain joins guessed domains, index texts, links and probes; tests pin each way it can go.
+@register("D16_locate")
+def locate(spark, folder):
+    from clearcharge.plans import discovery
+    from clearcharge.sources import pages as page_links
+
+    hospitals, lines, landed, entries = views.load(spark, folder, "d_raw_hospitals", "d_index_lines", "d_pages", "d_entries")
+    texts = lines.groupBy("index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("body"))
+    nations = hospitals.select("name", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("index_id"))
+    guessed = nations.select("index_id", F.explode(names.domain_candidates(F.col("name"))).alias("domain")).dropDuplicates(["domain"])
+    kind = F.pmod(F.xxhash64("domain"), F.lit(4))
+    fetches = guessed.join(texts, "index_id").select(
+        "domain", F.lit(0).alias("try_no"), F.col("domain").alias("host"), F.when(kind == 0, 404).when(kind == 1, 403).otherwise(200).alias("status"), F.lit(None).cast("string").alias("error"),
+        F.when(kind > 1, F.col("body")).alias("body"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("https://"), F.col("domain"), F.lit("/cms-hpt.txt")).alias("final_url"))
+    none = F.lit(None).cast("string")
+    probes = entries.select(F.col("mrf_url").alias("url"), F.when(F.col("entry_no") % 6 == 0, 404).otherwise(200).alias("status"), none.alias("error"), F.lit("text/csv").alias("content_type"),
+                            none.alias("disposition"), F.lit("a,b").alias("head"), F.lit(1).cast("bigint").alias("size_bytes"), none.alias("last_modified"), none.alias("etag")).dropDuplicates(["url"])
+    return discovery.locate(hospitals.drop("s_suppkey", "s_nationkey"), fetches, page_links.extract_links(landed), spark.sql(_FIRST_REGISTRY), probes).select("ccn", "ok", "method", "domain", "mrf_url", "reason")
