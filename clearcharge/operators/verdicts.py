@@ -176,23 +176,24 @@ def pair_list(results: Column) -> Column:
     return F.transform(flat, lambda p: F.struct(p["a"], p["b"], p["said"]["verdict"].alias("verdict"), p["said"]["detail"].alias("detail")))
 
 
-def priced_pairs(results: DataFrame, keys: Sequence[str], rank: str = "rank", limit: int = 10) -> DataFrame:
-    """Per key: `hospitals` in rank order, `pairs` between the priced ones, `unpriced` names.
-
-    `results` holds at most `limit` ranked hospitals per key; rows beyond it are refused by
-    the filter's own definition of a search, not silently dropped pairs."""
+def _in_order(results: DataFrame, keys: Sequence[str], rank: str) -> DataFrame:
+    """Per key, its hospitals in rank order. A key is one search, so its list is as long as
+    the search's own limit of nearest hospitals."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("at"), F.struct("ccn", "name", "headline").alias("hospital"))))
-    grouped = results.filter(F.col(rank) <= limit).groupBy(*keys).agg(F.transform(listed, lambda s: s["hospital"]).alias("hospitals"))
+    return results.groupBy(*keys).agg(F.transform(listed, lambda s: s["hospital"]).alias("hospitals"))
+
+
+def priced_pairs(results: DataFrame, keys: Sequence[str], rank: str = "rank") -> DataFrame:
+    """Per key: `hospitals` in rank order, `pairs` between the priced ones, `unpriced` names."""
+    grouped = _in_order(results, keys, rank)
     priced = F.filter("hospitals", lambda h: h["headline"].isNotNull())
     unpriced = F.transform(F.filter("hospitals", lambda h: h["headline"].isNull()), lambda h: h["name"])
     return grouped.select(*keys, "hospitals", pair_list(priced).alias("pairs"), unpriced.alias("unpriced"))
 
 
-def pairs(results: DataFrame, keys: Sequence[str], rank: str = "rank", limit: int = 10) -> DataFrame:
+def pairs(results: DataFrame, keys: Sequence[str], rank: str = "rank") -> DataFrame:
     """One row per pair, priced or not, nearest first."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("at"), F.struct("ccn", "name", "headline").alias("hospital"))))
-    grouped = results.filter(F.col(rank) <= limit).groupBy(*keys).agg(F.transform(listed, lambda s: s["hospital"]).alias("hospitals"))
-    return grouped.select(*keys, F.inline(pair_list(F.col("hospitals"))))
+    return _in_order(results, keys, rank).select(*keys, F.inline(pair_list(F.col("hospitals"))))
 
 
 def closing_lines(summary: DataFrame, keys: Sequence[str]) -> DataFrame:

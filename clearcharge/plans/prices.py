@@ -132,7 +132,7 @@ def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column) -> Da
     """One JSON payload per search: ok with results and pairs, or the candidates to choose from."""
     resolutions, results = prices(store, searches, limit, as_of)
     results = materialise(results, "results")
-    pairs = verdicts.priced_pairs(results, ["query_zip", "service_id"], limit=limit).select("query_zip", "service_id", F.col("pairs").alias("comparisons"), "unpriced")
+    pairs = verdicts.priced_pairs(results, ["query_zip", "service_id"]).select("query_zip", "service_id", F.col("pairs").alias("comparisons"), "unpriced")
     for_reader = F.struct(
         "ccn", "name", "distance_km", "approximate", "hospital_type", "url", "file_date", "verdict", "detail", "line_count",
         line_for_reader(F.col("headline")).alias("headline"), F.transform("lines", line_for_reader).alias("lines"))
