@@ -35,3 +35,25 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     counted = token_prefixes(read_table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), 512, keep_table=False)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+NEAR_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.c + nb.c - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT k.doc_id, coalesce(n.c, 0) AS n_shingles, component_id, k.doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)"""
+
+
+@register("op2_minhash_near_dedup", NEAR_SQL)
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
+    from clearcharge.llm.near_dup import near_duplicates
+
+    return near_duplicates(read_table(spark, folder, "documents"), words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
