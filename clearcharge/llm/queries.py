@@ -57,3 +57,26 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from clearcharge.llm.near_dup import near_duplicates
 
     return near_duplicates(read_table(spark, folder, "documents"), words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# Each ten-word window of each item (or the whole of a shorter one) against each document's windows of that length.
+DECONTAMINATION_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS ws FROM benchmark),
+g AS (SELECT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, greatest(len(ws) - 10, 0) + 2), lambda i: array_to_string(list_slice(ws, i, i + least(len(ws), 10) - 1), ' '))) AS s FROM iw WHERE len(ws) > 0),
+ks AS (SELECT DISTINCT k FROM g),
+p AS (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM w, ks WHERE len(ws) >= k),
+dg AS (SELECT doc_id, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS s FROM p),
+h AS (SELECT doc_id, i, k, item_id FROM dg JOIN (SELECT DISTINCT * FROM g) g USING (k, s)),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM h) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+
+@register("op5_decontamination", DECONTAMINATION_SQL)
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in every document, by winnowing."""
+    from clearcharge.llm.decontaminate import contaminated
+
+    return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
