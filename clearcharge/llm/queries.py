@@ -80,3 +80,46 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from clearcharge.llm.decontaminate import contaminated
 
     return contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@register("op7_balanced_label_propagation")
+def op7_balanced_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts, equal texts together."""
+    from clearcharge.llm.sharding import sharded
+
+    return sharded(read_table(spark, folder, "documents"))
+
+
+def _found_sql(kind: str, expression: str, keep: str) -> str:
+    """Spans of a kind: pieces between matches and matches, added up."""
+    return f"""SELECT doc_id, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+  SELECT doc_id, ms[i + 1] AS m, ps[i + 1] AS piece, list_sum(list_transform(list_slice(ps, 1, i + 1), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i), lambda x: length(x))), 0) AS start
+  FROM (SELECT doc_id, ms, ps, unnest(range(len(ms))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{expression}') AS ms, string_split_regex(t, '{expression}') AS ps FROM d))) WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: (CAST(reverse({_DIGITS})[j] AS INT) * (2 - j % 2)) // 10 + (CAST(reverse({_DIGITS})[j] AS INT) * (2 - j % 2)) % 10)) % 10 = 0"
+_ROTATED = "(m[5:] || m[:4])"
+_MOD97 = f"list_reduce(list_prepend(0, list_transform(range(1, length(m) + 1), lambda j: ord({_ROTATED}[j]))), lambda s, c: CASE WHEN c >= 65 THEN (s * 100 + c - 55) % 97 ELSE (s * 10 + c - 48) % 97 END) = 1"
+PII_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({' UNION ALL '.join([
+    _found_sql('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+', 'true'),
+    _found_sql('ip', '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)', "len(list_filter(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0"),
+    _found_sql('card', '[0-9](?:[ -]?[0-9])+', f'length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}'),
+    _found_sql('phone', '\\+[0-9][ ().0-9-]+[0-9]', f'length({_DIGITS}) BETWEEN 9 AND 15'),
+    _found_sql('iban', '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}', _MOD97),
+    _found_sql('ssn', '[0-9]{3}-[0-9]{2}-[0-9]{4}', "regexp_matches(lower(right(piece, 40)), 'ssn|social security')")])}),
+o AS (SELECT *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) AS k, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS x FROM s),
+a AS (SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
+  string_agg(x, ',' ORDER BY start, k) FILTER (k <= 4) AS base, string_agg(x, ',' ORDER BY start, k) AS spans FROM o GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN a USING (doc_id)"""
+
+
+@register("op9_personal_data", PII_SQL)
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Emails, addresses, cards, phones, accounts and numbers of persons in every document, as code point spans."""
+    from clearcharge.llm.pii import spans_of
+
+    return spans_of(read_table(spark, folder, "documents")).drop("scores")
