@@ -123,3 +123,11 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     from clearcharge.llm.pii import spans_of
 
     return spans_of(read_table(spark, folder, "documents")).drop("scores")
+
+
+@register("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    from clearcharge.llm.html_text import extract
+
+    return extract(read_table(spark, folder, "pages"))
