@@ -131,3 +131,19 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     from clearcharge.llm.html_text import extract
 
     return extract(read_table(spark, folder, "pages"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@register("op4_exact_top_k", TOP_K_SQL)
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    from clearcharge.llm.vector_search import exact_top_k
+
+    return exact_top_k(read_table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
