@@ -147,3 +147,14 @@ def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     from clearcharge.llm.vector_search import exact_top_k
 
     return exact_top_k(read_table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@register("op6_kneser_ney")
+def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under a model of the documents that are not held out."""
+    from clearcharge.llm.kneser_ney import scored, train
+
+    docs = read_table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = train(docs.filter(~held_out))
+    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
