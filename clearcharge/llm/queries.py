@@ -158,3 +158,11 @@ def op6_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     model = train(docs.filter(~held_out))
     return scored(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@register("op3_sentencepiece_sampling")
+def op3_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores and a round trip."""
+    from clearcharge.llm.piece_sampling import segmentations
+
+    return segmentations(read_table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
