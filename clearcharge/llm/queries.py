@@ -166,3 +166,13 @@ def op3_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     from clearcharge.llm.piece_sampling import segmentations
 
     return segmentations(read_table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
+
+
+@register("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, and whether it is kept."""
+    from clearcharge.llm.quality import Classifier
+
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    classifier = Classifier(docs, read_table(spark, folder, "labels"))
+    return classifier.classify(docs).select("doc_id", "lang", "n_words", "perplexity", "limit", "kept")
