@@ -1,15 +1,69 @@
-"""The corpus pipeline: stages from raw documents to encoded ones."""
+"""The corpus pipeline: documents from raw to encoded, one operator a stage.
+
+1. quality: documents whose perplexity under trusted text is above their language's limit go.
+2. near_dedup: of each group of near-copies (five-word shingles, similarity 0.8 or more) the smallest id stays.
+3. decontamination: documents that hold a benchmark passage go.
+4. personal_data: personal data in the text becomes its kind in angle brackets; n_chars follows.
+5. encoding: two distinct sampled segmentations of each text.
+
+Each stage takes every row its predecessor kept. Stages 1 to 4 return the columns of documents. Null and empty texts go
+in stage 1; repeated rows with one id count as one document from stage 2 on; rows without an id are kept until then
+and go in stage 2, since nothing could be said of them; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clearcharge.llm.common import materialise, new_work_path, read_table
+from clearcharge.llm.decontaminate import contaminated
+from clearcharge.llm.near_dup import near_duplicates
+from clearcharge.llm.piece_sampling import segmentations
+from clearcharge.llm.pii import masked
+from clearcharge.llm.quality import good_documents
+from clearcharge.llm.queries import tokenizer_file
+from clearcharge.session import broadcast_if_small
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = materialise(near_duplicates(docs, words=5, percent=80), "pipeline-groups")
+    gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.filter("doc_id IS NOT NULL").join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.limit(1).count() == 0:
+        return left
+    again = broadcast_if_small(materialise(repeated, "pipeline-repeated"))
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = materialise(contaminated(docs, read_table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id"), "pipeline-contaminated")
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return masked(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return segmentations(docs, tokenizer_file("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("encoding", encoding)]
+# Perplexity, sampling and sketches have no SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Applies the stages to documents, each stage's rows written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_work_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
