@@ -29,13 +29,13 @@ def enum_text(value: Column) -> Column:
 
 
 def norm_header(header: Column) -> Column:
-    bare = F.regexp_replace(F.trim(header), "^﻿+", "")
-    return F.array_join(F.transform(F.split(bare, r"\|"), lambda part: F.lower(F.trim(part))), "|")
+    bare = F.regexp_replace(stripped(header), "^﻿+", "")
+    return F.array_join(F.transform(F.split(bare, r"\|"), lambda part: F.lower(stripped(part))), "|")
 
 
 def _price_text(value: Column) -> Column:
     text = stripped(value)
-    bare = F.when(text.startswith("$"), F.substring(text, 2, 1_000_000)).otherwise(text)
+    bare = F.when(text.startswith("$"), F.substr(text, F.lit(2))).otherwise(text)
     return stripped(F.replace(bare, F.lit(","), F.lit("")))
 
 
@@ -73,8 +73,8 @@ def price_note(cells: list[tuple[str, Column]], parsed: list[Column] | None = No
 
 def code_struct(code_type: Column, code: Column) -> Column:
     return F.struct(
-        F.upper(F.trim(F.coalesce(code_type, F.lit("")))).alias("type"),
-        F.trim(F.coalesce(code, F.lit(""))).alias("code"),
+        F.upper(stripped(F.coalesce(code_type, F.lit("")))).alias("type"),
+        stripped(F.coalesce(code, F.lit(""))).alias("code"),
     )
 
 
@@ -85,15 +85,15 @@ def codes_from_columns(numbered: list[tuple[Column, Column]]) -> Column:
 
 
 def codes_from_array(entries: Column) -> Column:
-    kept = F.filter(F.coalesce(entries, F.array()), lambda e: F.coalesce(e["code"], F.lit("")) != "")
-    return F.transform(kept, lambda e: code_struct(e["type"], e["code"]))
+    pairs = F.transform(F.coalesce(entries, F.array()), lambda e: code_struct(e["type"], e["code"]))
+    return F.filter(pairs, lambda pair: pair["code"] != "")
 
 
 def modifiers(code_cell: Column, plain_cell: Column) -> Column:
     """A JSON array is joined by ", "; otherwise its text; otherwise the plain string."""
     listed = F.from_json(code_cell, "array<string>")
     joined = F.array_join(listed, ", ")
-    is_list = F.trim(code_cell).startswith("[")
+    is_list = stripped(code_cell).startswith("[")
     return F.coalesce(
         F.when(is_list & (F.size(listed) > 0), joined),
         F.when(~is_list, blank_to_null(code_cell)),

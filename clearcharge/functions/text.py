@@ -58,7 +58,7 @@ def words(value: Column) -> Column:
 
 def short_name(name: Column) -> Column:
     def capital(part: Column) -> Column:
-        return F.concat(F.upper(F.substring(part, 1, 1)), F.lower(F.substring(part, 2, 1_000_000)))
+        return F.concat(F.upper(F.substring(part, 1, 1)), F.lower(F.substr(part, F.lit(2))))
 
     def shown(word: Column) -> Column:
         hyphened = F.array_join(F.transform(F.split(word, "-"), capital), "-")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clearcharge import fixed_values as fv
 from clearcharge.functions import billing_codes, text
+from clearcharge.session import broadcast_if_small
 
 
 def service_codes(services: DataFrame) -> DataFrame:
@@ -20,14 +21,13 @@ def service_codes(services: DataFrame) -> DataFrame:
 def matched_items(item_codes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Items that carry a wanted code, with the matched code and the item's other codes.
 
-    One pass over the codes: a row learns whether its code is wanted (the wanted list is a
-    catalog's, joined map-side when small), each item's codes meet once, and items without a
-    wanted code are dropped there."""
-    asked = wanted.select("code").distinct().withColumn("asked", F.lit(True))
-    known = item_codes.join(asked, "code", "left").withColumn(
-        "asked", F.coalesce("asked", F.lit(False)) & F.col("code_type").isin(*fv.SERVICE_CODE_TYPES))
-    per_item = known.groupBy("extraction_id", "item_id").agg(
-        F.max("asked").alias("any_asked"), F.array_sort(F.collect_list(F.struct("code_type", "code", "asked"))).alias("all_codes")).filter("any_asked")
+    The wanted codes cut the code table first, on the map side where their list is small; only
+    the items that are left meet their other codes. The catalog's list says how many that are."""
+    asked = broadcast_if_small(wanted.select("code").distinct().withColumn("asked", F.lit(True)))
+    typed = F.col("code_type").isin(*fv.SERVICE_CODE_TYPES)
+    carriers = item_codes.filter(typed).join(asked.select("code"), "code", "left_semi").select("extraction_id", "item_id").distinct()
+    known = item_codes.join(carriers, ["extraction_id", "item_id"], "left_semi").join(asked, "code", "left").withColumn("asked", F.coalesce("asked", F.lit(False)) & typed)
+    per_item = known.groupBy("extraction_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("code_type", "code", "asked"))).alias("all_codes"))
     hits = per_item.select("extraction_id", "item_id", "all_codes", F.inline(F.filter("all_codes", lambda c: c["asked"]))).drop("asked")
     rest = F.filter("all_codes", lambda c: ~((c["code_type"] == F.col("code_type")) & (c["code"] == F.col("code"))))
     listed = F.transform(rest, lambda c: F.concat_ws(" ", c["code_type"], c["code"]))

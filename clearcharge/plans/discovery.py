@@ -49,14 +49,14 @@ def locate(hospitals: DataFrame, index_fetches: DataFrame, links: DataFrame, reg
 
     guessed = hospitals.select("ccn", F.posexplode(names.domain_candidates(F.col("name"))).alias("no", "domain"))
     tried = materialise(guessed.join(status, "domain", "left").withColumn("state", F.coalesce("state", F.lit("error"))), "domains-tried")
-    routes = [tried.filter("state = 'ok'").select("ccn", F.lit(0).alias("step"), F.col("no").cast("bigint").alias("no"), "domain", F.lit("cms-hpt").alias("method"))]
+    routes = [tried.filter("state = 'ok'").select("ccn", F.lit(0).alias("step"), _place(F.col("no")).alias("no"), "domain", F.lit("cms-hpt").alias("method"))]
     alive = tried.filter(F.col("state").isin("404", "html", "blocked"))
     with_files = linked.select("domain").distinct()
-    routes.append(alive.join(with_files, "domain", "left_semi").select("ccn", F.lit(1).alias("step"), F.col("no").cast("bigint").alias("no"), "domain", F.lit("site-page").alias("method")))
-    siblings = alive.join(related, "domain").select("ccn", F.col("host").alias("domain"), (F.col("no") * 1_000_000 + F.col("at.page_id") * 1_000 + F.col("at.link_no")).alias("no"))
+    routes.append(alive.join(with_files, "domain", "left_semi").select("ccn", F.lit(1).alias("step"), _place(F.col("no")).alias("no"), "domain", F.lit("site-page").alias("method")))
+    siblings = alive.join(related, "domain").select("ccn", F.col("host").alias("domain"), _place(F.col("no"), F.col("at.page_id"), F.col("at.link_no")).alias("no"))
     routes += _host_routes(siblings, status, with_files, 2, "site-link+")
     if website_answers is not None:
-        told = website_answers.select("ccn", F.posexplode(web.hosts_to_try(F.col("host"))).alias("no", "domain"))
+        told = website_answers.select("ccn", F.posexplode(web.hosts_to_try(F.col("host"))).alias("no", "domain")).withColumn("no", _place(F.col("no")))
         routes += _host_routes(told, status, with_files, 4, "web-search+")
     every = routes[0]
     for more in routes[1:]:
@@ -109,9 +109,15 @@ def locate(hospitals: DataFrame, index_fetches: DataFrame, links: DataFrame, reg
         "shape", "size_bytes", "last_modified", "etag", "content_type", reason.alias("reason"), F.lit(fv.DISCOVERY_VERSION).alias("discovery_version"))
 
 
+def _place(no: Column, page: Column | None = None, link: Column | None = None) -> Column:
+    """Where a route stands among those of one step: candidate, then page, then link on it."""
+    part = lambda c: (c if c is not None else F.lit(0)).cast("bigint")
+    return F.struct(part(no).alias("no"), part(page).alias("page_id"), part(link).alias("link_no"))
+
+
 def _host_routes(hosts: DataFrame, status: DataFrame, with_files: DataFrame, step: int, how: str) -> list[DataFrame]:
     """An index on each host, or a charges file linked from its pages."""
-    numbered = hosts.select("ccn", "domain", F.col("no").cast("bigint").alias("no"))
+    numbered = hosts.select("ccn", "domain", "no")
     index = numbered.join(status.filter("state = 'ok'").select("domain"), "domain").select("ccn", F.lit(step).alias("step"), "no", "domain", F.lit(f"{how}cms-hpt").alias("method"))
     page = numbered.join(with_files, "domain", "left_semi").select("ccn", F.lit(step).alias("step"), "no", "domain", F.lit(f"{how}site-page").alias("method"))
     return [index, page]

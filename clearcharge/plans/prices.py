@@ -75,8 +75,8 @@ def hospital_prices(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of
     per_hospital = asked.filter("located").select("ccn", "service_id", "extraction_id", F.col("shown_name").alias("hospital")).join(found, ["extraction_id", "service_id"])
     reviewed = materialise(lines.apply_review(per_hospital, store.reviews), "lines")  # read twice: verdicts and shown lines
     summary = verdicts.summarise(reviewed, ["ccn", "service_id"])
-    # A few lines travel with each result; all of them, when asked for, stay rows of `all_lines`.
-    collected = verdicts.collected_lines(reviewed, ["ccn", "service_id"], shown if shown is not None else fv.SHOWN_LINES)
+    # A few lines travel with each result, or all (`shown` None): as many as one file has for one service.
+    collected = verdicts.collected_lines(reviewed, ["ccn", "service_id"], shown)
     rows = asked.join(summary, ["ccn", "service_id"], "left").join(collected, ["ccn", "service_id"], "left")
     if failed is not None:
         rows = rows.join(failed.select("ccn", F.col("status").alias("failed_status"), F.col("detail").alias("failed_detail")), "ccn", "left")
@@ -112,8 +112,9 @@ def with_all_lines(results: DataFrame, full: DataFrame, keys: list[str]) -> Data
     return joined.withColumn("lines", F.coalesce("full_lines", "lines")).withColumn("line_count", F.coalesce("full_count", "line_count")).drop("full_lines", "full_count")
 
 
-def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(resolutions, results) of a batch of searches (query, zip).
+def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed: DataFrame | None = None, shown: int | None = fv.SHOWN_LINES) -> tuple[DataFrame, DataFrame]:
+    """(resolutions, results) of a batch of searches (query, zip). ZIPs the gazetteer does not list have no results
+    (`places.unknown_zips` names them; `payloads` answers them with an error).
 
     Distinct queries are resolved once, distinct ZIPs located once, each (hospital, service)
     is answered once, and the answers are joined back to the searches."""
@@ -123,28 +124,42 @@ def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed:
     asked = searches.select("query", "zip").distinct().join(chosen, "query").select("service_id", F.col("zip").alias("query_zip")).distinct()
     near = ranked.select("query_zip", "rank", "ccn", "distance_km", "approximate")
     places_asked = materialise(asked.join(near, "query_zip"), "places-asked")
-    answers = hospital_prices(store, places_asked, store.hospitals, as_of, failed=failed)
+    answers = hospital_prices(store, places_asked, store.hospitals, as_of, shown, failed=failed)
     results = places_asked.join(answers, ["ccn", "service_id"]).withColumn("distance_km", F.round("distance_km", 1))
     return resolutions, results
 
 
-def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column) -> DataFrame:
-    """One JSON payload per search: ok with results and pairs, or the candidates to choose from."""
-    resolutions, results = prices(store, searches, limit, as_of)
+def prices_at(store: Store, asked: DataFrame, as_of: Column, failed: DataFrame | None = None, shown: int | None = fv.SHOWN_LINES) -> DataFrame:
+    """Results for hospitals and services given by id: `asked` has ccn and service_id. No distance is known."""
+    pairs = materialise(asked.select("ccn", "service_id").distinct(), "asked-by-id")
+    named = places.hospitals_by_id(store.hospitals, pairs).select("ccn", "approximate", F.col("reason").alias("unknown"))
+    answers = hospital_prices(store, pairs, store.hospitals, as_of, shown, failed=failed)
+    return pairs.join(named, "ccn", "left").join(answers, ["ccn", "service_id"], "left").withColumn("distance_km", F.lit(None).cast("double"))
+
+
+def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column, shown: int | None = fv.SHOWN_LINES) -> DataFrame:
+    """One JSON payload per search: ok with results and pairs, the candidates to choose from, or an error for a ZIP
+    that is not listed. Absent values are written as null."""
+    resolutions, results = prices(store, searches, limit, as_of, shown=shown)
+    unknown = places.unknown_zips(searches.select("zip"), store.zcta).select("zip", F.col("reason").alias("error"))
     results = materialise(results, "results")
     pairs = verdicts.priced_pairs(results, ["query_zip", "service_id"]).select("query_zip", "service_id", F.col("pairs").alias("comparisons"), "unpriced")
     for_reader = F.struct(
         "ccn", "name", "distance_km", "approximate", "hospital_type", "url", "file_date", "verdict", "detail", "line_count",
         line_for_reader(F.col("headline")).alias("headline"), F.transform("lines", line_for_reader).alias("lines"))
     hospitals = results.groupBy("query_zip", "service_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.to_json(for_reader).alias("json")))), lambda r: r["json"]).alias("hospitals"))
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", for_reader.alias("row"))), lambda x, y: x["rank"] - y["rank"]), lambda r: r["row"]).alias("hospitals"))
     said = searches.select("query", "zip").distinct().join(resolutions, "query")
     joined = (
         said.join(service_for_reader(store.services).withColumnRenamed("id", "service_id"), "service_id", "left")
-        .withColumn("query_zip", F.col("zip")).join(hospitals, ["query_zip", "service_id"], "left").join(pairs, ["query_zip", "service_id"], "left"))
+        .withColumn("query_zip", F.col("zip")).join(hospitals, ["query_zip", "service_id"], "left").join(pairs, ["query_zip", "service_id"], "left").join(unknown, "zip", "left"))
     selected = F.col("service_id").isNotNull()
     resolver = F.when(F.col("verdict") != fv.SELECTED, F.struct("verdict", "reason"))
+    listed = F.col("error").isNull()
+    ok = selected & listed
+    nothing = lambda c: F.when(ok, F.coalesce(F.col(c), F.array()))
     return joined.select("query", "zip", F.to_json(F.struct(
-        F.when(selected, F.lit("ok")).otherwise(F.lit("needs_clarification")).alias("status"), resolver.alias("resolver"), "corrections",
+        F.when(selected & ~listed, F.lit("error")).when(selected, F.lit("ok")).otherwise(F.lit("needs_clarification")).alias("status"), "error", resolver.alias("resolver"), "corrections",
         F.when(selected, F.col("service")).alias("service"), F.when(~selected, F.col("candidates")).alias("candidates"),
-        "hospitals", "comparisons", "unpriced")).alias("payload"))
+        nothing("hospitals").alias("hospitals"), nothing("comparisons").alias("comparisons"), nothing("unpriced").alias("unpriced")),
+        {"ignoreNullFields": "false"}).alias("payload"))

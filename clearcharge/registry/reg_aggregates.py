@@ -27,26 +27,28 @@ def sampled(spark, folder):
     return drawn.join(again.distinct(), ["extraction_id", "charge_id"], "left_semi").groupBy("extraction_id").agg(F.count("*").alias("sampled"))
 
 
+# The driver's line items repeat line numbers: each repeat gets a reference of its own.
+_UNIQUE = """one AS (SELECT extraction_id, source_ref || CASE WHEN nth = 1 THEN '' ELSE '.' || CAST(nth AS STRING) END AS source_ref, charge_id, item_id, setting, billing_class, modifiers, gross, discounted_cash, minimum, maximum
+    FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, source_ref ORDER BY charge_id, item_id, gross, minimum, maximum, discounted_cash) AS nth FROM d_charges) AS n)"""
 _REREAD = """SELECT c.extraction_id, c.source_ref || CASE WHEN c.item_id LIKE '%7' THEN 'x' ELSE '' END AS source_ref, c.item_id, CASE WHEN c.item_id LIKE '%5' THEN c.gross + 1 ELSE c.gross END AS gross, c.discounted_cash, c.minimum, c.maximum, c.setting, c.modifiers
-    FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, source_ref ORDER BY charge_id, gross, minimum) AS nth FROM d_charges) c WHERE nth = 1"""
+    FROM one c"""
 
 
-@register("J14_Q2_A12_fidelity", f"""{views.with_views('d_charges')}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, source_ref ORDER BY charge_id, gross, minimum) AS nth FROM d_charges) WHERE nth = 1)
+@register("J14_Q2_A12_fidelity", f"""{views.with_views('d_charges')}, {_UNIQUE}
     SELECT extraction_id, count(*) AS sampled, count(*) FILTER (WHERE NOT item_id LIKE '%7') AS checked, count(*) FILTER (WHERE NOT item_id LIKE '%7' AND (NOT item_id LIKE '%5' OR gross IS NULL)) AS matched, count(*) FILTER (WHERE item_id LIKE '%7') AS missing FROM one GROUP BY extraction_id""")
 def fidelity(spark, folder):
     charges, codes = views.load(spark, folder, "d_charges", "d_item_codes")
     charges.createOrReplaceTempView("charges_given")
-    reread = spark.sql(_REREAD.replace("FROM d_charges", "FROM charges_given"))
-    stored = spark.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY extraction_id, source_ref ORDER BY charge_id, gross, minimum) AS nth FROM charges_given) WHERE nth = 1").drop("nth")
+    unique = "WITH " + _UNIQUE.replace("FROM d_charges", "FROM charges_given")
+    reread, stored = spark.sql(f"{unique} {_REREAD}"), spark.sql(f"{unique} SELECT * FROM one")
     verified = audit.verify_sample(audit.with_code_list(stored, codes), audit.with_code_list(reread, codes))
     return audit.fidelity_per_file(verified)
 
 
-@register("A12_fidelity_totals", "SELECT count(*) AS files, sum(l_linenumber) AS sampled, sum(l_quantity)::BIGINT AS matched, count(*) FILTER (WHERE l_tax > 0.04) AS missing FROM lineitem")
+@register("A12_fidelity_totals", f"""{views.with_views('d_charges')}, {_UNIQUE} SELECT count(DISTINCT extraction_id) AS files, count(*) AS sampled,
+    count(*) FILTER (WHERE NOT item_id LIKE '%7' AND (NOT item_id LIKE '%5' OR gross IS NULL)) AS matched, count(*) FILTER (WHERE item_id LIKE '%7') AS missing FROM one""")
 def totals(spark, folder):
-    (lineitem,) = views.load(spark, folder, "lineitem")
-    per_file = lineitem.select(F.col("l_linenumber").cast("bigint").alias("sampled"), F.col("l_quantity").cast("bigint").alias("matched"), (F.col("l_tax") > 0.04).cast("bigint").alias("missing"))
-    return audit.fidelity_totals(per_file)
+    return audit.fidelity_totals(fidelity(spark, folder))
 
 
 @register("A10_spend_per_day", f"{views.with_views('d_spend')} SELECT CAST(day AS VARCHAR) AS day, usd, calls, CAST(sum(usd) OVER (ORDER BY day) AS BIGINT) AS so_far FROM (SELECT CAST(called_at AS DATE) AS day, CAST(sum(cents) AS BIGINT) AS usd, count(*) AS calls FROM d_spend GROUP BY 1)")
@@ -107,8 +109,8 @@ def verified(spark, folder):
 _SHEET = """SELECT 'svc-' || CAST(l_partkey % 200 AS STRING) AS service_id, 'X' || CAST(l_suppkey AS STRING) AS hospital, l_orderkey * 8 + l_linenumber AS row_no, 'row ' || CAST(l_orderkey * 8 + l_linenumber AS STRING) AS ref,
     CASE l_partkey % 7 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'no' WHEN 2 THEN 'needs qualifier' ELSE '' END AS alias_means_this_service, CASE WHEN l_suppkey % 2 = 0 THEN 'YES' ELSE '' END AS headline_is_this_service,
     CASE WHEN l_linenumber = 1 THEN 'facility' ELSE '' END AS billing_class_if_known, CASE WHEN l_partkey % 7 = 3 THEN 'note ' || CAST(l_orderkey AS STRING) ELSE '' END AS note,
-    CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'R' || CAST(l_suppkey % 5 AS STRING) END AS reviewer, '2026-01-0' || CAST(l_linenumber AS STRING) AS date, 'Item' AS headline_description
-    FROM (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem) AS l WHERE nth = 1 AND l_partkey % 200 < 60"""
+    CASE WHEN l_orderkey % 3 = 0 OR l_partkey % 200 % 11 = 3 THEN '' ELSE 'R' || CAST(l_suppkey % 5 AS STRING) END AS reviewer, '2026-01-0' || CAST(l_linenumber AS STRING) AS date, 'Item' AS headline_description
+    FROM (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem) AS l WHERE nth = 1"""
 _DECIDED = f"""sheet AS ({_SHEET}), answered AS (SELECT * FROM sheet WHERE trim(alias_means_this_service) <> '' OR trim(headline_is_this_service) <> '' OR trim(note) <> ''),
 decided AS (SELECT service_id, bool_or(lower(trim(alias_means_this_service)) = 'yes') AS confirmed, coalesce(min_by(reviewer, row_no) FILTER (WHERE reviewer <> ''), '') AS reviewer, min_by(date, row_no) AS date, count(*) AS rows,
     string_agg(hospital || ': ' || CASE WHEN alias_means_this_service <> '' THEN alias_means_this_service ELSE note END, '; ' ORDER BY row_no) AS reasons FROM answered GROUP BY service_id)"""

@@ -267,12 +267,15 @@ def price_batch(spark, folder):
     return results.select("query_zip", "service_id", "rank", "ccn", "distance_km", "approximate", "url", "file_date", "verdict", "detail", F.col("line_count").cast("bigint").alias("line_count"), F.col("headline.source_ref").alias("headline_ref"))
 
 
-@register("K14_payloads", f"""{PRICED} SELECT s.query, s.zip, CASE WHEN r.service_id IS NULL THEN 'needs_clarification' ELSE 'ok' END AS status, CASE WHEN r.service_id IS NULL THEN 0 ELSE (SELECT count(*) FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS hospitals
+@register("K14_payloads", f"""{PRICED} SELECT s.query, s.zip, CASE WHEN r.service_id IS NULL THEN 'needs_clarification' ELSE 'ok' END AS status, CASE WHEN r.service_id IS NULL THEN 0 ELSE (SELECT count(*) FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS hospitals,
+    CASE WHEN r.service_id IS NOT NULL THEN (SELECT coalesce(string_agg(x.ccn || ' ' || x.verdict || ' ' || x.line_count || ' ' || coalesce(x.headline_ref, '-'), '; ' ORDER BY x.rank), '') FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS listed
     FROM (SELECT DISTINCT query, zip FROM searches) s JOIN resolved r ON r.query = s.query""")
 def payloads(spark, folder):
     out = prices.payloads(stored(spark, folder), searches(spark, folder), K, F.expr(AS_OF))
-    parsed = F.from_json("payload", "status string, hospitals array<string>")
-    return out.select("query", "zip", parsed["status"].alias("status"), F.coalesce(F.size(parsed["hospitals"]), F.lit(0)).cast("bigint").alias("hospitals"))
+    parsed = F.from_json("payload", "status string, hospitals array<struct<ccn:string,verdict:string,line_count:bigint,headline:struct<ref:string>>>")
+    shown = F.transform("p.hospitals", lambda h: F.concat_ws(" ", h["ccn"], h["verdict"], h["line_count"].cast("string"), F.coalesce(h["headline"]["ref"], F.lit("-"))))
+    return out.select("query", "zip", parsed.alias("p")).select(
+        "query", "zip", "p.status", F.coalesce(F.size("p.hospitals"), F.lit(0)).cast("bigint").alias("hospitals"), F.array_join(shown, "; ").alias("listed"))
 
 
 @register("J21_with_all_lines", f"{LINES}, {summarised('lines', _SUMMARY)} SELECT extraction_id, service_id, verdict, CAST(line_count AS BIGINT) AS lines FROM verdicts")

@@ -37,7 +37,7 @@ def _domains(x: str) -> str:
 project("P24_J19_domain_candidates", "d_raw_hospitals", {"n": _SEED_NAME}, {"domains": (lambda: F.array_join(names.domain_candidates(c("n")), " "), _domains("n"))}, "ccn")
 _LUHN = ("(SELECT sum(CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN d * 2 - 9 ELSE d * 2 END) FROM (SELECT i, try_cast(substr(reverse('80840' || x), i + 1, 1) AS INT) AS d FROM range(15) r(i))) % 10 = 0")
 project("P25_npi_valid", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)"}, {"valid": (lambda: web.npi_valid(c("x")), _LUHN)}, "o_orderkey")
-project("P26_npi_in_file_name", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)", "u": "'https://x.org/1124137054/741109643-' || CAST(1000000000 + o_orderkey * 7 AS STRING) || '_a_standardcharges.csv?z=1124137054'"},
+project("P26_npi_in_file_name", "orders", {"x": "CAST(1000000000 + o_orderkey * 7 AS STRING)", "u": "'https://x.org/1506318272/120045518-' || CAST(1000000000 + o_orderkey * 7 AS STRING) || '_a_standardcharges.csv?z=1506318272'"},
         {"npi": (lambda: web.npi_in(c("u")), f"CASE WHEN {_LUHN} THEN x END")}, "o_orderkey")
 project("P27_same_place", "d_raw_hospitals", {"a": "address", "ci": "city", "z": "CASE WHEN length(zip) = 5 THEN zip ELSE '' END", "b": "CAST(100 + s_suppkey % 2 * (s_suppkey % 900) AS STRING) || ' Elsewhere'", "cj": "CASE WHEN s_nationkey % 2 = 0 THEN upper(city) ELSE 'x' END", "y": "CAST(10000 + s_suppkey * 13 AS STRING)"},
         {"number": (lambda: names.street_number(c("a")), "regexp_extract(a, '^[0-9]+')"),
@@ -108,8 +108,8 @@ def candidates(spark, folder):
     return matched(spark, folder).select("ccn", F.inline("candidates")).select("ccn", "entry_no", F.round("score", 6).alias("score"))
 
 
-_REGISTRY = """SELECT DISTINCT npi, address, city, zip FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN '1124137054' ELSE CAST(1234567890 + s_suppkey AS STRING) END AS npi,
-    CASE WHEN s_suppkey % 3 = 0 THEN '100 RESEARCH' ELSE CAST(100 + s_suppkey % 900 AS STRING) || ' Main Street' END AS address, 'CITY OF N' || CAST(s_nationkey * (s_suppkey % 3) AS STRING) AS city, '00000' AS zip FROM supplier WHERE s_suppkey % 9 <> 4)"""
+_REGISTRY = """SELECT DISTINCT npi, address, city, zip FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN '1506318272' ELSE CAST(1234567890 + s_suppkey AS STRING) END AS npi,
+    CASE WHEN s_suppkey % 3 = 0 THEN '100 QUAYSIDE' ELSE CAST(100 + s_suppkey % 900 AS STRING) || ' Main Street' END AS address, 'CITY OF N' || CAST(s_nationkey * (s_suppkey % 3) AS STRING) AS city, '00000' AS zip FROM supplier WHERE s_suppkey % 9 <> 4)"""
 _FIRST_REGISTRY = f"SELECT npi, min(address) AS address, min(city) AS city, min(zip) AS zip FROM ({_REGISTRY}) AS r GROUP BY npi"
 
 
@@ -131,19 +131,24 @@ def tie_break(spark, folder):
 
 _SITE = """SELECT index_id, CAST(row_number() OVER (PARTITION BY index_id ORDER BY entry_no) AS BIGINT) AS entry_no,
     'https://site.example/' || CASE WHEN entry_no % 3 = 0 THEN 'shoppable-' ELSE '' END || replace(lower(location_name), ' ', '-') || '.csv?x=' || CAST(entry_no AS STRING) AS url, 'https://site.example/' AS page
-    FROM d_entries WHERE entry_no % 4 = 0"""
+    FROM d_entries"""
 
 
 @register("D8_F9_entry_from_site", f"""{views.with_views('d_raw_hospitals', 'd_entries')}, files AS ({_SITE}), kept AS (SELECT *, count(*) OVER (PARTITION BY index_id) AS n FROM files WHERE NOT contains(url, 'shoppable'))
-    SELECT h.ccn, CASE WHEN k.n IS NULL THEN 'none' ELSE 'one' END AS files, k.url AS mrf_url FROM d_raw_hospitals h JOIN (SELECT DISTINCT index_id FROM files) f ON f.index_id = 'N' || h.s_nationkey
-    LEFT JOIN kept k ON k.index_id = f.index_id WHERE k.n IS NULL OR k.n = 1""")
+    SELECT h.ccn, CASE WHEN k.n IS NULL THEN 'none' WHEN k.n = 1 THEN 'one' ELSE k.n || ' files linked' END AS files, CASE WHEN k.n = 1 THEN k.url END AS mrf_url,
+      CASE WHEN k.n > 1 THEN k.names END AS names FROM d_raw_hospitals h JOIN (SELECT DISTINCT index_id FROM files) f ON f.index_id = 'N' || h.s_nationkey
+    LEFT JOIN (SELECT index_id, max(n) AS n, max(url) AS url, array_to_string(list_slice(list(regexp_extract(url, '([^/?]*)(\\?|$)', 1) ORDER BY entry_no), 1, 5), '; ') AS names FROM kept GROUP BY index_id) k ON k.index_id = f.index_id""")
 def from_site(spark, folder):
     hospitals, entries = views.load(spark, folder, "d_raw_hospitals", "d_entries")
     entries.createOrReplaceTempView("d_entries_given")
     files = spark.sql(_SITE.replace("FROM d_entries", "FROM d_entries_given"))
     asked = hospitals.select("ccn", "name", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("index_id"))
-    said = matching.entry_from_site(asked, files).filter(~F.col("step").contains("files linked"))
-    return said.select("ccn", F.when(F.col("verdict") == "none", "none").otherwise("one").alias("files"), "mrf_url")
+    said = matching.entry_from_site(asked, files)
+    several = F.regexp_extract("step", "^([0-9]+ files linked)", 1)
+    # A file matched by name among several is checked by D6; here, what the step says of all files when none is.
+    named = matching.entry_from_site(asked.withColumn("name", F.lit("nobody")), files).select("ccn", F.regexp_extract("step", "ambiguous: (.*)$", 1).alias("names"))
+    return said.join(named, "ccn").select("ccn", F.when(several != "", several).when((F.col("verdict") == "none"), "none").otherwise("one").alias("files"),
+                                          F.when(several == "", F.col("mrf_url")).alias("mrf_url"), F.when(several != "", F.col("names")).alias("names"))
 
 
 @register("J16_best_external", f"""{views.with_views('d_raw_hospitals', 'd_entries')},

@@ -56,7 +56,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                    WHEN 3 THEN name || ' (Campus ' || {_S('s_suppkey')} || ')'
                    WHEN 4 THEN replace(name, 'NATION', 'NATN')
                    ELSE lower(name) END AS location_name,
-               'https://files.example/' || CASE WHEN s_suppkey % 3 = 0 THEN '741109643-1124137054_x' WHEN s_suppkey % 3 = 1 THEN {_S('1234567890 + s_suppkey')} ELSE '12-3456789_x' END
+               'https://files.example/' || CASE WHEN s_suppkey % 3 = 0 THEN '120045518-1506318272_x' WHEN s_suppkey % 3 = 1 THEN {_S('1234567890 + s_suppkey')} ELSE '12-3456789_x' END
                    || '_' || {_S('s_suppkey')} || '_standardcharges.csv' AS mrf_url
         FROM d_raw_hospitals"""),
     # The same entries as lines of text, with banners, odd spacing and repeated keys between them.
@@ -151,7 +151,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN l_partkey % 5 = 0 THEN 'no' WHEN l_partkey % 5 = 1 THEN '' ELSE 'yes' END AS headline_is_this_service,
                CASE WHEN l_linenumber % 6 = 0 THEN '' ELSE 'facility' END AS billing_class,
                CASE WHEN l_partkey % 4 = 0 THEN 'item ' || {_S('l_partkey')} WHEN l_partkey % 4 = 1 THEN 'something else' ELSE '' END AS description
-        FROM lineitem WHERE l_orderkey % 6 = 1"""),
+        FROM lineitem"""),
     # Events of runs.
     "d_events": ((), f"""
         SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, {_S('user_id')} || '/' || {_S('CAST(floor(event_id / 500) AS BIGINT)')} AS run_id, event_id AS seq,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (`spark.checkpoint.dir`); a temporary one only when unset."""
+    """The shared folder of the cluster (`spark.checkpoint.dir`). Without one, a temporary folder on a
+    local master, where driver and executor are one process; on a cluster that is an error, since
+    machines would not see each other's files."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="clearcharge-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")

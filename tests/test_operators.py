@@ -18,7 +18,7 @@ LINE = ("k string, setting_expected string, code_type string, code string, other
 def line(k, want="outpatient", **kw):
     from decimal import Decimal
 
-    base = dict(k=k, setting_expected=want, code_type="CPT", code="73721", other_codes=[], description="MRI", setting="outpatient", billing_class=None, modifiers=None,
+    base = dict(k=k, setting_expected=want, code_type="CPT", code="92557", other_codes=[], description="Hearing test", setting="outpatient", billing_class=None, modifiers=None,
                 gross=None, discounted_cash=None, minimum=None, maximum=None, source_ref="row 1", off_template_note=None, class_from_review=False)
     base.update(kw)
     return {n: Decimal(str(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for n, v in base.items()}
@@ -32,18 +32,18 @@ def summarised(spark, *given):
 def test_every_verdict(spark):
     f = dict(billing_class="facility")
     got = summarised(
-        spark, line("clean", gross=3200, discounted_cash=1600, **f), line("class", gross=1, discounted_cash=2), line("setting", setting=None, gross=1, **f),
-        line("mods", modifiers="RT", gross=1), line("mods", modifiers="50", gross=1), line("mods", minimum=3), line("negotiated", minimum=1), line("negotiated", minimum=2),
-        line("conflict", discounted_cash=1000, **f), line("conflict", discounted_cash=1200, **f), line("inpatient", setting="inpatient", gross=4738, **f),
-        line("both", setting="inpatient", gross=9, **f), line("both", gross=7, **f), line("doctor", billing_class="professional", gross=450),
-        line("stay", want="inpatient", setting="outpatient", gross=5, **f), line("agree", gross=2460, discounted_cash=1230, **f), line("agree", gross=2500, discounted_cash=1230, source_ref="row 2", **f))
+        spark, line("clean", gross=2870, discounted_cash=1435, **f), line("class", gross=1, discounted_cash=2), line("setting", setting=None, gross=1, **f),
+        line("mods", modifiers="RT", gross=1), line("mods", modifiers="52", gross=1), line("mods", minimum=3), line("negotiated", minimum=1), line("negotiated", minimum=2),
+        line("conflict", discounted_cash=770, **f), line("conflict", discounted_cash=880, **f), line("inpatient", setting="inpatient", gross=6144, **f),
+        line("both", setting="inpatient", gross=9, **f), line("both", gross=7, **f), line("doctor", billing_class="professional", gross=512),
+        line("stay", want="inpatient", setting="outpatient", gross=5, **f), line("agree", gross=1910, discounted_cash=955, **f), line("agree", gross=1990, discounted_cash=955, source_ref="row 2", **f))
     verdict = {k: r["verdict"] for k, r in got.items()}
     assert verdict == {"clean": fv.COMPARABLE, "class": fv.UNKNOWN_CLASS, "setting": fv.UNKNOWN_SETTING, "mods": fv.MODIFIERS_ONLY, "negotiated": fv.NEGOTIATED_ONLY, "conflict": fv.CONFLICTING,
                        "inpatient": fv.INPATIENT_ONLY, "both": fv.COMPARABLE, "doctor": fv.PROFESSIONAL_ONLY, "stay": fv.OUTPATIENT_ONLY, "agree": fv.COMPARABLE}
-    assert got["mods"]["detail"] == "priced lines carry modifiers 50, RT; no unmodified line to compare" and got["mods"]["headline"] is None
-    assert got["negotiated"]["detail"].startswith("2 lines") and got["conflict"]["detail"] == "2 unmodified lines disagree (cash $1,000.00, $1,200.00)"
+    assert got["mods"]["detail"] == "priced lines carry modifiers 52, RT; no unmodified line to compare" and got["mods"]["headline"] is None
+    assert got["negotiated"]["detail"].startswith("2 lines") and got["conflict"]["detail"] == "2 unmodified lines disagree (cash $770.00, $880.00)"
     assert "priced as inpatient" in got["stay"]["detail"] and got["both"]["headline"]["setting"] == "outpatient"
-    assert got["agree"]["detail"].startswith("cash agrees; gross charges differ ($2,460.00, $2,500.00); 1 other line for this code")
+    assert got["agree"]["detail"].startswith("cash agrees; gross charges differ ($1,910.00, $1,990.00); 1 other line for this code")
 
 
 def test_pairs_once_in_order_and_unpriced_named(spark):
@@ -66,10 +66,10 @@ def _km(a, b):
 
 def test_nearest_equals_brute_force_with_crowds_copies_and_the_date_line(spark):
     rng = random.Random(5)
-    points = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(150)] + [(29.7 + rng.random() / 50, -95.4 + rng.random() / 50) for _ in range(400)] + [(40.0, -100.0)] * 250
+    points = [(rng.uniform(-80, 80), rng.uniform(-180, 180)) for _ in range(150)] + [(44.3 + rng.random() / 50, 7.1 + rng.random() / 50) for _ in range(400)] + [(40.0, -100.0)] * 250
     hospitals = spark.createDataFrame(
         [(f"{i:04d}", f"n{i % 7}", "a", "c", "s", "z", "t", "o", la, lo, "zip" if i % 3 else "address", None, 1.0, None) for i, (la, lo) in enumerate(points)], schemas.HOSPITALS)
-    origins = [("a", 29.71, -95.39), ("b", 40.0, -100.0), ("c", 10.0, 179.9), ("d", -60.0, -179.5), ("e", 0.0, 0.0)]
+    origins = [("a", 44.31, 7.11), ("b", 40.0, -100.0), ("c", 10.0, 179.9), ("d", -60.0, -179.5), ("e", 0.0, 0.0)]
     zcta = spark.createDataFrame([(z, la, lo, 1.0) for z, la, lo in origins], schemas.ZCTA)
     got = rows(places.nearest_hospitals(hospitals, zcta, zcta.select("zip"), 6), "query_zip", "rank", "ccn")
     expected = []
@@ -134,19 +134,19 @@ def test_resolution(spark):
 def test_matching_and_ties(spark):
     e = lambda i, n, name, url=None: (i, n, name, url)
     entries = spark.createDataFrame([
-        e("hh", 1, "Harris Health Ben Taub Hospital"), e("hh", 2, "Harris Health Lyndon B Johnson Hospital"), e("el", 1, "23330 Emergency Center, LLC d/b/a Elite Hospital Kingwood"),
-        e("as", 1, "Ascension Seton Northwest (Ascension Seton)", "https://x.org/741109643-1124137054_a_standardcharges.csv"), e("as", 2, "Ascension Seton Southwest (Ascension Seton)", "https://x.org/741109643-1750499273_a_standardcharges.csv"),
-        e("as", 3, "Seton ER 24/7")], "index_id string, entry_no bigint, location_name string, mrf_url string")
+        e("hh", 1, "Linden Valley Oakmere Hospital"), e("hh", 2, "Linden Valley Petrel Bay Hospital"), e("el", 1, "88 Lantern Holdings, LLC d/b/a Summit Hospital Fernside"),
+        e("as", 1, "Corvane Abbey Upland (Corvane Abbey)", "https://x.org/120045518-1506318272_a_standardcharges.csv"), e("as", 2, "Corvane Abbey Lowland (Corvane Abbey)", "https://x.org/120045518-1927483069_a_standardcharges.csv"),
+        e("as", 3, "Abbey ER 24/7")], "index_id string, entry_no bigint, location_name string, mrf_url string")
     hospitals = spark.createDataFrame([
-        ("1", "HARRIS HEALTH", "hh", "a", "HOUSTON", "77030"), ("2", "KINGWOOD PINES HOSPITAL", "hh", "a", "HOUSTON", "77030"), ("3", "ELITE HOSPITAL KINGWOOD", "el", "a", "b", "c"),
-        ("4", "ASCENSION SETON NORTHWEST", "as", "a", "b", "c"), ("5", "ASCENSION SETON", "as", "11113 RESEARCH BOULEVARD", "AUSTIN", "78759")], "ccn string, name string, index_id string, address string, city string, zip string")
+        ("1", "LINDEN VALLEY", "hh", "a", "DUNMERE", "40988"), ("2", "FERNSIDE PINES HOSPITAL", "hh", "a", "DUNMERE", "40988"), ("3", "SUMMIT HOSPITAL FERNSIDE", "el", "a", "b", "c"),
+        ("4", "CORVANE ABBEY UPLAND", "as", "a", "b", "c"), ("5", "CORVANE ABBEY", "as", "640 QUAYSIDE BOULEVARD", "MARLOW", "40871")], "ccn string, name string, index_id string, address string, city string, zip string")
     out = matching.match_entries(hospitals, entries)
     got = {r["ccn"]: r for r in out.collect()}
     assert [got[c]["verdict"] for c in "12345"] == ["ambiguous", "none", "matched", "matched", "ambiguous"]
     assert got["3"]["score"] == 100 and got["4"]["entry_no"] == 1 and len(got["1"]["candidates"]) == 2
-    registry = spark.createDataFrame([("1124137054", "11113 RESEARCH", "Austin", "78759"), ("1750499273", "7900 FM 1826", "AUSTIN", "78737")], "npi string, address string, city string, zip string")
+    registry = spark.createDataFrame([("1506318272", "640 QUAYSIDE", "Marlow", "40871"), ("1927483069", "17 GRANITE ROW", "MARLOW", "40872")], "npi string, address string, city string, zip string")
     tie = {r["ccn"]: r for r in matching.npi_tie_break(out.filter("verdict = 'ambiguous'"), registry).collect()}
-    assert tie["5"]["entry_no"] == 1 and "11113 RESEARCH, Austin" in tie["5"]["why"] and tie["1"]["why"] == "no NPI in the filenames"
+    assert tie["5"]["entry_no"] == 1 and "640 QUAYSIDE, Marlow" in tie["5"]["why"] and tie["1"]["why"] == "no NPI in the filenames"
 
 
 def test_admission_equals_a_plain_model(spark):

@@ -13,38 +13,38 @@ COLUMNS = "description,code|1,code|1|type,setting,billing_class,standard_charge|
 HEAD = "hospital_name,version\nH,3\n"
 
 
-def hospital(ccn, name, address="1 MAIN", city="HOUSTON", zip_code="77030"):
+def hospital(ccn, name, address="1 MAIN", city="DUNMERE", zip_code="40988"):
     return (ccn, name, address, city, "TX", zip_code)
 
 
 def test_discovery_chain(spark):
     hospitals = spark.createDataFrame([
-        hospital("1", "NEWCO HOSPITAL NORTH"), hospital("2", "TOWNSEN MEMORIAL HOSPITAL"), hospital("3", "NOWHERE HOSPITAL"), hospital("4", "SIBLING HOSPITAL"),
-        hospital("5", "ASCENSION SETON", "11113 RESEARCH BLVD", "AUSTIN", "78759"), hospital("6", "LOST HOSPITAL"), hospital("7", "HARRIS HEALTH")],
+        hospital("1", "FAIRLEA HOSPITAL EAST"), hospital("2", "BRACKWATER MEMORIAL HOSPITAL"), hospital("3", "NOWHERE HOSPITAL"), hospital("4", "SIBLING HOSPITAL"),
+        hospital("5", "CORVANE ABBEY", "640 QUAYSIDE BLVD", "MARLOW", "40871"), hospital("6", "LOST HOSPITAL"), hospital("7", "LINDEN VALLEY")],
         "ccn string, name string, address string, city string, state string, zip string")
-    index = "location-name: Newco Hospital North\nmrf-url: https://f.org/n_standardcharges.csv\n"
-    seton = "".join(f"location-name: Ascension Seton {n} (Ascension Seton)\nmrf-url: https://f.org/741109643-{npi}_a_standardcharges.csv\n" for n, npi in (("Northwest", "1124137054"), ("Southwest", "1750499273")))
-    harris = "".join(f"location-name: Harris Health {n} Hospital\nmrf-url: https://f.org/{n}.csv\n" for n in ("Ben Taub", "Johnson"))
+    index = "location-name: Fairlea Hospital East\nmrf-url: https://f.org/n_standardcharges.csv\n"
+    seton = "".join(f"location-name: Corvane Abbey {n} (Corvane Abbey)\nmrf-url: https://f.org/120045518-{npi}_a_standardcharges.csv\n" for n, npi in (("Upland", "1506318272"), ("Lowland", "1927483069")))
+    harris = "".join(f"location-name: Linden Valley {n} Hospital\nmrf-url: https://f.org/{n}.csv\n" for n in ("Oakmere", "Petrel"))
     fetch = lambda domain, no, status, body=None, error=None: (domain, no, ("www." if no else "") + domain, status, error, body, "text/html", f"https://{domain}/cms-hpt.txt")
     fetches = spark.createDataFrame([
-        fetch("newconorth.com", 0, None, error="ConnectError"), fetch("newconorth.com", 1, 200, index), fetch("townsenmemorial.com", 0, 404), fetch("sibling.com", 0, 404),
-        fetch("care.sibling.com", 0, 200, "location-name: Sibling Hospital\nmrf-url: https://f.org/s.json\n"), fetch("healthcare.ascension.org", 0, 200, seton), fetch("nowhere.com", 0, 403),
-        fetch("harrishealth.org", 0, 200, harris), fetch("lost.org", 0, 200, "location-name: Lost Hospital\nmrf-url: https://f.org/gone.csv\n")],
+        fetch("fairleaeast.com", 0, None, error="ConnectError"), fetch("fairleaeast.com", 1, 200, index), fetch("brackwatermemorial.com", 0, 404), fetch("sibling.com", 0, 404),
+        fetch("care.sibling.com", 0, 200, "location-name: Sibling Hospital\nmrf-url: https://f.org/s.json\n"), fetch("corvaneabbey.org", 0, 200, seton), fetch("nowhere.com", 0, 403),
+        fetch("lindenvalley.org", 0, 200, harris), fetch("lost.org", 0, 200, "location-name: Lost Hospital\nmrf-url: https://f.org/gone.csv\n")],
         "domain string, try_no int, host string, status int, error string, body string, content_type string, final_url string")
     landed = spark.createDataFrame([
-        (1, "https://townsenmemorial.com/pricing", '<a href="/f/2025_Shoppable-standardcharges.csv">s</a><a HREF=\'/f/364867804_T_StandardCharges.csv\'>m</a>'),
+        (1, "https://brackwatermemorial.com/pricing", '<a href="/f/2031_Shoppable-standardcharges.csv">s</a><a HREF=\'/f/220719033_B_StandardCharges.csv\'>m</a>'),
         (2, "https://www.sibling.com/", '<a href="https://care.sibling.com/price-transparency">p</a>')], "page_id bigint, url string, html string")
     probe = lambda url, status: (url, status, None, "text/csv", None, "a,b", 10, None, None)
     probes = spark.createDataFrame([probe(u, 200) for u in (
-        "https://f.org/n_standardcharges.csv", "https://townsenmemorial.com/f/364867804_T_StandardCharges.csv", "https://f.org/s.json", "https://f.org/741109643-1124137054_a_standardcharges.csv", "https://f.org/Ben Taub.csv")]
+        "https://f.org/n_standardcharges.csv", "https://brackwatermemorial.com/f/220719033_B_StandardCharges.csv", "https://f.org/s.json", "https://f.org/120045518-1506318272_a_standardcharges.csv", "https://f.org/Oakmere.csv")]
         + [probe("https://f.org/gone.csv", 404)], "url string, status int, error string, content_type string, disposition string, head string, size_bytes bigint, last_modified string, etag string")
-    registry = spark.createDataFrame([("1124137054", "11113 RESEARCH", "AUSTIN", "78759"), ("1750499273", "7900 FM", "AUSTIN", "78737")], "npi string, address string, city string, zip string")
+    registry = spark.createDataFrame([("1506318272", "640 QUAYSIDE", "MARLOW", "40871"), ("1927483069", "17 GRANITE", "MARLOW", "40872")], "npi string, address string, city string, zip string")
     answers = spark.createDataFrame([("7", 1)], "ccn string, entry_no bigint")
     got = {r["ccn"]: r for r in discovery.locate(hospitals, fetches, pages.extract_links(landed), registry, probes, entry_answers=answers).collect()}
     assert {c: (r["ok"], r["method"]) for c, r in got.items()} == {
         "1": (True, "cms-hpt"), "2": (True, "site-page"), "3": (False, "failed"), "4": (True, "site-link+cms-hpt"), "5": (True, "cms-hpt+npi"), "6": (False, "cms-hpt"), "7": (True, "cms-hpt+tie-break")}
-    assert got["2"]["mrf_url"].endswith("364867804_T_StandardCharges.csv") and got["3"]["reason"].startswith("no cms-hpt.txt or linked file located") and "403 blocked" in got["3"]["reason"]
-    assert got["6"]["reason"] == "file URL failed: HTTP 404" and got["4"]["shape"] == "json" and got["5"]["location_name"].startswith("Ascension Seton Northwest")
+    assert got["2"]["mrf_url"].endswith("220719033_B_StandardCharges.csv") and got["3"]["reason"].startswith("no cms-hpt.txt or linked file located") and "403 blocked" in got["3"]["reason"]
+    assert got["6"]["reason"] == "file URL failed: HTTP 404" and got["4"]["shape"] == "json" and got["5"]["location_name"].startswith("Corvane Abbey Upland")
 
 
 def test_stored_answers_outside_the_candidates_are_refused(spark):
@@ -66,10 +66,10 @@ def test_extractions_are_replaced_whole_and_reasons_kept(spark, tmp_path):
         store.write_extractions(spark, root, headers, charges, sums, dt.datetime(2026, 1, 1))
         return {r["ok"]: r for r in store.read_table(spark, root, "extractions").collect()}
 
-    first = run("MRI,73721,CPT,outpatient,,10,5\nmri ,73721,CPT,inpatient,,11,\nCT,1,RC,,,1,\n")
+    first = run("Hearing test,92557,CPT,outpatient,,10,5\nhearing TEST ,92557,CPT,inpatient,,11,\nCast,1,RC,,,1,\n")
     assert (first[True]["charges"], first[True]["items"]) == (3, 2) and first[False]["reason"] == "off-template: fewer than 3 rows"
-    assert rows(store.read_table(spark, root, "items"), "description") == [("CT",), ("MRI",)]
-    second = run("MRI,73721,CPT,outpatient,,10,5\n")
+    assert rows(store.read_table(spark, root, "items"), "description") == [("Cast",), ("Hearing test",)]
+    second = run("Hearing test,92557,CPT,outpatient,,10,5\n")
     assert second[True]["charges"] == 1 and store.read_table(spark, root, "charges").count() == 1 and store.read_table(spark, root, "extractions").count() == 2
 
 
@@ -77,9 +77,9 @@ def reference(spark, tmp_path):
     folder = tmp_path / "ref"
     folder.mkdir()
     (folder / "h.csv").write_text("Facility ID,Facility Name,Address,City/Town,State,ZIP Code,Phone,Hospital Type,Hospital Ownership\n"
-                                  '45074F,VA CENTER,1 A,HOUSTON,TX,77030,x,Acute Care - Veterans Administration,V\n1,"ALTUS, LP",2 B,HOUSTON,TX,77072,x,Acute Care Hospitals,P\n2,HERMANN,3 C,HOUSTON,TX,77030,x,Acute Care Hospitals,P\n3,BOX,PO,X,TX,501,x,Childrens,P\n')
-    (folder / "z.txt").write_text("GEOID\tALAND\tINTPTLAT\tINTPTLONG     \n77030\t6684886\t29.705557\t-95.401754   \n77072\t19213472\t29.700441\t-95.585023\n")
-    (folder / "c.csv").write_text("ccn,lat,lon,match\n45074F,29.7059,-95.39,Exact\n1,29.811936996375,-95.164052619802,Non_Exact\n2,29.715096626711,-95.396526455787,Non_Exact\n")
+                                  '40512F,FEDERAL CENTER,1 A,DUNMERE,TX,40988,x,Acute Care - Veterans Administration,V\n1,"BRINDLE, LP",2 B,DUNMERE,TX,40977,x,Acute Care Hospitals,P\n2,TOLLAND,3 C,DUNMERE,TX,40988,x,Acute Care Hospitals,P\n3,BOX,PO,X,TX,501,x,Childrens,P\n')
+    (folder / "z.txt").write_text("GEOID\tALAND\tINTPTLAT\tINTPTLONG     \n40988\t5100200\t44.300000\t7.100000   \n40977\t8200400\t44.350000\t7.250000\n")
+    (folder / "c.csv").write_text("ccn,lat,lon,match\n40512F,44.3010,7.1020,Exact\n1,44.350000,7.750000,Non_Exact\n2,44.302000,7.104000,Non_Exact\n")
     return (reference_data.read_hospitals(spark, str(folder / "h.csv")), reference_data.read_zcta(spark, str(folder / "z.txt")), reference_data.read_coords(spark, str(folder / "c.csv")))
 
 
@@ -90,8 +90,8 @@ def test_build_publishes_only_when_sound_and_carries_rows_over(spark, tmp_path):
     limits = dict(min_zips=1, min_hospitals=1, max_unresolved_share=0.5)
     out = reference_build.build(spark, root, "v1", raw, zcta, coords, sources, True, dt.datetime(2026, 1, 1), **limits)
     assert (out["address"], out["zip"], out["unresolved"], out["rejected_geocodes"]) == (2, 1, 1, 1)
-    altus = store.read_table(spark, f"{root}/v1", "hospitals").filter("ccn = '1'").first()
-    assert altus["location_note"] == "Non_Exact geocode rejected: 42 km from the 77072 centroid" and altus["geocode_match"] is None
+    brindle = store.read_table(spark, f"{root}/v1", "hospitals").filter("ccn = '1'").first()
+    assert brindle["location_note"] == "Non_Exact geocode rejected: 40 km from the 40977 centroid" and brindle["geocode_match"] is None
     store.append(spark.createDataFrame([("9", True)], "ccn string, ok boolean"), f"{root}/v1", "hospital_files")
     with pytest.raises(reference_build.BuildFailed, match="implausible"):
         reference_build.build(spark, root, "v2", raw, zcta, coords, sources, True, dt.datetime(2026, 1, 2), min_zips=9)
@@ -99,14 +99,14 @@ def test_build_publishes_only_when_sound_and_carries_rows_over(spark, tmp_path):
     out = reference_build.build(spark, root, "v3", raw, zcta, coords, sources, True, dt.datetime(2026, 1, 3), previous="v1", **limits)
     assert reference_build.current(spark, root) == "v3" and store.read_table(spark, f"{root}/v3", "hospital_files").count() == 1
     assert set(out["carried_tables"]) == {"sources", "hospital_files"} and store.read_table(spark, f"{root}/v3", "sources").count() == 4
-    kept = export.export_subset(spark, f"{root}/v3", str(tmp_path / "out"), spark.createDataFrame([("77030",)], "zip string"), 1)
+    kept = export.export_subset(spark, f"{root}/v3", str(tmp_path / "out"), spark.createDataFrame([("40988",)], "zip string"), 1)
     assert kept["hospitals"] == 4 and kept["hospitals_kept"] == 1 and export.verify(spark, str(tmp_path / "out"))["hospitals"] == 4
 
 
 def test_recorded_run_joined_by_name_with_defaults(spark, tmp_path):
     line = {"code_type": "CPT", "code": "1", "cash": 5.0}
-    doc = {"recorded_on": "2026-01-01", "zips": {"77030": [{"ccn": "1", "name": "A", "distance_km": 1.5, "approximate": False, "mrf_url": "u"}, {"ccn": "2", "name": "B", "distance_km": 2.5}]},
-           "services": {"knee mri": {"service": "MRI", "codes": "CPT 1", "hospitals": [{"name": "A", "verdict": "comparable", "line_count": 3, "headline": line, "lines": [line]}]}}}
+    doc = {"recorded_on": "2026-01-01", "zips": {"40988": [{"ccn": "1", "name": "A", "distance_km": 1.5, "approximate": False, "mrf_url": "u"}, {"ccn": "2", "name": "B", "distance_km": 2.5}]},
+           "services": {"hearing": {"service": "Hearing test", "codes": "CPT 1", "hospitals": [{"name": "A", "verdict": "comparable", "line_count": 3, "headline": line, "lines": [line]}]}}}
     (tmp_path / "r.json").write_text(json.dumps(doc))
     zips, services = reference_data.read_run_recording(spark, str(tmp_path / "r.json"))
     got = rows(reference_data.recorded_results(zips, services).withColumn("url", F.coalesce("url", F.lit("-"))), "ccn", "verdict", "line_count", "url")
