@@ -35,6 +35,8 @@ NEVER = frozenset("head script style noscript template iframe svg math object fo
 ENDS_P = BLOCKS - {"html", "body", "td", "th", "option", "legend", "summary"}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 UNWANTED = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|sidebar|side|widget\w*|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|related|share|sharing|social|skip|signup|login)(?:[-_\s\d]|$)", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+SITE_HEADER = frozenset(("header", "site-header", "page-header", "global-header", "top-header"))
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -141,7 +143,8 @@ def unwanted(node: Node, in_article: bool) -> bool:
     a = attributes(node.attrs)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
         return True
-    return bool(UNWANTED.search(a.get("class", "")) or UNWANTED.search(a.get("id", "")))
+    names = CAMEL.sub("-", f"{a.get('class', '')} {a.get('id', '')}")
+    return bool(UNWANTED.search(names)) or not in_article and not SITE_HEADER.isdisjoint(names.lower().split())
 
 
 def walk(root: Node, body: Node) -> list[tuple[Node, bool]]:
@@ -199,18 +202,30 @@ def _depth(node: Node) -> int:
     return n
 
 
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TEXT_BLOCKS = INLINE | HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dd", "dt", "dl"}
+
+
 def content(nodes: list[tuple[Node, bool]]) -> Node:
-    """The subtree to read: the densest node, widened while it is inside a paragraph or heading (a block of text is
-    not split) and up to the article or main element that holds it."""
-    best, _ = main_node(nodes)
-    up = best
+    """The subtree to read: the article or main element that holds the densest node. Without one, the densest node,
+    widened out of text blocks (they are not split), to parents where other parts at least as dense as the threshold
+    hold a tenth of its text or more, and to a parent that adds its heading."""
+    best, threshold = main_node(nodes)
+    body, up = nodes[0][0], best
     while up is not None:
         if up.tag in ("article", "main"):
             return up
         up = up.parent
-    while best.parent is not None and best.tag in INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre"} and best.tag != "body":
+    while best is not body and best.tag in TEXT_BLOCKS:
         best = best.parent
-    return best
+    wide, up = best, best
+    while up is not body:
+        others = [c for c in up.parent.children if not isinstance(c, str) and c is not up]
+        heads = any(c.tag in HEADINGS for c in others) and up.parent is not body
+        if heads or any(c.density >= threshold and (c.chars - c.link_chars) * 10 >= wide.chars for c in others):
+            wide = up.parent
+        up = up.parent
+    return wide
 
 
 def blocks(node: Node, threshold: float) -> list[str]:

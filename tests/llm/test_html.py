@@ -12,6 +12,7 @@ LONG = "A sentence that goes on for a while, with commas, and says something pla
     (f"<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body>{CHROME}<article><h1>Head</h1><p>One&nbsp;two\n three<p>Four <b>five</b><br>six</article>{FOOT}", "Head\nOne two three\nFour five six"),
     (f"<body>{CHROME}<div id=content><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><ul><li>one</li><li>two</li></ul></div><div id='sidebar'><a href=x>link</a> <a href=y>link</a></div>{FOOT}</body>", f"Head\n{LONG.strip()}\n{LONG.strip()}\none\ntwo"),
     (f"<main><p>{LONG}</p><section class='comments'><p>First!</p></section><form><input><p>Name</p></form><div class='cookie-notice'>We use cookies</div></main>", LONG.strip()),
+    (f"<body><div id=pageHeader class=header><p>{LONG}</p></div><div class=wrap><div class=text><h1>Head</h1><div class=part><p>{LONG}</p><p>{LONG}</p></div><div class=part><p>{LONG}</p></div></div><div class=readerComments><p>{LONG}</p></div></div>{FOOT}</body>", "\n".join(["Head", *[LONG.strip()] * 3])),
     ("<article><header><h1>Own head</h1></header><p>Body</p></article><header>Site</header>", "Own head\nBody"),
     ("<p>a</p></div></p><p>b</span>c", "a\nbc"),
     ("<article><p>1 &lt; 2 &#233; &eacute; &notit; &#x65E5;</p><!-- hidden --><p class=leadership>kept</p></article>", "1 < 2 é é ¬it; 日\nkept"),
