@@ -120,5 +120,17 @@ def spend_per_day(spend: DataFrame) -> DataFrame:
     return daily.withColumn("so_far", F.sum("usd").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
+def listed_results(discoveries: DataFrame) -> DataFrame:
+    """Discoveries with their place in a listing: located ones first, then by name, then by id. Numbered inside
+    (located, first letter) and shifted by the sizes of the groups before."""
+    group = ["_late", "_letter"]
+    keyed = discoveries.withColumn("_late", ~F.coalesce("ok", F.lit(False))).withColumn("_letter", F.substring(F.coalesce("name", F.lit("")), 1, 1))
+    sizes = keyed.groupBy(*group).agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)  # a row for each first letter
+    starts = sizes.select(*group, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy("name", "ccn"))
+    return keyed.withColumn("_inside", inside).join(starts, group).withColumn("place", F.col("_before") + F.col("_inside")).drop(*group, "_inside", "_before")
+
+
 def reviewed_services(services: DataFrame) -> DataFrame:
     return services.agg(F.count_if("reviewed").alias("reviewed"), F.count("*").alias("services"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +63,10 @@ def build(spark: SparkSession, root: str, version: str, raw_hospitals: DataFrame
 
 
 def publish(spark: SparkSession, root: str, version: str) -> None:
-    """The pointer is one small file, replaced whole."""
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    """The pointer is a small log: each publication adds a row and deletes nothing, so there is a current version at
+    every moment, also after a crash."""
+    spark.createDataFrame([(time.time_ns(), version)], "published_at bigint, version string").coalesce(1).write.mode("append").parquet(f"{root}/current")
 
 
 def current(spark: SparkSession, root: str) -> str:
-    return spark.read.text(f"{root}/current").first()["value"]
+    return spark.read.parquet(f"{root}/current").agg(F.max_by("version", "published_at")).first()[0]

@@ -154,3 +154,10 @@ def summaries_all(spark, folder):
     joined = pairs.join(summaries(spark, folder), ["service_id", "extraction_id"], "left")
     return joined.select(F.col("service_id").alias("query"), "service_id", F.lit("s").alias("service"), F.lit("c").alias("codes"), F.col("extraction_id").alias("hospital"), F.col("extraction_id").alias("ccn"), "verdict", "line_count", "headline",
                          F.lit("").alias("file_date"), F.lit("").alias("url"))
+
+
+@register("T6_results_ok_first", f"{views.with_views('d_raw_hospitals', 'd_hospital_files')}, one AS (SELECT h.ccn, h.name, coalesce(bool_or(f.ok), false) AS ok FROM d_raw_hospitals h LEFT JOIN d_hospital_files f ON f.ccn = h.ccn GROUP BY ALL)\n    SELECT ccn, ok, row_number() OVER (ORDER BY NOT ok, name, ccn) AS place FROM one")
+def listed(spark, folder):
+    hospitals, files = views.load(spark, folder, "d_raw_hospitals", "d_hospital_files")
+    found = hospitals.select("ccn", "name").join(files.groupBy("ccn").agg(F.bool_or("ok").alias("ok")), "ccn", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return audit.listed_results(found).select("ccn", "ok", "place")
