@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,13 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def portions(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes in the last column, or one longer text; bounds a worker's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+    for _, a, b in _runs(np.cumsum(sizes) // most):
+        yield batch.slice(a, b - a)
+
+
 def token_arrays(batch: pa.RecordBatch, cut: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a batch's last column (each text ends in an end), and the lengths."""
     parts = [word_hashes([*cut(t), END]) for t in texts_of(batch.column(batch.num_columns - 1))]
@@ -200,6 +208,16 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several portions as one."""
+    if len(counts) == 1:
+        return counts[0]
+    keys = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in counts]])
+    n = np.concatenate([np.empty(0, np.int32), *[n.astype(np.int32) for _, n in counts]])  # of one batch
+    counts.clear()
+    return _summed(keys, n)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]):
     """All rows (shard, key, n) of a task, shard by shard, summed by key."""
     parts = [[c.to_numpy() for c in (b.column(0), b.column(1), b.column(2))] for b in batches if b.num_rows]
@@ -221,13 +239,13 @@ def _counted(shard: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBat
 def train(docs: DataFrame, text: str = "text", cut: Callable = plain_words, name: str = "model") -> Model:
     """Counts every text of `docs`."""
     source = docs.select(F.col(text).alias("text"))
-    bits = max(4, (source.rdd.getNumPartitions() - 1).bit_length())
+    bits = max(4, (4 * source.rdd.getNumPartitions() - 1).bit_length())
     shards, folder = 1 << bits, new_work_path(docs.sparkSession, name)
     model = Model(folder, bits, np.zeros(shards, np.int64), np.zeros(shards, np.int64), np.zeros(shards, np.int64), 0, 0, np.empty(0, np.uint64))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n = np.unique(token_arrays(batch, cut)[0], return_counts=True)
+            keys, n = _merged([np.unique(token_arrays(part, cut)[0], return_counts=True) for part in portions(batch)])
             yield _counted(model.shard_of_hash(keys), keys, n)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,14 +269,17 @@ def train(docs: DataFrame, text: str = "text", cut: Callable = plain_words, name
     hot = [int(model.bases[r["shard"]]) + i for r in figures for i, n in zip(r["at"], r["times"], strict=True) if n * 4 * shards > tokens]
     model.hot = np.array(sorted([*hot, int(START)] if texts * 4 * shards > tokens else hot), np.uint64)
 
+    def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        hashes, lengths = token_arrays(batch, cut)
+        distinct, back = np.unique(hashes, return_inverse=True)
+        v = model.look_up(distinct)[0][back]
+        u = np.concatenate([v[:1], v[:-1]])
+        u[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = START
+        return np.unique((u << np.uint64(32)) | v, return_counts=True)
+
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, lengths = token_arrays(batch, cut)
-            distinct, back = np.unique(hashes, return_inverse=True)
-            v = model.look_up(distinct)[0][back]
-            u = np.concatenate([v[:1], v[:-1]])
-            u[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else []] = START
-            keys, n = np.unique((u << np.uint64(32)) | v, return_counts=True)
+            keys, n = _merged([pairs_of(part) for part in portions(batch)])
             yield _counted(model.shard_of_pair(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)), keys, n)
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +333,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """key, n_tokens, n_known, base_score, score of every text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             hashes, lengths = token_arrays(batch, cut)
             known, plain, full = model.score(hashes, lengths)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.array(known), pa.array(plain), pa.array(full)], names=["id", "n_tokens", "n_known", "base_score", "score"])
