@@ -41,16 +41,16 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def portions(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes in the last column, or one longer text; bounds a worker's memory."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+def portions(batch: pa.RecordBatch, most: int = 6_000_000, text: int = -1) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` bytes in the text column, or one longer text; bounds a worker's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text % batch.num_columns)), 0).to_numpy(zero_copy_only=False)
     for _, a, b in _runs(np.cumsum(sizes) // most):
         yield batch.slice(a, b - a)
 
 
-def token_arrays(batch: pa.RecordBatch, cut: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of a batch's last column (each text ends in an end), and the lengths."""
-    parts = [word_hashes([*cut(t), END]) for t in texts_of(batch.column(batch.num_columns - 1))]
+def token_arrays(batch: pa.RecordBatch, cut: Callable, text: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of a batch's text column (each text ends in an end), and the lengths."""
+    parts = [word_hashes([*cut(t), END]) for t in texts_of(batch.column(text % batch.num_columns))]
     return np.concatenate([np.empty(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
