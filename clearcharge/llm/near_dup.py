@@ -6,8 +6,9 @@
 2. Documents with equal sets are one class; the smallest id stands for it. Copies never meet as pairs.
 3. In each band bucket every class is compared with the bucket's smallest id (a star, so as many pairs as rows).
    Sketches drop pairs far below the threshold, full sets confirm the rest, components are formed.
-4. What is left are pairs in one bucket that are in different components. Small buckets list them; large ones are
-   compared block by block on their sketches, each block pair a task of its own. Full sets confirm these too.
+4. What is left are pairs in one bucket that are in different components. Small buckets list them (at most 31 for a
+   row) and full sets confirm them; large ones are compared block by block, each block pair a group of its own:
+   sketches, then full sets, and of the links only those that join components leave the block.
 
 With 56 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 4e-8; the sketch drops such a pair
 with about 1e-9. Nothing is capped.
@@ -20,19 +21,22 @@ smaller id; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clearcharge.llm.common import gram_hashes, materialise, scramble, texts_of, word_hashes
+from clearcharge.llm.common import gram_hashes, materialise, new_work_path, scramble, texts_of, word_hashes
 from clearcharge.llm.graph import components
+from clearcharge.llm.shared_files import map_array, write_array
 from clearcharge.session import broadcast_if_small
 
 BANDS, ROWS = 56, 6
 SKETCH_BITS = 2048
-SMALL_BUCKET, BLOCK = 64, 512
+SMALL_BUCKET, BLOCK = 32, 256
 # Sketch estimates below this are dropped: over six standard deviations under a true similarity of 0.8.
 LEAST_ESTIMATE = 0.62
 _random = np.random.default_rng(20240607)
@@ -147,21 +151,73 @@ class Links:
         sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
         return both.filter(sizes).filter(ones <= MOST_ONES).select("a", "b")
 
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """id, items: the full sets of some ids."""
+        texts = self.docs.select(F.col(self.key).cast("bigint").alias("id"), F.col(self.text).alias("text"))
+        wanted = texts.join(broadcast_if_small(ids), "id", "left_semi")
+        return materialise(shingle_sets(wanted, self.words, "id", "text"), f"{name}-sets").dropDuplicates(["id"])
+
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) whose full sets reach the threshold."""
         pairs = materialise(self.alike(pairs), f"{name}-alike")
         ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-        texts = self.docs.select(F.col(self.key).cast("bigint").alias("id"), F.col(self.text).alias("text"))
-        wanted = texts.join(broadcast_if_small(ids), "id", "left_semi")
-        sets = materialise(shingle_sets(wanted, self.words, "id", "text"), f"{name}-sets")
+        sets = self.sets(ids, name)
         both = pairs.join(sets.toDF("a", "items_a"), "a").join(sets.toDF("b", "items_b"), "b")
         shared = F.size(F.array_intersect("items_a", "items_b")).cast("bigint")
         sized = both.select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).cast("bigint").alias("total"))
         return materialise(sized.filter(f"100 * shared >= {self.percent} * (total - shared)").select("a", "b").distinct(), f"{name}-links")
 
 
-def cross_pairs(buckets: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket in different components. `buckets`: key, id, n, component."""
+@dataclass
+class SetFiles:
+    """Sets, bands and sketches of some ids as sorted arrays in the shared folder, mapped by workers."""
+
+    folder: str
+    shards: int
+
+    @staticmethod
+    def write(rows: DataFrame, shards: int) -> SetFiles:
+        """`rows`: id, bands, sketch, items."""
+        held = SetFiles(new_work_path(rows.sparkSession, "near-set-files"), shards)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = list(batches)
+            table = pa.Table.from_batches(parts) if parts else None
+            done = np.unique(table.column("shard").to_numpy()) if table is not None else []
+            for s in done:
+                part = table.filter(pc.equal(table.column("shard"), int(s))).sort_by("id")
+                column = part.column("items").combine_chunks()
+                ends = column.offsets.to_numpy().astype(np.int64)
+                write_array(f"{held.folder}/id-{s}", part.column("id").to_numpy())
+                write_array(f"{held.folder}/ends-{s}", ends - ends[0])
+                write_array(f"{held.folder}/items-{s}", column.flatten().to_numpy(zero_copy_only=False))
+                for name in ("bands", "sketch"):
+                    write_array(f"{held.folder}/{name}-{s}", part.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(np.asarray(done, np.int32))})
+
+        placed = rows.select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), "id", "bands", "sketch", "items").repartition(shards, "shard")
+        materialise(placed.mapInArrow(work, "shard int"), "near-set-shards").count()
+        return held
+
+    def read(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Bands, sketches and sets of known ids."""
+        bands, sketch = np.empty((len(ids), BANDS), np.int64), np.empty((len(ids), SKETCH_BITS // 64), np.uint64)
+        sets: list = [None] * len(ids)
+        shard = ids % self.shards
+        for s in np.unique(shard):
+            mine = np.flatnonzero(shard == s)
+            at = np.searchsorted(map_array(f"{self.folder}/id-{s}", np.int64), ids[mine])
+            bands[mine] = map_array(f"{self.folder}/bands-{s}", np.int64).reshape(-1, BANDS)[at]
+            sketch[mine] = map_array(f"{self.folder}/sketch-{s}", np.uint64).reshape(-1, SKETCH_BITS // 64)[at]
+            ends, items = map_array(f"{self.folder}/ends-{s}", np.int64), map_array(f"{self.folder}/items-{s}", np.uint64)
+            for m, k in zip(mine, at, strict=True):
+                sets[m] = items[ends[k] : ends[k + 1]]
+        return bands, sketch, sets
+
+
+def cross_pairs(buckets: DataFrame, marks: DataFrame, links: Links) -> tuple[DataFrame, DataFrame]:
+    """What of one bucket lies in different components: candidate pairs (a, b) of small buckets, confirmed links of
+    large ones. `buckets`: key, id, component."""
     mixed = buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
     mixed = materialise(mixed.select("key", "m"), "near-mixed")
     rows = materialise(buckets.select("key", "id", "component").join(mixed, "key"), "near-mixed-rows")
@@ -169,28 +225,51 @@ def cross_pairs(buckets: DataFrame, marks: DataFrame) -> DataFrame:
     listed = small.select("key", F.col("id").alias("a"), F.col("component").alias("ca")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("cb")), "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
     large = rows.filter(F.col("m") > SMALL_BUCKET)
     if large.limit(1).count() == 0:
-        return listed
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = large.join(marks.select("id", "sketch", "n_shingles"), "id").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sides = placed.select("key", "id", "component", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # A block pair (i, j), i <= j, is one group: rows of block i on the left, of block j on the right.
-    grouped = sides.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "sketch")
+        return listed, listed.limit(0)
+    ids = materialise(large.select("id").distinct(), "near-large-ids")
+    held = SetFiles.write(marks.select("id", "bands", "sketch").join(broadcast_if_small(ids), "id", "left_semi").join(links.sets(ids, "near-large"), "id"), max(8, -(-ids.count() // 2_048)))
+    placed = large.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sides = placed.select("key", "id", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # A block pair (i, j), i <= j, is one group. Its rows are ids only; sets, bands and sketches are mapped.
+    grouped = sides.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
+    percent = links.percent
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        """Links that join components, each pair looked at in its first common bucket only."""
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
         mine, ids, comp = (table.column(c).to_numpy() for c in ("mine", "id", "component"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x in left:
-            ones = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1)
-            hit = right[(ones <= MOST_ONES) & (comp[right] != comp[x])]
-            out_a.append(np.minimum(ids[hit], ids[x]))
-            out_b.append(np.maximum(ids[hit], ids[x]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        bands, sketch, sets = held.read(ids)
+        band = int((bands[0] == key).argmax())
+        root = {int(c): int(c) for c in comp}
 
-    found = grouped.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-    return listed.union(found.filter("a < b")).distinct()
+        def head(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found: list[tuple[int, int]] = []
+        for at, x in enumerate(left):
+            others = right[at + 1 :] if i == j else right
+            others = others[comp[others] != comp[x]]
+            others = others[np.bitwise_count(sketch[others] ^ sketch[x]).sum(axis=1) <= MOST_ONES]
+            others = others[~(bands[others, :band] == bands[x, :band]).any(axis=1)]
+            own = sets[x]
+            for y in others:
+                a, b = head(int(comp[x])), head(int(comp[y]))
+                if a == b:
+                    continue
+                its = sets[y]
+                if 100 * min(len(own), len(its)) < percent * max(len(own), len(its)):
+                    continue
+                shared = int((own[np.minimum(np.searchsorted(own, its), len(own) - 1)] == its).sum())
+                if 100 * shared >= percent * (len(own) + len(its) - shared):
+                    root[max(a, b)] = min(a, b)
+                    found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return listed, grouped.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,8 +289,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     first = components(stars, "near-first")
 
     labelled = buckets.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rest = materialise(cross_pairs(materialise(labelled, "near-labelled"), marks), "near-rest")
-    more = links.confirm(rest, "near-more")
+    listed, joined = cross_pairs(materialise(labelled, "near-labelled"), marks, links)
+    more = materialise(links.confirm(materialise(listed, "near-rest"), "near-more").union(joined), "near-joined")
     final = components(stars.union(more), "near-final") if more.limit(1).count() else first
 
     placed = members.join(final.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(F.col("id").alias(key), "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
