@@ -36,7 +36,7 @@ from clearcharge.session import broadcast_if_small
 
 BANDS, ROWS = 56, 6
 SKETCH_BITS = 2048
-SMALL_BUCKET, BLOCK = 32, 256
+SMALL_BUCKET, BLOCK = 32, 1024
 # Sketch estimates below this are dropped: over six standard deviations under a true similarity of 0.8.
 LEAST_ESTIMATE = 0.62
 _random = np.random.default_rng(20240607)
