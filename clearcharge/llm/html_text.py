@@ -4,7 +4,7 @@ Each page becomes a tree of its tags (unclosed and stray tags are put right as a
 characters and tags under it, and those under links, give its composite density: characters per tag, damped where
 links hold most of them. A node's density sum is the sum over its children. From the body the content is the node of
 the largest density sum; the least density on the way from it up to the body is the threshold below which parts of it
-are left out, unless they are plain text blocks.
+are left out, if they are containers that hold mostly links; headings, paragraphs and items are not left out.
 
 What is never main text is taken out before counting: scripts, styles, forms, navigation, headers and footers of the
 page, sidebars, and elements whose class, id or role names an advert, a notice, a menu, or reader comments.
@@ -204,18 +204,32 @@ def _depth(node: Node) -> int:
 
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 TEXT_BLOCKS = INLINE | HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dd", "dt", "dl"}
+ITEMS = frozenset(("p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "td", "th", "tr", "caption"))
+LISTS = frozenset(("ul", "ol", "dl", "table", "tbody", "thead"))
 
 
 def content(nodes: list[tuple[Node, bool]]) -> Node:
-    """The subtree to read: the article or main element that holds the densest node. Without one, the densest node,
-    widened out of text blocks (they are not split), to parents where other parts at least as dense as the threshold
-    hold a tenth of its text or more, and to a parent that adds its heading."""
+    """The subtree to read: the outermost article around the densest node, or the main element where that adds a heading
+    or other articles (or, without one, a parent that holds nothing but articles and headings). Without article and main,
+    the densest node, widened out of text blocks (they are not split), to parents where other parts at least as dense as
+    the threshold hold a tenth of its text or more, and to a parent that adds its heading."""
     best, threshold = main_node(nodes)
     body, up = nodes[0][0], best
+    article = main = None
     while up is not None:
-        if up.tag in ("article", "main"):
-            return up
+        article = up if up.tag == "article" else article
+        main = up if up.tag == "main" else main
         up = up.parent
+    if article is not None:
+        inside = {id(n) for n, _ in _below(article)}
+        if main is not None and any(n.chars and id(n) not in inside and (n.tag in HEADINGS or n.tag == "article") for n, _ in _below(main)):
+            return main
+        parts = [c for c in article.parent.children if (c.strip() if isinstance(c, str) else c.chars)] if article is not body else []
+        if len(parts) > 1 and all(not isinstance(c, str) and (c.tag == "article" or c.tag in HEADINGS) for c in parts):
+            return article.parent
+        return article
+    if main is not None:
+        return main
     while best is not body and best.tag in TEXT_BLOCKS:
         best = best.parent
     wide, up = best, best
@@ -228,8 +242,31 @@ def content(nodes: list[tuple[Node, bool]]) -> Node:
     return wide
 
 
+def _below(node: Node) -> list[tuple[Node, bool]]:
+    """A node and the nodes under it, in page order, each with whether it is within a link inside the node."""
+    out, todo = [], [(node, False)]
+    while todo:
+        x, link = todo.pop()
+        out.append((x, link))
+        todo += [(c, link or c.tag == "a") for c in reversed(x.children) if not isinstance(c, str)]
+    return out
+
+
+def _is_text(node: Node, listed: bool) -> bool:
+    """Whether a block is text of its own: a heading, paragraph or item, a list where `listed`, or a wrapper of just one."""
+    while True:
+        if node.tag in HEADINGS or node.tag in ITEMS or listed and node.tag in LISTS:
+            return True
+        parts = [c for c in node.children if (c.strip() if isinstance(c, str) else c.chars)]
+        if len(parts) != 1 or isinstance(parts[0], str):
+            return False
+        node = parts[0]
+
+
 def blocks(node: Node, threshold: float) -> list[str]:
-    """Texts of the blocks under a node. A child block that is mostly links and below the threshold is left out."""
+    """Texts of the blocks under a node. A container that is mostly links and below the threshold is left out; headings,
+    paragraphs and items stay, and inside an article or main element lists."""
+    in_article = node.tag in ("article", "main") or any(not isinstance(c, str) and c.tag == "article" for c in node.children)
     out: list[list[str]] = [[]]
     todo: list = [("open", node)]
     while todo:
@@ -239,7 +276,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
         elif what == "close":
             out.append([])
         else:
-            if x is not node and x.density < threshold and x.link_chars * 2 > x.chars and x.tag in BLOCKS:
+            if x is not node and x.density < threshold and x.link_chars * 2 > x.chars and x.tag in BLOCKS and not _is_text(x, in_article):
                 continue
             if x.tag == "br":
                 out[-1].append(" ")

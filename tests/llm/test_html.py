@@ -33,3 +33,14 @@ def test_nothing_is_cut():
     text = "\n".join(f"Paragraph {i} holds its own words, {i * 7}." for i in range(4_000))
     page = f"<html><body>{CHROME}<article>" + "".join(f"<p>{t}</p>" for t in text.split("\n")) + f"</article>{FOOT}</body></html>"
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><h1><a href=/t>Title</a></h1><p>{LONG}</p><h2><a href='#x'>Section</a></h2><p>{LONG}</p><p><a href=s>Source</a></p><ul><li><a href=r>Reference</a></li><li><a href=q>Other</a></li></ul></article>", ["Title", LONG.strip(), "Section", LONG.strip(), "Source", "Reference", "Other"]),
+    (f"<body><div class=text><div><h1><a href=/t>Title</a></h1></div><p>{LONG}</p><p>{LONG}</p><div><a href=1>one</a> <a href=2>two</a></div></div></body>", ["Title", LONG.strip(), LONG.strip()]),
+    (f"<body><main><h1>Head</h1><article><p>{LONG}</p><p>{LONG}</p></article><article><p>More</p></article></main></body>", ["Head", LONG.strip(), LONG.strip(), "More"]),
+    (f"<body>{CHROME}<article><p>{LONG}</p><p>{LONG}</p></article><article><p>More</p></article>{FOOT}</body>", [LONG.strip(), LONG.strip(), "More"]),
+    (f"<body><main><article><p>{LONG}</p></article><div><a href=1>one</a> <a href=2>two</a></div></main></body>", [LONG.strip()]),
+])
+def test_linked_blocks_and_further_articles_stay(page, want):
+    assert main_text(page) == "\n".join(want)
