@@ -7,7 +7,9 @@ the largest density sum; the least density on the way from it up to the body is
 are left out, if they are containers that hold mostly links; headings, paragraphs and items are not left out.
 
 What is never main text is taken out before counting: scripts, styles, forms, navigation, headers and footers of the
-page, sidebars, and elements whose class, id or role names an advert, a notice, a menu, or reader comments.
+page, sidebars, reader comments and elements of such a role. Elements whose class or id names an advert, a notice, a
+menu and the like are taken out where they hold mostly links or little of the body's text (PART_OF_NAME, or WHOLE_NAME
+where nothing else is in the name), or stand beside an article or main element; if nothing is left, names do not count.
 
 Text: character references decoded, white space inside a block is one blank, blocks are joined by one line feed in
 page order; nothing is cut.
@@ -36,6 +38,8 @@ ENDS_P = BLOCKS - {"html", "body", "td", "th", "option", "legend", "summary"}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 UNWANTED = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|sidebar|side|widget\w*|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|masthead|topbar|toolbar|related|share|sharing|social|skip|signup|login)(?:[-_\s\d]|$)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+COMMENTS = frozenset(("comments", "commentlist", "comment-list", "disqus_thread", "disqus-thread", "respond", "reader-comments", "readercomments"))
+WHOLE_NAME, PART_OF_NAME = 0.5, 0.25  # an element named "sidebar" goes below half of the body's text, "with-sidebar" below a quarter
 SITE_HEADER = frozenset(("header", "site-header", "page-header", "global-header", "top-header"))
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -134,6 +138,7 @@ def _close(node: Node, tag: str, limits: tuple[str, ...]) -> Node:
 
 
 def unwanted(node: Node, in_article: bool) -> bool:
+    """What is never main text, however much it holds."""
     if node.tag in NEVER:
         return True
     if node.tag == "header":
@@ -143,19 +148,64 @@ def unwanted(node: Node, in_article: bool) -> bool:
     a = attributes(node.attrs)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
         return True
+    return not COMMENTS.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+
+
+def named(node: Node, in_article: bool) -> float:
+    """The share of the body's text under which an element goes because of its class or id; 0.0 without such a name."""
+    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+        return 0.0
+    a = attributes(node.attrs)
     names = CAMEL.sub("-", f"{a.get('class', '')} {a.get('id', '')}")
-    return bool(UNWANTED.search(names)) or not in_article and not SITE_HEADER.isdisjoint(names.lower().split())
+    if not in_article and not SITE_HEADER.isdisjoint(names.lower().split()):
+        return WHOLE_NAME
+    if not UNWANTED.search(names):
+        return 0.0
+    whole = any(all(UNWANTED.fullmatch(part) for part in re.split(r"[-_]+", name) if part) for name in names.split())
+    return WHOLE_NAME if whole else PART_OF_NAME
 
 
-def walk(root: Node, body: Node) -> list[tuple[Node, bool]]:
+def walk(root: Node, body: Node, by_name: bool = True) -> list[tuple[Node, bool]]:
     """Nodes under the body in page order without unwanted ones, each with whether it is within a link."""
-    out, todo = [], [(body, False, False)]
+    out, todo, suspects = [], [(body, False, False)], {}
     while todo:
         node, link, article = todo.pop()
         out.append((node, link))
         article = article or node.tag in ("article", "main")
         node.children = [c for c in node.children if isinstance(c, str) or not unwanted(c, article)]
+        for c in node.children if by_name else ():
+            if not isinstance(c, str) and (share := named(c, article)):
+                suspects[id(c)] = share, article
         todo += [(c, link or c.tag == "a", article) for c in reversed(node.children) if not isinstance(c, str)]
+    return _without(out, suspects) if suspects else out
+
+
+def _without(nodes: list[tuple[Node, bool]], suspects: dict[int, tuple[float, bool]]) -> list[tuple[Node, bool]]:
+    """Without the elements with unwanted names that hold mostly links or little of the body's text. Beside an article or
+    main element with text, what neither holds nor is in one goes whatever its size."""
+    chars, links, holds = {}, {}, {}
+    for node, link in reversed(nodes):
+        k, own, inside = id(node), [len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str)], [id(c) for c in node.children if not isinstance(c, str)]
+        chars[k] = sum(own) + sum(chars[c] for c in inside)
+        links[k] = sum(own) * (link or node.tag == "a") + sum(links[c] for c in inside)
+        holds[k] = node.tag in ("article", "main") and chars[k] > links[k] or any(holds[c] for c in inside)
+    body = id(nodes[0][0])
+    text = chars[body] - links[body]
+
+    def goes(node: Node) -> bool:
+        share, in_article = suspects.get(id(node), (0.0, False))
+        if not share:
+            return False
+        k = id(node)
+        beside = holds[body] and not in_article and not holds[k]
+        return beside or links[k] * 2 > chars[k] or chars[k] - links[k] < share * text or not chars[k]
+
+    out, todo = [], [(nodes[0][0], nodes[0][1])]
+    while todo:
+        node, link = todo.pop()
+        out.append((node, link))
+        node.children = [c for c in node.children if isinstance(c, str) or not goes(c)]
+        todo += [(c, link or c.tag == "a") for c in reversed(node.children) if not isinstance(c, str)]
     return out
 
 
@@ -290,11 +340,14 @@ def blocks(node: Node, threshold: float) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
+    """The main text; where names leave nothing, once more without them."""
+    return _main_text(page, True) or _main_text(page, False) if page else ""
+
+
+def _main_text(page: str, by_name: bool) -> str:
     root = tree(page)
     body = _find(root, "body") or root
-    nodes = walk(root, body)
+    nodes = walk(root, body, by_name)
     measure(nodes)
     if not body.chars:
         return ""

@@ -44,3 +44,18 @@ def test_nothing_is_cut():
 ])
 def test_linked_blocks_and_further_articles_stay(page, want):
     assert main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize("name", ["elementor-widget elementor-widget-text", "content with-sidebar", "no-sidebar", "page-nav-open", "social-science", "share-article", "sidebar"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_do_not_remove_the_main_text(name, tag):
+    page = f"<body>{CHROME}<div class='{name}'><{tag}><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></{tag}></div><div class='related-posts'><a href=a>One</a> <a href=b>Two</a></div>{FOOT}</body>"
+    assert main_text(page) == "\n".join(["Head", LONG.strip(), LONG.strip()])
+
+
+def test_names_still_remove_the_rest():
+    small = "<div class='ad-slot'><p>Buy this thing now.</p></div>"
+    assert main_text(f"<body><div id=x><h1>Head</h1><p>{LONG}</p>{small}<p>{LONG}</p></div></body>") == "\n".join(["Head", LONG.strip(), LONG.strip()])
+    assert main_text(f"<body><div class=ad>Much longer than the article is.</div><article><p>Few.</p></article></body>") == "Few."
+    assert main_text(f"<body><div class=text><h1>Head</h1><p>{LONG}</p></div><div class=comments><p>{LONG * 3}</p></div></body>") == f"Head\n{LONG.strip()}"
+    assert main_text("<body><div class='share-article'><a href=x>Only a link</a></div></body>") == "Only a link"
