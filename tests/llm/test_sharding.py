@@ -50,3 +50,13 @@ def test_same_rows_same_shards(spark, documents, prose):
 def test_no_python_in_the_plan(spark, documents, prose):
     plan = sharded(documents([prose(4, i) for i in range(20)]), 4)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("copies,n,shards", [(2, 200, 10), (4, 400, 10), (3, 330, 10), (2, 202, 7)])
+def test_tables_of_linked_rows_only(spark, documents, prose, copies, n, shards):
+    state = propagate(documents([prose(9, 70_000 + i // copies) for i in range(n)]), shards).cache()
+    sizes = [r["count"] for r in state.groupBy("shard").count().collect()]
+    assert len(sizes) == shards and max(sizes) - min(sizes) <= 1 and state.select("id").distinct().count() == sum(sizes) == n
+    links = cut_links(state).first()
+    # quotas that are no multiple of a group leave at most one group's rest in each shard
+    assert links.linked >= n - copies and links.apart <= sum(s % copies for s in sizes)
