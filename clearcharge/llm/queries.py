@@ -176,3 +176,12 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
     classifier = Classifier(docs, read_table(spark, folder, "labels"))
     return classifier.classify(docs).select("doc_id", "lang", "n_words", "perplexity", "limit", "kept")
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of two vocabularies brought together by the bytes they cover, over every document."""
+    from clearcharge.llm.token_alignment import aligned
+
+    files = [tokenizer_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return aligned(read_table(spark, folder, "documents"), *files).documents
