@@ -185,3 +185,19 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
     files = [tokenizer_file(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
     return aligned(read_table(spark, folder, "documents"), *files).documents
+
+
+@register("op12_lanczos_whitening")
+def op12_lanczos_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    from clearcharge.llm.whitening import whitened
+
+    return whitened(read_table(spark, folder, "embeddings"))
+
+
+@register("op11_url_filter")
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules, then naive Bayes over segmented hosts and paths, for every page's URL."""
+    from clearcharge.llm.url_filter import judged
+
+    return judged(read_table(spark, folder, "pages"), read_table(spark, folder, "documents"))
