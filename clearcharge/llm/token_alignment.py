@@ -1,10 +1,11 @@
 """Two tokenizers' tokens of one text, brought together by the bytes they cover.
 
-Both encodings tile the bytes of a blank and the text. Per batch, `pandas.merge_asof`, keyed by document, gives each
-token start the other side's covering token; the union of both directions is every overlapping pair. Pairs that end at
+Both encodings tile the bytes of a blank and the text. Per batch, `pandas.merge_asof`, keyed by document (positions run
+on over a batch's texts, so each belongs to one), gives each token start the other side's covering token; the union of
+both directions is every overlapping pair. Pairs that end at
 the same byte close a group; the tokens of A and B in one group are linked.
 
-The counts of id pairs over all documents come from one shuffle: a block of texts (about 4 MB) lists its different
+The counts of id pairs over all documents come from one shuffle: a block of texts (about 8 MB) lists its different
 pairs with the number of its documents that hold them, documents point into their block's list, and the counts go back
 to the blocks. So what is shuffled is a block's vocabulary of pairs, not its tokens.
 
@@ -34,20 +35,24 @@ from clearcharge.llm.common import materialise, texts_of
 from clearcharge.llm.kneser_ney import portions
 from clearcharge.llm.token_counts import CUT, SETTLED, byte_letters
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES, PORTION_BYTES = 8_000_000, 700_000
 PAIRS_AT_ONCE = 4_000_000
 # The quick encoder of the same vocabulary walks a run of blanks once for each of its characters.
 LONG_BLANKS = regex.compile(r"\s{20000}")
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes of each id."""
+    """One tokenizer: the bytes of each id, and the ids of texts that stand after a blank."""
 
     pieces: list[bytes]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        """None where the tokens do not give the bytes back."""
         raise NotImplementedError
 
+    def whole(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.pieces.__getitem__, ids)) == text.encode()
+
     def ready(self) -> Side:
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
         self.names = {end: np.array([f"{i}{end}" for i in range(len(self.pieces))], object) for end in ",|;"}
@@ -55,8 +60,8 @@ class Side:
 
 
 class ByteSide(Side):
-    """A byte-level vocabulary, on a blank and the text. Ranks of the same vocabulary, if given, encode texts whose
-    characters all Unicode versions cut alike; they are several times as quick and give the same ids."""
+    """A byte-level vocabulary. Ranks of the same vocabulary, if given, encode texts whose characters all Unicode
+    versions cut alike; they are several times as quick and give the same ids."""
 
     def __init__(self, json_file: str, rank_file: str | None):
         from tokenizers import Tokenizer
@@ -75,12 +80,17 @@ class ByteSide(Side):
                 ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
             self.quick = tiktoken.Encoding("ranks", pat_str=CUT.pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [self.quick.encode_ordinary(t) if self.quick and SETTLED.fullmatch(t) and not LONG_BLANKS.search(t) else self.slow.encode(t, add_special_tokens=False).ids for t in (" " + t for t in texts)]
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        out = []
+        for text in texts:
+            quick = self.quick and SETTLED.fullmatch(text) and not LONG_BLANKS.search(text)
+            ids = self.quick.encode_ordinary(text) if quick else self.slow.encode(text, add_special_tokens=False).ids
+            out.append(np.array(ids, np.int32) if self.whole(ids, text) else None)
+        return out
 
 
 class PieceSide(Side):
-    """A piece vocabulary with byte fallback, which puts the blank before the text itself."""
+    """A piece vocabulary with byte fallback; the model puts the blank before a text itself."""
 
     def __init__(self, model_file: str):
         from sentencepiece import SentencePieceProcessor
@@ -89,8 +99,9 @@ class PieceSide(Side):
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.pieces = [bytes([int(n[1:-1], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        found = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return [np.array(ids, np.int32) if self.whole(ids, t) else None for ids, t in zip(found, texts, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -99,33 +110,46 @@ def sides(json_file: str, rank_file: str | None, model_file: str) -> tuple[Side,
     return ByteSide(json_file, rank_file).ready(), PieceSide(model_file).ready()
 
 
-def encoded(a: Side, b: Side, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-    """Ids of each text on both sides; none where a side does not give the bytes back."""
-    plain = [t.decode("utf-8", "replace") for t in texts]
-    both = []
-    for x, y, t in zip(a.ids(plain), b.ids(plain), texts, strict=True):
-        whole = b" " + t
-        same = t and b"".join(map(a.pieces.__getitem__, x)) == whole and b"".join(map(b.pieces.__getitem__, y)) == whole
-        both.append((x, y) if same else ([], []))
-    return [x for x, _ in both], [y for _, y in both]
+NONE = np.empty(0, np.int32)
+
+
+def encoded(a: Side, b: Side, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids of each text on both sides; none where the text is empty or a side does not give its bytes back."""
+    plain = [" " + t.decode("utf-8", "replace") for t in texts]
+    whole = [t != b"" and (p.isascii() or p[1:].encode() == t) for p, t in zip(plain, texts, strict=True)]
+    at = [k for k, good in enumerate(whole) if good]
+    x, y = [NONE] * len(texts), [NONE] * len(texts)
+    for k, i, j in zip(at, a.ids([plain[k] for k in at]), b.ids([plain[k] for k in at]), strict=True):
+        if i is not None and j is not None:
+            x[k], y[k] = i, j
+    return x, y
+
 
+@dataclass
+class Tokens:
+    """Tokens of a batch, text after text: ids, where each starts and ends, and how many each text has. Positions run
+    on over the texts, so a position stands for its document too."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
 
-def token_rows(side: Side, ids: list[list[int]]) -> pd.DataFrame:
-    """doc, id, start, end of each token; positions run on over the documents of a batch, so they stay in order."""
-    flat = np.concatenate([np.empty(0, np.int64), *[np.array(x, np.int64) for x in ids]])
-    end = np.cumsum(side.sizes[flat])
-    return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(x) for x in ids]), "id": flat, "start": end - side.sizes[flat], "end": end, "row": np.arange(len(flat))})
+    @staticmethod
+    def of(side: Side, ids: list[np.ndarray]) -> Tokens:
+        flat = np.concatenate([NONE, *ids])
+        ends = np.cumsum(side.sizes[flat])
+        return Tokens(flat, ends - side.sizes[flat], ends, np.array([len(x) for x in ids], np.int64))
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """row_a, row_b, end_a, end_b of every pair of tokens that share a byte: the covering token of each start, in both
-    directions; starts that are equal are found twice and kept once."""
-    of_a = a[["doc", "start", "end", "row"]].rename(columns={"end": "end_a", "row": "row_a"})
-    of_b = b[["doc", "start", "end", "row"]].rename(columns={"end": "end_b", "row": "row_b"})
-    there = pd.merge_asof(of_a, of_b.assign(other=of_b["start"]), on="start", by="doc")
-    back = pd.merge_asof(of_b, of_a.assign(other=of_a["start"]), on="start", by="doc")
-    columns = ["row_a", "row_b", "end_a", "end_b"]
-    return pd.concat([there[columns], back.loc[back["other"] < back["start"], columns]], ignore_index=True)
+def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of every pair of tokens that share a byte: the covering token of each start, in both directions; pairs
+    with equal starts are found twice and kept once."""
+    of_a = pd.DataFrame({"start": a.starts, "row_a": np.arange(len(a.ids))})
+    of_b = pd.DataFrame({"start": b.starts, "row_b": np.arange(len(b.ids))})
+    there, back = pd.merge_asof(of_a, of_b, on="start"), pd.merge_asof(of_b, of_a, on="start")
+    other = a.starts[back["row_a"].to_numpy()] < b.starts
+    return np.append(there["row_a"], back["row_a"][other]), np.append(there["row_b"], back["row_b"][other])
 
 
 @dataclass
@@ -140,17 +164,18 @@ class Groups:
     first_b: np.ndarray
 
 
-def groups_of(a: pd.DataFrame, b: pd.DataFrame) -> Groups:
-    pairs = overlaps(a, b)
-    closing = pairs[pairs["end_a"] == pairs["end_b"]]
-    last_a, last_b = np.sort(closing["row_a"].to_numpy()), np.sort(closing["row_b"].to_numpy())
+def groups_of(a: Tokens, b: Tokens) -> Groups:
+    row_a, row_b = overlaps(a, b)
+    closing = a.ends[row_a] == b.ends[row_b]
+    last_a, last_b = np.sort(row_a[closing]), np.sort(row_b[closing])
 
     def group(last: np.ndarray, n: int) -> np.ndarray:
         marks = np.zeros(n, np.int64)
         marks[last] = 1
         return np.cumsum(marks) - marks
 
-    return Groups(group(last_a, len(a)), group(last_b, len(b)), a["doc"].to_numpy()[last_a], np.append(0, last_a + 1), np.append(0, last_b + 1))
+    doc = np.repeat(np.arange(len(a.counts)), a.counts)[last_a]
+    return Groups(group(last_a, len(a.ids)), group(last_b, len(b.ids)), doc, np.append(0, last_a + 1), np.append(0, last_b + 1))
 
 
 def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +188,7 @@ def _counted(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def linked(g: Groups, a: np.ndarray, b: np.ndarray, names_a: int, names_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, code (a's id * names_b + b's id) and times of the linked id pairs of each document, in order."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
     n_a, n_b = np.diff(g.first_a), np.diff(g.first_b)
     links = n_a * n_b
     span = names_a * names_b
@@ -184,19 +210,18 @@ def linked(g: Groups, a: np.ndarray, b: np.ndarray, names_a: int, names_b: int)
         y = b[g.first_b[each] + local % n_b[each]]
         keys = (g.doc[each] * names_a + x) * names_b + y
         parts.append(_counted(keys, np.ones(len(keys), np.int64)))
-    keys, times = _counted(np.concatenate([np.empty(0, np.int64), *[k for k, _ in parts]]), np.concatenate([np.empty(0, np.int64), *[t for _, t in parts]]))
+    keys, times = parts[0] if len(parts) == 1 else _counted(np.concatenate([np.empty(0, np.int64), *[k for k, _ in parts]]), np.concatenate([np.empty(0, np.int64), *[t for _, t in parts]]))
     return keys // span, keys % span, times
 
 
-def group_texts(g: Groups, a: pd.DataFrame, b: pd.DataFrame, side_a: Side, side_b: Side, n: int) -> list[str]:
-    """`a1,a2|b1;a3|b2,b3` of each of n documents."""
-    ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-    parts = np.empty(len(a) + len(b), object)
-    row_a, row_b = np.arange(len(a)), np.arange(len(b))
+def group_texts(g: Groups, a: Tokens, b: Tokens, side_a: Side, side_b: Side) -> list[str]:
+    """`a1,a2|b1;a3|b2,b3` of each document."""
+    parts = np.empty(len(a.ids) + len(b.ids), object)
+    row_a, row_b = np.arange(len(a.ids)), np.arange(len(b.ids))
     closes_a, closes_b = g.first_a[g.of_a + 1] == row_a + 1, g.first_b[g.of_b + 1] == row_b + 1
-    parts[row_a + g.first_b[g.of_a]] = np.where(closes_a, side_a.names["|"][ids_a], side_a.names[","][ids_a])
-    parts[row_b + g.first_a[g.of_b + 1]] = np.where(closes_b, side_b.names[";"][ids_b], side_b.names[","][ids_b])
-    ends = np.cumsum(np.bincount(a["doc"], minlength=n) + np.bincount(b["doc"], minlength=n))
+    parts[row_a + g.first_b[g.of_a]] = np.where(closes_a, side_a.names["|"][a.ids], side_a.names[","][a.ids])
+    parts[row_b + g.first_a[g.of_b + 1]] = np.where(closes_b, side_b.names[";"][b.ids], side_b.names[","][b.ids])
+    ends = np.cumsum(a.counts + b.counts)
     return ["".join(parts[x:y].tolist())[:-1] for x, y in zip(np.append(0, ends[:-1]), ends, strict=True)]
 
 
@@ -223,36 +248,42 @@ def aligned(docs: DataFrame, json_file: str, model_file: str, rank_file: str | N
             types["groups"] = pa.string()
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in types.items()], names=list(types))
 
+    def of_portion(few: pa.RecordBatch, side_a: Side, side_b: Side) -> tuple[dict[str, list], np.ndarray]:
+        """Columns of a portion's documents, and the codes that its places point into for now: its own pairs."""
+        ids_a, ids_b = encoded(side_a, side_b, texts_of(few.column(1)))
+        a, b = Tokens.of(side_a, ids_a), Tokens.of(side_b, ids_b)
+        g = groups_of(a, b)
+        texts = group_texts(g, a, b, side_a, side_b)
+        doc, code, times = linked(g, a.ids, b.ids, len(side_a.pieces), len(side_b.pieces))
+        cuts = np.searchsorted(doc, np.arange(1, few.num_rows))
+        links = np.bincount(g.doc, np.diff(g.first_a) * np.diff(g.first_b), few.num_rows).astype(np.int64)
+        columns = {
+            "id": few.column(0).to_pylist(),
+            "n_a": a.counts.tolist(),
+            "n_b": b.counts.tolist(),
+            "n_groups": np.bincount(g.doc, minlength=few.num_rows).tolist(),
+            "n_links": links.tolist(),
+            "groups_sha256": [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts],
+            "times": np.split(times, cuts),
+            "lengths": np.diff(np.concatenate([[0], cuts, [len(code)]])).tolist(),
+        }
+        if keep_groups:
+            columns["groups"] = texts
+        return columns, code
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b = sides(json_file, rank_file, model_file)
-        names_b = len(side_b.pieces)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for few in portions(batch, BLOCK_BYTES):
-                n = few.num_rows
-                ids_a, ids_b = encoded(side_a, side_b, texts_of(few.column(1)))
-                a, b = token_rows(side_a, ids_a), token_rows(side_b, ids_b)
-                g = groups_of(a, b)
-                texts = group_texts(g, a, b, side_a, side_b, n)
-                doc, code, times = linked(g, a["id"].to_numpy(), b["id"].to_numpy(), len(side_a.pieces), names_b)
-                codes, places, holders = np.unique(code, return_inverse=True, return_counts=True)
-                cuts = np.searchsorted(doc, np.arange(1, n))
-                links = np.bincount(g.doc, np.diff(g.first_a) * np.diff(g.first_b), n).astype(np.int64)
-                rows = {
-                    "block": [block] * (n + 1),
-                    "whole": [False] * n + [True],
-                    "id": [*few.column(0).to_pylist(), None],
-                    "n_a": [*map(len, ids_a), None],
-                    "n_b": [*map(len, ids_b), None],
-                    "n_groups": [*np.bincount(g.doc, minlength=n).tolist(), None],
-                    "n_links": [*links.tolist(), None],
-                    "groups_sha256": [*[hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], None],
-                    "places": [*np.split(places.astype(np.int32), cuts), None],
-                    "times": [*np.split(times, cuts), holders],
-                    "codes": [None] * n + [codes],
-                    "groups": [*texts, None],
-                }
-                yield table(rows)
+            for many in portions(batch, BLOCK_BYTES):
+                parts = [of_portion(few, side_a, side_b) for few in portions(many, PORTION_BYTES)]
+                codes, places, holders = np.unique(np.concatenate([c for _, c in parts]), return_inverse=True, return_counts=True)
+                rows = {c: [x for columns, _ in parts for x in columns[c]] for c in parts[0][0]}
+                n = len(rows["id"])
+                places = np.split(places.astype(np.int32), np.cumsum(rows.pop("lengths"))[:-1])
+                rows = {c: [*values, None] for c, values in rows.items()}
+                rows["times"][-1] = holders
+                yield table(rows | {"block": [block] * (n + 1), "whole": [False] * n + [True], "places": [*places, None], "codes": [None] * n + [codes]})
                 block += 1
 
     read = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))

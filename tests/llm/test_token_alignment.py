@@ -80,11 +80,14 @@ def test_equals_the_definitions(spark, documents, prose, ranks):
 def test_blocks_and_slices_do_not_matter(spark, documents, prose, monkeypatch):
     texts = [prose(30, s % 4) for s in range(40)] + ["日本" * 50, "ab" * 400]
     whole = aligned(documents(texts).coalesce(1), *FILES).documents.collect()
+    monkeypatch.setattr(token_alignment, "PORTION_BYTES", 300)
+    monkeypatch.setattr(token_alignment, "BLOCK_BYTES", 1_000)
+    assert sorted(aligned(documents(texts).coalesce(1), *FILES).documents.collect()) == sorted(whole)
     monkeypatch.setattr(token_alignment, "PAIRS_AT_ONCE", 2)
     side = token_alignment.sides(FILES[0], FILES[2], FILES[1])
     raw = [t.encode() for t in texts]
-    a, b = (token_alignment.token_rows(s, ids) for s, ids in zip(side, token_alignment.encoded(*side, raw)))
-    doc, code, times = token_alignment.linked(token_alignment.groups_of(a, b), a["id"].to_numpy(), b["id"].to_numpy(), 50257, 32000)
+    a, b = (token_alignment.Tokens.of(s, ids) for s, ids in zip(side, token_alignment.encoded(*side, raw)))
+    doc, code, times = token_alignment.linked(token_alignment.groups_of(a, b), a.ids, b.ids, 50257, 32000)
     plain = Plain(texts)
     for i, (_, _, links) in enumerate(plain.rows):
         mine = {(c // 32000, c % 32000): t for c, t in zip(code[doc == i].tolist(), times[doc == i].tolist())}
