@@ -118,10 +118,10 @@ def _decide(g: DataFrame, keys: Sequence[str]) -> DataFrame:
                     headline.alias("headline"), F.col("line_count"))
 
 
-def shown_lines(lines: DataFrame, keys: Sequence[str], limit: int | None = fv.SHOWN_LINES) -> DataFrame:
-    """Lines with their place; at most `limit` per key, or all of them as rows."""
+def shown_lines(lines: DataFrame, keys: Sequence[str], limit: int = fv.SHOWN_LINES) -> DataFrame:
+    """The first `limit` lines per key with their place."""
     ranked = lines.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*line_order())))
-    return ranked if limit is None else ranked.filter(F.col("place") <= limit)
+    return ranked.filter(F.col("place") <= limit)
 
 
 def collected_lines(lines: DataFrame, keys: Sequence[str], limit: int = fv.SHOWN_LINES) -> DataFrame:

@@ -3,11 +3,12 @@ comparisons possible, hospitals unresolved; and data-quality figures per file.""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clearcharge import fixed_values as fv
 from clearcharge.functions import cells, text, web
+from clearcharge.operators import positions
 
 
 def located_by_method(discoveries: DataFrame) -> DataFrame:
@@ -80,12 +81,21 @@ def unresolved(discoveries: DataFrame, extracted: DataFrame) -> DataFrame:
 
 
 def report(discoveries: DataFrame, per_file: DataFrame, results: DataFrame, extracted: DataFrame, path: str) -> None:
-    """The four sections as one JSON row; each is a small aggregate before it is joined."""
-    one = lambda df, name: df.withColumn("_one", F.lit(1)).groupBy("_one").agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    parts = one(located_by_method(discoveries), "discovery")
-    for frame, name in ((fidelity_totals(per_file), "fidelity"), (verdict_counts(results), "comparison"), (comparable_share(results), "share"), (unresolved(discoveries, extracted), "unresolved")):
-        parts = parts.join(one(frame, name), "_one", "left")
-    parts.drop("_one").coalesce(1).write.mode("overwrite").json(path)
+    """Sections under `path`: discovery, fidelity, comparison and share are small JSON files of totals; unresolved is
+    a table in as many parts as it needs, a row per hospital."""
+    sections = {
+        "discovery": located_by_method(discoveries), "fidelity": fidelity_totals(per_file),
+        "comparison": verdict_counts(results), "share": comparable_share(results)}
+    for name, totals in sections.items():
+        totals.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+    unresolved(discoveries, extracted).write.mode("overwrite").json(f"{path}/unresolved")
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    ddl = {
+        "discovery": "method string, n bigint, located bigint, of bigint", "fidelity": "files bigint, sampled bigint, matched bigint, missing bigint",
+        "comparison": "verdict string, n bigint", "share": "pairs bigint, comparable_share double", "unresolved": "ccn string, hospital string, stage string, reason string"}
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in ddl.items()}
 
 
 # --- data quality per file --------------------------------------------------------------
@@ -121,15 +131,9 @@ def spend_per_day(spend: DataFrame) -> DataFrame:
 
 
 def listed_results(discoveries: DataFrame) -> DataFrame:
-    """Discoveries with their place in a listing: located ones first, then by name, then by id. Numbered inside
-    (located, first letter) and shifted by the sizes of the groups before."""
-    group = ["_late", "_letter"]
-    keyed = discoveries.withColumn("_late", ~F.coalesce("ok", F.lit(False))).withColumn("_letter", F.substring(F.coalesce("name", F.lit("")), 1, 1))
-    sizes = keyed.groupBy(*group).agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)  # a row for each first letter
-    starts = sizes.select(*group, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*group).orderBy("name", "ccn"))
-    return keyed.withColumn("_inside", inside).join(starts, group).withColumn("place", F.col("_before") + F.col("_inside")).drop(*group, "_inside", "_before")
+    """Discoveries with their place in a listing: located ones first, then by name, then by id."""
+    late = ~F.coalesce("ok", F.lit(False))
+    return positions.numbered(discoveries, [], [late, F.col("name"), F.col("ccn")], "place")
 
 
 def reviewed_services(services: DataFrame) -> DataFrame:

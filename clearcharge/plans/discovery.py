@@ -35,89 +35,180 @@ def stored_answer(questions: DataFrame, answers: DataFrame, allowed: Column) ->
     return joined.withColumn("choice", F.when(inside, F.col("choice"))).withColumn("known", F.col("choice").isNotNull())
 
 
-def locate(hospitals: DataFrame, index_fetches: DataFrame, links: DataFrame, registry: DataFrame, probes: DataFrame,
-           website_answers: DataFrame | None = None, entry_answers: DataFrame | None = None) -> DataFrame:
-    """One row per hospital: method, domain, index_url, entry, probe outcome, reason.
-
-    `hospitals`: ccn, name, address, city, state, zip. `links`: extract_links output.
-    `probes`: url, status, error, content_type, disposition, head, size_bytes, ... per file
-    address. `website_answers`: ccn, host; `entry_answers`: ccn, entry_no."""
-    status = materialise(domain_status(index_fetches), "domain-status")
-    sites = links.select(web.host_of(F.col("page")).alias("domain"), "kind", "link", "link_host", "page", "page_id", "link_no")
-    linked = materialise(sites.filter("kind = 'file'").groupBy("domain", "link").agg(F.min(F.struct("page_id", "link_no", "page")).alias("at")), "site-files")
-    related = sites.filter("kind = 'related'").groupBy("domain", F.col("link_host").alias("host")).agg(F.min(F.struct("page_id", "link_no")).alias("at"))
-
-    guessed = hospitals.select("ccn", F.posexplode(names.domain_candidates(F.col("name"))).alias("no", "domain"))
-    tried = materialise(guessed.join(status, "domain", "left").withColumn("state", F.coalesce("state", F.lit("error"))), "domains-tried")
-    routes = [tried.filter("state = 'ok'").select("ccn", F.lit(0).alias("step"), _place(F.col("no")).alias("no"), "domain", F.lit("cms-hpt").alias("method"))]
-    alive = tried.filter(F.col("state").isin("404", "html", "blocked"))
-    with_files = linked.select("domain").distinct()
-    routes.append(alive.join(with_files, "domain", "left_semi").select("ccn", F.lit(1).alias("step"), _place(F.col("no")).alias("no"), "domain", F.lit("site-page").alias("method")))
-    siblings = alive.join(related, "domain").select("ccn", F.col("host").alias("domain"), _place(F.col("no"), F.col("at.page_id"), F.col("at.link_no")).alias("no"))
-    routes += _host_routes(siblings, status, with_files, 2, "site-link+")
+_ROUTE = "ccn string, level int, no bigint, host string, how string, method string, page string, site_url string, site_name string, source_page string, tried string, steps array<string>"
+_LEVEL_OF_SEARCH = 1_000_000  # levels from here on were reached through a web search
+
+
+class _Hosts:
+    """What is known of every landed host, whoever reached it: the state of its index, and of its site (the host
+    without www.) the charges files linked on its pages and the sibling hosts its pricing links point at."""
+
+    def __init__(self, index_fetches: DataFrame, links: DataFrame):
+        self.status = materialise(domain_status(index_fetches), "domain-status")
+        sites = links.select(web.without_www(web.host_of(F.col("page"))).alias("site"), "kind", "link", "link_host", "page", F.struct("page_id", "link_no").alias("at"))
+        files = sites.filter("kind = 'file'").groupBy("site", "link").agg(F.min(F.struct("at", "page")).alias("first"))
+        numbered = files.withColumn("entry_no", F.row_number().over(Window.partitionBy("site").orderBy("first.at", "link")).cast("bigint"))
+        self.files = materialise(numbered.select(F.col("site").alias("index_id"), "entry_no", F.col("link").alias("url"), F.col("first.page").alias("page")), "site-files")
+        self.with_files = materialise(self.files.groupBy(F.col("index_id").alias("site")).agg(F.count("*").alias("n_files"), F.min_by("page", "entry_no").alias("page")), "sites-with-files")
+        siblings = sites.filter((F.col("kind") == "related") & (web.without_www(F.col("link_host")) != F.col("site")))
+        self.related = materialise(siblings.groupBy("site", F.col("link_host").alias("next")).agg(F.min("at").alias("at")), "sibling-hosts")
+
+
+def _tried(frontier: DataFrame, hosts: _Hosts, names_of: DataFrame, site_answers: DataFrame | None) -> DataFrame:
+    """Every (hospital, host) of a level looked at: `method` is set where the host settles it. `frontier`: ccn, level,
+    no, host, how, fetch (whether its index is asked for), said (steps before)."""
+    state = hosts.status.select(F.col("domain").alias("host"), "state", "final_url", "reason")
+    looked = materialise(frontier.withColumn("site", web.without_www(F.col("host"))).join(state, "host", "left").join(hosts.with_files, "site", "left").withColumn("indexed", F.col("fetch") & F.coalesce(F.col("state") == "ok", F.lit(False))), "hosts-tried")
+    asked = looked.filter(~F.col("indexed") & F.col("n_files").isNotNull()).select("ccn", F.col("site").alias("index_id")).distinct().join(names_of, "ccn")
+    on_site = matching.entry_from_site(asked, hosts.files.join(asked.select("index_id").distinct(), "index_id", "left_semi"), site_answers).select(
+        "ccn", F.col("index_id").alias("site"), (F.col("verdict") == "matched").alias("settled"), F.col("location_name").alias("site_name"), F.col("mrf_url").alias("site_url"), F.col("source_page_url").alias("source_page"), "steps")
+    joined = looked.join(on_site, ["ccn", "site"], "left")
+    none = F.array().cast("array<string>")
+    linked = F.concat(F.lit("no cms-hpt.txt at "), F.col("host"), F.lit(", but "), F.col("n_files").cast("string"), F.lit(" standard-charges link(s) on "), F.col("page"))
+    steps = F.concat("said", F.when(F.col("indexed"), F.array(F.concat(F.lit("cms-hpt.txt found at "), F.col("final_url")))).when(F.col("n_files").isNotNull(), F.concat(F.array(linked), F.coalesce("steps", none))).otherwise(none))
+    settled = F.coalesce("settled", F.lit(False))
+    return joined.select(
+        "ccn", "level", "no", "host", "how", F.when(F.col("indexed"), F.concat("how", F.lit("cms-hpt"))).when(settled, F.concat("how", F.lit("site-page"))).alias("method"),
+        F.when(settled, F.col("page")).alias("page"), F.when(settled, F.col("site_url")).alias("site_url"), F.when(settled, F.col("site_name")).alias("site_name"), F.when(settled, F.col("source_page")).alias("source_page"),
+        F.when(F.col("fetch") & ~F.col("indexed"), F.coalesce("reason", F.lit(""))).alias("tried"), steps.alias("steps"))
+
+
+def _siblings(frontier: DataFrame, hosts: _Hosts, seen: DataFrame, level: int, how: str) -> DataFrame:
+    """The hosts that pricing links of a level point at and nobody has tried for this hospital, in the order in which
+    they were noted."""
+    noted = frontier.select("ccn", web.without_www(F.col("host")).alias("site"), "no").join(hosts.related, "site").groupBy("ccn", F.col("next").alias("host")).agg(F.min(F.struct("no", "at")).alias("first"))
+    fresh = noted.join(seen, ["ccn", "host"], "left_anti")
+    numbered = fresh.withColumn("no", F.row_number().over(Window.partitionBy("ccn").orderBy("first", "host")).cast("bigint"))
+    said = F.array(F.concat(F.lit("a pricing link points at "), F.col("host"), F.lit(", trying there")))
+    return numbered.select("ccn", F.lit(level).alias("level"), "no", "host", F.lit(how).alias("how"), F.lit(True).alias("fetch"), said.alias("said"))
+
+
+def _follow(frontier: DataFrame, seen: DataFrame, hosts: _Hosts, names_of: DataFrame, site_answers: DataFrame | None, sibling_how: str, log: list[DataFrame]) -> DataFrame:
+    """Levels of hosts, each reached from the one before, until every hospital is settled or has nowhere to go. All
+    hospitals go on together; no host is tried twice for one. Gives the hospitals that are settled."""
+    settled = frontier.select("ccn").limit(0)
+    while frontier.limit(1).count():
+        level = frontier.agg(F.max("level")).first()[0]
+        tried = materialise(_tried(frontier, hosts, names_of, site_answers), "level-tried")
+        log.append(tried)
+        done = tried.filter("method IS NOT NULL").select("ccn").distinct()
+        settled = materialise(settled.unionByName(done), "hospitals-settled")
+        open_ones = frontier.join(done, "ccn", "left_anti")
+        seen = materialise(seen.unionByName(frontier.select("ccn", "host")).distinct(), "hosts-seen")
+        frontier = materialise(_siblings(open_ones, hosts, seen, level + 1, sibling_how), "next-hosts")
+    return settled
+
+
+def routes(hospitals: DataFrame, hosts: _Hosts, website_answers: DataFrame | None, site_answers: DataFrame | None) -> DataFrame:
+    """One row per hospital: how, where and with which steps its index or its file was found, and what every host
+    said that was tried before (`tried`)."""
+    names_of = hospitals.select("ccn", "name")
+    guessed = hospitals.select("ccn", F.posexplode(names.domain_candidates(F.col("name"))).alias("no", "host"))
+    states = materialise(guessed.join(hosts.status.withColumnRenamed("domain", "host"), "host", "left").withColumn("state", F.coalesce("state", F.lit("error"))), "guesses")
+    first_ok = states.filter("state = 'ok'").groupBy("ccn").agg(F.min("no").alias("ok_no"))
+    asked = materialise(states.join(first_ok, "ccn", "left").filter("ok_no IS NULL OR no <= ok_no"), "guesses-asked")
+    none = F.lit(None).cast("string")
+    found = F.col("state") == "ok"
+    guess_log = asked.select(
+        "ccn", F.lit(-1).alias("level"), F.col("no").cast("bigint").alias("no"), "host", F.lit("").alias("how"), F.when(found, F.lit("cms-hpt")).alias("method"), none.alias("page"), none.alias("site_url"), none.alias("site_name"), none.alias("source_page"),
+        F.when(~found, F.coalesce("reason", F.lit(""))).alias("tried"), F.when(found, F.array(F.concat(F.lit("cms-hpt.txt found at "), F.col("final_url")))).otherwise(F.array().cast("array<string>")).alias("steps"))
+    log = [guess_log]
+    empty = F.array().cast("array<string>")
+    alive = asked.filter("ok_no IS NULL").filter(F.col("state").isin("404", "html", "blocked"))
+    first = materialise(alive.groupBy("ccn", "host").agg(F.min("no").cast("bigint").alias("no")).select("ccn", F.lit(0).alias("level"), "no", "host", F.lit("").alias("how"), F.lit(False).alias("fetch"), empty.alias("said")), "hosts-alive")
+    done = _follow(first, first.select("ccn", "host"), hosts, names_of, site_answers, "site-link+", log)
     if website_answers is not None:
-        told = website_answers.select("ccn", F.posexplode(web.hosts_to_try(F.col("host"))).alias("no", "domain")).withColumn("no", _place(F.col("no")))
-        routes += _host_routes(told, status, with_files, 4, "web-search+")
-    every = routes[0]
-    for more in routes[1:]:
+        open_ones = hospitals.select("ccn").join(done, "ccn", "left_anti").join(first_ok.select("ccn"), "ccn", "left_anti")
+        searched = open_ones.join(website_answers.select("ccn", F.col("host").alias("found"), F.col("why") if "why" in website_answers.columns else F.lit("stored").alias("why")), "ccn")
+        said = F.array(F.lit("cms-hpt.txt missing on guessed domains, searching the web for the site"), F.concat(F.lit("web search says "), F.col("found"), F.lit(" ("), F.col("why"), F.lit(")")))
+        told = searched.select("ccn", F.posexplode(web.hosts_to_try(F.col("found"))).alias("no", "host"), said.alias("said"))
+        start = told.select("ccn", F.lit(_LEVEL_OF_SEARCH).alias("level"), F.col("no").cast("bigint").alias("no"), "host", F.lit("web-search+").alias("how"), F.lit(True).alias("fetch"), F.when(F.col("no") == 0, F.col("said")).otherwise(empty).alias("said"))
+        start = materialise(start, "hosts-searched")
+        seen = first.select("ccn", "host")
+        for tried in log[1:]:
+            seen = seen.unionByName(tried.select("ccn", "host"))
+        _follow(start, seen.distinct(), hosts, names_of, site_answers, "web-search+site-link+", log)
+    every = log[0]
+    for more in log[1:]:
         every = every.unionByName(more)
-    first = F.row_number().over(Window.partitionBy("ccn").orderBy("step", "no", "method"))
+    every = materialise(every, "hosts-log")
+    order = F.struct("level", "no")
+    won = every.filter("method IS NOT NULL").groupBy("ccn").agg(F.min(F.struct("level", "no", "host", "method", "page", "site_url", "site_name", "source_page")).alias("won"))
+    walked = every.join(won, "ccn", "left").filter(F.col("won").isNull() | (order <= F.struct("won.level", "won.no")))
+    in_order = walked.groupBy("ccn").agg(F.array_sort(F.collect_list(F.struct("level", "no", "tried", "steps"))).alias("log"), F.first("won").alias("won"))
+    said = F.filter(F.transform("log", lambda r: r["tried"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    return in_order.select(
+        "ccn", F.col("won.host").alias("domain"), F.col("won.method").alias("method"), F.col("won.page").alias("page"), F.col("won.site_url").alias("site_url"), F.col("won.site_name").alias("site_name"),
+        F.col("won.source_page").alias("site_source"), F.array_join(said, "; ").alias("tried"), F.flatten(F.transform("log", lambda r: r["steps"])).alias("steps"))
 
-    # Site pages settle only when one of their files is this hospital's; the next route is tried otherwise.
-    site_routes = every.filter(F.col("method").endswith("site-page"))
-    site_files = linked.select(F.col("domain").alias("index_id"), F.row_number().over(Window.partitionBy("domain").orderBy("at", "link")).cast("bigint").alias("entry_no"), F.col("link").alias("url"), F.col("at.page").alias("page"))
-    asked = site_routes.select("ccn", F.col("domain").alias("index_id")).distinct().join(hospitals.select("ccn", "name"), "ccn")
-    on_site = matching.entry_from_site(asked, site_files).filter("verdict = 'matched'").select("ccn", F.col("index_id").alias("domain"), F.col("mrf_url").alias("site_url"), F.col("location_name").alias("site_name"))
-    usable = every.join(on_site, ["ccn", "domain"], "left").filter(~F.col("method").endswith("site-page") | F.col("site_url").isNotNull())
-    route = materialise(usable.withColumn("nth", first).filter("nth = 1").drop("nth"), "routes")
 
-    by_index = route.filter(~F.col("method").endswith("site-page")).select("ccn", F.col("domain").alias("index_id"))
+def locate(hospitals: DataFrame, index_fetches: DataFrame, links: DataFrame, registry: DataFrame, probes: DataFrame,
+           website_answers: DataFrame | None = None, entry_answers: DataFrame | None = None, site_answers: DataFrame | None = None) -> DataFrame:
+    """One row per hospital: method, domain, index_url, entry, probe outcome, reason, and the steps that led there.
+
+    `hospitals`: ccn, name, address, city, state, zip. `links`: extract_links output. `probes`: url, status, error,
+    content_type, disposition, head, size_bytes, ... per file address. Stored answers: `website_answers` (ccn, host,
+    perhaps why), `entry_answers` (ccn, entry_no) for an index, `site_answers` (ccn, index_id: a host, entry_no, perhaps
+    why) for several files on a site."""
+    hosts = _Hosts(index_fetches, links)
+    route = materialise(routes(hospitals, hosts, website_answers, site_answers), "routes")
+    by_index = route.filter("method IS NOT NULL AND site_url IS NULL").select("ccn", F.col("domain").alias("index_id"))
     used = by_index.select("index_id").distinct()
-    texts = status.filter("state = 'ok'").select(F.col("domain").alias("index_id"), F.col("body").alias("text")).join(used, "index_id", "left_semi")
+    texts = hosts.status.filter("state = 'ok'").select(F.col("domain").alias("index_id"), F.col("body").alias("text")).join(used, "index_id", "left_semi")
     entries = materialise(index_text.parse_index(index_text.index_lines(texts)), "index-entries")
+    sizes = entries.groupBy(F.col("index_id").alias("domain")).agg(F.count("*").alias("n_entries"))
     matched = materialise(matching.match_entries(by_index.join(hospitals, "ccn"), entries), "matches")
     tie = matching.npi_tie_break(matched.filter("verdict = 'ambiguous'"), registry)
-    settled = tie.filter("entry_no is not null").select("ccn", F.col("entry_no").alias("npi_no"), F.col("location_name").alias("npi_name"), F.col("mrf_url").alias("npi_url"), F.col("why").alias("npi_why"))
-    joined = route.join(matched.select("ccn", "verdict", "entry_no", "location_name", "mrf_url", "candidates"), "ccn", "left").join(settled, "ccn", "left")
-    if entry_answers is not None:
-        told = entry_answers.select("ccn", F.col("entry_no").alias("told_no"))
-        joined = joined.join(told, "ccn", "left")
-    else:
-        joined = joined.withColumn("told_no", F.lit(None).cast("bigint"))
+    settled = tie.select("ccn", F.col("entry_no").alias("npi_no"), F.col("location_name").alias("npi_name"), F.col("mrf_url").alias("npi_url"), F.col("why").alias("npi_why"))
+    joined = route.join(matched.select("ccn", "verdict", "entry_no", "location_name", "mrf_url", "score", "candidates"), "ccn", "left").join(settled, "ccn", "left").join(sizes, "domain", "left")
+    answers = entry_answers.select("ccn", F.col("entry_no").alias("told_no"), (F.col("why") if "why" in entry_answers.columns else F.lit("stored")).alias("told_why")) if entry_answers is not None else None
+    joined = joined.join(answers, "ccn", "left") if answers is not None else joined.withColumn("told_no", F.lit(None).cast("bigint")).withColumn("told_why", F.lit(None).cast("string"))
     picked = F.try_element_at(F.filter("candidates", lambda c: c["entry_no"] == F.col("told_no")), F.lit(1))
-    by_answer = (F.col("verdict") == "ambiguous") & F.col("npi_url").isNull() & picked.isNotNull()
-    chosen = joined.select(
-        "ccn", "domain", "verdict",
-        F.concat(F.col("method"), F.when(F.col("npi_no").isNotNull(), F.lit("+npi")).when(by_answer, F.lit("+tie-break")).otherwise(F.lit(""))).alias("method"),
-        F.coalesce("site_name", "location_name", "npi_name", F.when(by_answer, picked["location_name"])).alias("location_name"),
-        F.coalesce("site_url", "mrf_url", "npi_url", F.when(by_answer, picked["mrf_url"])).alias("mrf_url"))
+    by_npi, by_answer = F.col("npi_no").isNotNull(), (F.col("verdict") == "ambiguous") & F.col("npi_no").isNull() & picked.isNotNull()
+    located = joined.withColumn("picked", picked).withColumn("by_answer", F.coalesce(by_answer, F.lit(False))).withColumn("by_npi", by_npi)
+    chosen = located.select(
+        "ccn", "domain", "verdict", "page", "tried", "steps", "site_url", "site_source", "n_entries", "candidates", "score", "by_npi", "by_answer", "npi_why", "told_no", "told_why",
+        F.concat("method", F.when(F.col("by_npi"), F.lit("+npi")).when(F.col("by_answer"), F.lit("+tie-break")).otherwise(F.lit(""))).alias("method"),
+        F.when(F.col("site_url").isNull(), F.coalesce("entry_no", "npi_no", F.when(F.col("by_answer"), F.col("told_no")))).alias("entry_no"),
+        F.coalesce("site_name", "location_name", "npi_name", F.when(F.col("by_answer"), F.col("picked.location_name"))).alias("location_name"),
+        F.coalesce("site_url", "mrf_url", "npi_url", F.when(F.col("by_answer"), F.col("picked.mrf_url"))).alias("mrf_url"))
     seen = probes.select(
         F.col("url").alias("mrf_url"), web.probe_outcome(F.col("status"), F.col("error"), F.col("content_type"), F.col("head")).alias("probe"),
         web.classify_shape(F.col("url"), F.col("content_type"), F.col("disposition"), F.col("head")).alias("shape"), "size_bytes", "last_modified", "etag", "content_type")
-    told_all = tried.filter(F.coalesce("reason", F.lit("")) != "").groupBy("ccn").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "reason"))), lambda r: r["reason"]), "; ").alias("tried"))
-    urls = status.select("domain", F.col("final_url").alias("index_url"))
-    full = hospitals.select("ccn", "name").join(chosen, "ccn", "left").join(seen, "mrf_url", "left").join(told_all, "ccn", "left").join(urls, "domain", "left")
+    sources = entries.select(F.col("index_id").alias("domain"), "entry_no", F.col("source_page_url").alias("index_source"))
+    urls = hosts.status.select("domain", "final_url")
+    full = hospitals.select("ccn", "name").join(chosen, "ccn", "left").join(seen, "mrf_url", "left").join(urls, "domain", "left").join(sources, ["domain", "entry_no"], "left")
     reason = text.first_matching([
-        (F.col("domain").isNull(), F.concat(F.lit("no cms-hpt.txt or linked file located: "), F.coalesce("tried", F.lit("")))),
+        (F.col("method").isNull(), F.concat(F.lit("no cms-hpt.txt or linked file located: "), F.coalesce("tried", F.lit("")))),
         (F.col("location_name").isNull(), F.concat(F.lit("index found but no entry for this hospital ("), F.coalesce("verdict", F.lit("none")), F.lit(")"))),
         (F.col("mrf_url").isNull(), F.lit("entry has no mrf-url")),
         (F.col("probe").isNull(), F.lit("file URL failed: not probed")),
         (~F.col("probe.ok"), F.concat(F.lit("file URL failed: "), F.col("probe.reason")))], F.lit(""))
-    return full.select(
-        "ccn", "name", (reason == "").alias("ok"), F.coalesce("method", F.lit("failed")).alias("method"), "domain", "index_url", "location_name", "mrf_url",
-        "shape", "size_bytes", "last_modified", "etag", "content_type", reason.alias("reason"), F.lit(fv.DISCOVERY_VERSION).alias("discovery_version"))
-
-
-def _place(no: Column, page: Column | None = None, link: Column | None = None) -> Column:
-    """Where a route stands among those of one step: candidate, then page, then link on it."""
-    part = lambda c: (c if c is not None else F.lit(0)).cast("bigint")
-    return F.struct(part(no).alias("no"), part(page).alias("page_id"), part(link).alias("link_no"))
-
-
-def _host_routes(hosts: DataFrame, status: DataFrame, with_files: DataFrame, step: int, how: str) -> list[DataFrame]:
-    """An index on each host, or a charges file linked from its pages."""
-    numbered = hosts.select("ccn", "domain", "no")
-    index = numbered.join(status.filter("state = 'ok'").select("domain"), "domain").select("ccn", F.lit(step).alias("step"), "no", "domain", F.lit(f"{how}cms-hpt").alias("method"))
-    page = numbered.join(with_files, "domain", "left_semi").select("ccn", F.lit(step).alias("step"), "no", "domain", F.lit(f"{how}site-page").alias("method"))
-    return [index, page]
+    on_site = F.col("site_url").isNotNull()
+    told = full.withColumn("reason", reason)
+    return told.select(
+        "ccn", "name", (F.col("reason") == "").alias("ok"), F.coalesce("method", F.lit("failed")).alias("method"), "domain", F.when(on_site, F.col("page")).otherwise(F.col("final_url")).alias("index_url"), "location_name",
+        F.when(on_site, F.col("site_source")).otherwise(F.col("index_source")).alias("source_page_url"), "mrf_url",
+        "shape", "size_bytes", "last_modified", "etag", "content_type", "reason", F.array_compact(F.concat("steps", _closing_steps())).alias("steps"), F.lit(fv.DISCOVERY_VERSION).alias("discovery_version"))
+
+
+def _closing_steps() -> Column:
+    """What is said after a route was found or not: the entry, how a tie was settled, the probe. Nulls say nothing."""
+    rounded = lambda score: text.fixed(score, 0)
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat(c["location_name"], F.lit(" ("), rounded(c["score"]), F.lit(")"))), "; ")
+    counted = F.concat(F.coalesce(F.col("n_entries"), F.lit(0)).cast("string"), F.lit(" entries, "))
+    indexed, ambiguous = F.col("method").isNotNull() & F.col("site_url").isNull(), F.col("verdict") == "ambiguous"
+    entry = F.when(indexed, text.first_matching([
+        (F.col("verdict") == "matched", F.concat(counted, F.lit("matched "), F.col("location_name"), F.lit(" ("), rounded(F.col("score")), F.lit(")"))),
+        (ambiguous, F.concat(counted, F.lit("ambiguous match: "), listed))], F.concat(counted, F.lit("none resemble "), F.col("name"))))
+    npi = F.when(indexed & ambiguous, F.when(F.col("by_npi"), F.concat(F.lit("NPI settled it: "), F.col("location_name"), F.lit(" ("), F.col("npi_why"), F.lit(")")))
+                 .when(F.col("npi_why") != "no NPI in the filenames", F.concat(F.lit("NPI could not settle it ("), F.col("npi_why"), F.lit(")"))))
+    unsettled = indexed & ambiguous & ~F.col("by_npi")
+    tie = F.when(unsettled & F.col("by_answer"), F.concat(F.lit("tie-break picked "), F.col("location_name"), F.lit(" ("), F.col("told_why"), F.lit(")"))).when(
+        unsettled & F.col("told_no").isNotNull(), F.concat(F.lit("tie-break declined: "), F.col("told_why")))
+    found = F.col("location_name").isNotNull()
+    size = F.concat(F.lit("price file "), F.col("shape"), F.lit(", "), text.size_text(F.col("size_bytes")), F.coalesce(F.concat(F.lit(", modified "), F.col("last_modified")), F.lit("")))
+    end = text.first_matching([
+        (F.col("method").isNull(), F.lit("no machine-readable index located — skipped")), (~found, F.lit(None).cast("string")),
+        (F.col("mrf_url").isNull(), F.lit("entry has no mrf-url — skipped")), (F.col("reason") == "", size)], F.col("reason"))
+    return F.array(entry, npi, tie, end)

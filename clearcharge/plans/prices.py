@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clearcharge import fixed_values as fv
 from clearcharge.functions import billing_codes, text, web
-from clearcharge.operators import latest, lines, places, resolve, verdicts
+from clearcharge.operators import latest, lines, places, positions, resolve, verdicts
 from clearcharge.session import materialise
 
 
@@ -58,24 +58,34 @@ def located_files(store: Store, hospitals: DataFrame, as_of: Column) -> DataFram
     return hospitals.join(found, "ccn", "left").join(current, "mrf_url", "left")
 
 
-def hospital_prices(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of: Column, shown: int | None = fv.SHOWN_LINES,
-                    failed: DataFrame | None = None) -> DataFrame:
-    """One row per (hospital, service): a status that says why there is nothing, or the verdict.
-
-    `wanted`: (ccn, service_id) pairs to answer. `failed`: ccn, status, detail of files that
-    could not be read or were past a cap. Lines are found once per extraction and service,
-    however many ZIPs or hospitals share the file."""
+def _asked(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of: Column) -> DataFrame:
+    """The (ccn, service_id) pairs with the hospital's file and its extraction."""
     with_files = located_files(store, hospitals, as_of).withColumn("shown_name", text.short_name(F.col("name")))
-    asked = materialise(wanted.select("ccn", "service_id").distinct().join(with_files, "ccn"), "asked")
+    return materialise(wanted.select("ccn", "service_id").distinct().join(with_files, "ccn"), "asked")
+
+
+def _reviewed_lines(store: Store, asked: DataFrame) -> DataFrame:
+    """Charge lines of the asked pairs with review answers applied, written once."""
     needed = asked.filter(F.col("extraction_id").isNotNull() & F.col("located")).select("extraction_id").distinct()
-    services = store.services.join(wanted.select(F.col("service_id").alias("id")).distinct(), "id", "left_semi")
+    services = store.services.join(asked.select(F.col("service_id").alias("id")).distinct(), "id", "left_semi")
     found = lines.charge_lines(
         store.charges.join(needed, "extraction_id", "left_semi"), store.items.join(needed, "extraction_id", "left_semi"),
         store.item_codes.join(needed, "extraction_id", "left_semi"), lines.service_codes(services))
     per_hospital = asked.filter("located").select("ccn", "service_id", "extraction_id", F.col("shown_name").alias("hospital")).join(found, ["extraction_id", "service_id"])
-    reviewed = materialise(lines.apply_review(per_hospital, store.reviews), "lines")  # read twice: verdicts and shown lines
+    return materialise(lines.apply_review(per_hospital, store.reviews), "lines")
+
+
+def hospital_prices(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of: Column, shown: int = fv.SHOWN_LINES,
+                    failed: DataFrame | None = None) -> DataFrame:
+    """One row per (hospital, service): a status that says why there is nothing, or the verdict.
+
+    `wanted`: (ccn, service_id) pairs to answer. `failed`: ccn, status, detail of files that
+    could not be read or were past a cap. Lines are found once per extraction and service,
+    however many ZIPs or hospitals share the file."""
+    asked = _asked(store, wanted, hospitals, as_of)
+    reviewed = _reviewed_lines(store, asked)  # read twice: verdicts and shown lines
     summary = verdicts.summarise(reviewed, ["ccn", "service_id"])
-    # A few lines travel with each result, or all (`shown` None): as many as one file has for one service.
+    # A few lines travel with each result; all of them are pages (`line_pages`).
     collected = verdicts.collected_lines(reviewed, ["ccn", "service_id"], shown)
     rows = asked.join(summary, ["ccn", "service_id"], "left").join(collected, ["ccn", "service_id"], "left")
     if failed is not None:
@@ -96,23 +106,48 @@ def hospital_prices(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of
         F.when(silent | F.col("lines").isNull(), F.array()).otherwise(F.col("lines")).alias("lines"))
 
 
-def all_lines(store: Store, ccns: DataFrame, service_ids: DataFrame, as_of: Column) -> DataFrame:
-    """Every matching line in its order, as rows, for the hospitals that asked for them."""
-    with_files = located_files(store, store.hospitals.join(ccns.select("ccn").distinct(), "ccn", "left_semi"), as_of).filter("located and extraction_id is not null")
-    services = store.services.join(service_ids.select(F.col("service_id").alias("id")).distinct(), "id", "left_semi")
-    found = lines.charge_lines(store.charges, store.items, store.item_codes, lines.service_codes(services))
-    per_hospital = with_files.select("ccn", "extraction_id", text.short_name(F.col("name")).alias("hospital")).join(found, "extraction_id")
-    return verdicts.shown_lines(lines.apply_review(per_hospital, store.reviews), ["ccn", "service_id"], None)
+def all_lines(store: Store, wanted: DataFrame, as_of: Column) -> DataFrame:
+    """Every matching line of the (ccn, service_id) pairs that asked for them, as rows."""
+    return _reviewed_lines(store, _asked(store, wanted, store.hospitals, as_of))
+
+
+PAGE_BYTES = 1_000_000
+
+
+def line_pages(found: DataFrame, keys: list[str], page_bytes: int = PAGE_BYTES, part_rows: int | None = None) -> DataFrame:
+    """keys, page (from 0), first (place of its first line), n, lines: every line of each key in order, as JSON arrays
+    of about `page_bytes` each. A page begins once the lines before it fill the ones before, so however many lines a
+    key has, no row is longer than a page and one line; places and sizes are added up over ranges of the lines."""
+    told = found.select(*keys, *verdicts.LINE_FIELDS, F.to_json(line_for_reader(verdicts.line_struct()), {"ignoreNullFields": "false"}).alias("line"))
+    order = [*verdicts.line_order(), *[F.col(c).asc_nulls_last() for c in ("gross", "discounted_cash", "minimum", "maximum")]]
+    placed = positions.numbered(told.withColumn("size", F.octet_length("line") + 1), keys, order, "place", part_rows, "size", "ahead")
+    paged = placed.select(*keys, "place", "line", F.floor(F.col("ahead") / page_bytes).alias("filled"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"])
+    pages = paged.groupBy(*keys, "filled").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(in_order, ","), F.lit("]")).alias("lines"))
+    return pages.withColumn("page", F.row_number().over(Window.partitionBy(*keys).orderBy("filled")) - 1).drop("filled")
+
 
+def with_all_lines(results: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per result and page of its lines, in place of the few lines shown; verdict, headline and count stay as
+    they were. A result without lines has one row without a page."""
+    return results.drop("lines").join(pages, keys, "left")
 
-def with_all_lines(results: DataFrame, full: DataFrame, keys: list[str]) -> DataFrame:
-    """Longer line lists merged into results; verdict and headline stay as they were."""
-    more = full.select(*keys, F.col("lines").alias("full_lines"), F.col("line_count").alias("full_count"))
-    joined = results.join(more, keys, "left")
-    return joined.withColumn("lines", F.coalesce("full_lines", "lines")).withColumn("line_count", F.coalesce("full_count", "line_count")).drop("full_lines", "full_count")
 
+def answer_pages(store: Store, searches: DataFrame, limit: int, as_of: Column, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """(query, zip, part, ccn, payload): part 0 is the search's payload, the others are all lines of its hospitals,
+    nearest first, page by page."""
+    told = materialise(payloads(store, searches, limit, as_of), "payloads")
+    resolutions, results = prices(store, searches, limit, as_of)
+    placed = materialise(results.select("query_zip", "service_id", "rank", "ccn").distinct(), "places-answered")
+    pages = materialise(line_pages(all_lines(store, placed.select("ccn", "service_id"), as_of), ["ccn", "service_id"], page_bytes), "line-pages")
+    asked = searches.select("query", "zip").distinct().join(resolutions.filter("service_id IS NOT NULL").select("query", "service_id"), "query")
+    listed = asked.join(placed, (F.col("zip") == F.col("query_zip")) & (asked["service_id"] == placed["service_id"])).select("query", "zip", placed["service_id"], "rank", "ccn").join(pages, ["ccn", "service_id"])
+    part = F.row_number().over(Window.partitionBy("query", "zip").orderBy("rank", "page"))
+    more = listed.select("query", "zip", part.alias("part"), "ccn", "lines")
+    return told.select("query", "zip", F.lit(0).alias("part"), F.lit(None).cast("string").alias("ccn"), "payload").unionByName(more.withColumnRenamed("lines", "payload"))
 
-def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed: DataFrame | None = None, shown: int | None = fv.SHOWN_LINES) -> tuple[DataFrame, DataFrame]:
+
+def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed: DataFrame | None = None, shown: int = fv.SHOWN_LINES) -> tuple[DataFrame, DataFrame]:
     """(resolutions, results) of a batch of searches (query, zip). ZIPs the gazetteer does not list have no results
     (`places.unknown_zips` names them; `payloads` answers them with an error).
 
@@ -129,7 +164,7 @@ def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed:
     return resolutions, results
 
 
-def prices_at(store: Store, asked: DataFrame, as_of: Column, failed: DataFrame | None = None, shown: int | None = fv.SHOWN_LINES) -> DataFrame:
+def prices_at(store: Store, asked: DataFrame, as_of: Column, failed: DataFrame | None = None, shown: int = fv.SHOWN_LINES) -> DataFrame:
     """Results for hospitals and services given by id: `asked` has ccn and service_id. No distance is known."""
     pairs = materialise(asked.select("ccn", "service_id").distinct(), "asked-by-id")
     named = places.hospitals_by_id(store.hospitals, pairs).select("ccn", "approximate", F.col("reason").alias("unknown"))
@@ -137,18 +172,40 @@ def prices_at(store: Store, asked: DataFrame, as_of: Column, failed: DataFrame |
     return pairs.join(named, "ccn", "left").join(answers, ["ccn", "service_id"], "left").withColumn("distance_km", F.lit(None).cast("double"))
 
 
-def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column, shown: int | None = fv.SHOWN_LINES) -> DataFrame:
+def payloads_at(store: Store, asked: DataFrame, as_of: Column, shown: int = fv.SHOWN_LINES) -> DataFrame:
+    """(search, service_id, payload) for hospitals and services given by id (`asked`: search, ccn, service_id); the
+    hospitals of a search stand in order of their id, without a distance. A hospital or a service nobody has makes the
+    answer an error that names it."""
+    key = ["search", "service_id"]
+    results = asked.select(*key, "ccn").distinct().join(prices_at(store, asked, as_of, shown=shown), ["ccn", "service_id"])
+    ranked = materialise(results.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("ccn"))), "results-by-id")
+    listed = ranked.groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", _result_for_reader().alias("row"))), lambda x, y: x["rank"] - y["rank"]), lambda r: r["row"]).alias("hospitals"),
+        F.min("unknown").alias("unknown"))
+    pairs = verdicts.priced_pairs(ranked, key).select(*key, F.col("pairs").alias("comparisons"), "unpriced")
+    joined = listed.join(pairs, key, "left").join(service_for_reader(store.services).withColumnRenamed("id", "service_id"), "service_id", "left")
+    error = F.coalesce(F.when(F.col("service").isNull(), F.concat(F.lit("no catalog entry with id "), F.col("service_id"))), F.col("unknown"))
+    ok = error.isNull()
+    return joined.select(*key, F.to_json(F.struct(
+        F.when(ok, F.lit("ok")).otherwise(F.lit("error")).alias("status"), error.alias("error"), "service",
+        *[F.when(ok, F.coalesce(c, F.array())).alias(c) for c in ("hospitals", "comparisons", "unpriced")]), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def _result_for_reader() -> Column:
+    return F.struct(
+        "ccn", "name", "distance_km", "approximate", "hospital_type", "url", "file_date", "verdict", "detail", "line_count",
+        line_for_reader(F.col("headline")).alias("headline"), F.transform("lines", line_for_reader).alias("lines"))
+
+
+def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column, shown: int = fv.SHOWN_LINES) -> DataFrame:
     """One JSON payload per search: ok with results and pairs, the candidates to choose from, or an error for a ZIP
     that is not listed. Absent values are written as null."""
     resolutions, results = prices(store, searches, limit, as_of, shown=shown)
     unknown = places.unknown_zips(searches.select("zip"), store.zcta).select("zip", F.col("reason").alias("error"))
     results = materialise(results, "results")
     pairs = verdicts.priced_pairs(results, ["query_zip", "service_id"]).select("query_zip", "service_id", F.col("pairs").alias("comparisons"), "unpriced")
-    for_reader = F.struct(
-        "ccn", "name", "distance_km", "approximate", "hospital_type", "url", "file_date", "verdict", "detail", "line_count",
-        line_for_reader(F.col("headline")).alias("headline"), F.transform("lines", line_for_reader).alias("lines"))
     hospitals = results.groupBy("query_zip", "service_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", for_reader.alias("row"))), lambda x, y: x["rank"] - y["rank"]), lambda r: r["row"]).alias("hospitals"))
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", _result_for_reader().alias("row"))), lambda x, y: x["rank"] - y["rank"]), lambda r: r["row"]).alias("hospitals"))
     said = searches.select("query", "zip").distinct().join(resolutions, "query")
     joined = (
         said.join(service_for_reader(store.services).withColumnRenamed("id", "service_id"), "service_id", "left")

@@ -278,9 +278,48 @@ def payloads(spark, folder):
         "query", "zip", "p.status", F.coalesce(F.size("p.hospitals"), F.lit(0)).cast("bigint").alias("hospitals"), F.array_join(shown, "; ").alias("listed"))
 
 
-@register("J21_with_all_lines", f"{LINES}, {summarised('lines', _SUMMARY)} SELECT extraction_id, service_id, verdict, CAST(line_count AS BIGINT) AS lines FROM verdicts")
+# Small pages, so that groups have several; every line of every page is compared.
+@register("J21_with_all_lines", f"""{LINES}, {summarised('lines', _SUMMARY)}, placed AS (SELECT *, row_number() OVER (PARTITION BY extraction_id, service_id ORDER BY {LINE_ORDER}, gross, discounted_cash, minimum, maximum) AS place FROM lines)
+    SELECT p.extraction_id, p.service_id, v.verdict, v.line_count, p.place, p.source_ref AS ref, p.code, CAST(p.discounted_cash AS DOUBLE) AS cash, CAST(p.gross AS DOUBLE) AS gross, true AS fits
+    FROM placed p JOIN verdicts v USING (extraction_id, service_id)""")
 def merged_lines(spark, folder):
     found = charge_lines(spark, folder)
-    short = verdicts.summarise(found, ["extraction_id", "service_id"]).join(verdicts.collected_lines(found, ["extraction_id", "service_id"], 2), ["extraction_id", "service_id"])
-    full = found.groupBy("extraction_id", "service_id").agg(F.collect_list(verdicts.line_struct()).alias("lines"), F.count("*").alias("line_count"))
-    return prices.with_all_lines(short, full, ["extraction_id", "service_id"]).select("extraction_id", "service_id", "verdict", F.size("lines").cast("bigint").alias("lines"))
+    key, page_bytes = ["extraction_id", "service_id"], 2_000
+    short = verdicts.summarise(found, key).join(verdicts.collected_lines(found, key, 2), key)
+    merged = prices.with_all_lines(short, prices.line_pages(found, key, page_bytes), key)
+    listed = F.from_json("lines", "array<struct<ref:string,code:string,cash:double,gross:double>>")
+    opened = merged.select(*key, "verdict", "line_count", "first", (F.octet_length("lines") < page_bytes + 1_000).alias("fits"), F.posexplode(listed).alias("no", "line"))
+    return opened.select(*key, "verdict", "line_count", (F.col("first") + F.col("no")).alias("place"), "line.*", "fits")
+
+
+_BY_ID = "SELECT DISTINCT CAST(floor(s_suppkey / 6) AS BIGINT) AS search, 'H' || CAST(s_suppkey * (1 + s_suppkey % 2) AS VARCHAR) AS ccn, 'svc-' || CAST(200 - CAST(floor(s_suppkey / 6) AS BIGINT) % 230 AS VARCHAR) AS service_id FROM supplier"
+
+
+# Hospitals and services asked for by id, some of which nobody has.
+@register("F18_J20_prices_by_id", f"""{PRICED}, by_id AS ({_BY_ID}), named AS (SELECT b.*, h.ccn IS NOT NULL AS there, f.ok AS located, f.reason, f.mrf_url, c.extraction_id FROM by_id b LEFT JOIN d_raw_hospitals h ON h.ccn = b.ccn
+    LEFT JOIN found f ON f.ccn = b.ccn LEFT JOIN current c ON c.url = f.mrf_url), id_lines AS (SELECT n.ccn, l.* REPLACE (coalesce(l.billing_class, CASE WHEN a.a.d = '' OR lower({duck.squeeze('a.a.d')}) = lower({duck.squeeze('l.description')}) THEN a.a.b END) AS billing_class)
+    FROM named n JOIN lines l ON l.extraction_id = n.extraction_id AND l.service_id = n.service_id AND n.located LEFT JOIN answers a ON a.service_id = l.service_id AND a.ccn = n.ccn AND a.ref = l.source_ref), {summarised('id_lines', 'ccn, service_id', 'i_')},
+    told AS (SELECT n.search, n.service_id, string_agg(n.ccn || ' ' || CASE WHEN NOT n.there OR n.located IS NULL THEN '{fv.NOT_LOOKED}' WHEN NOT n.located THEN '{fv.NO_FILE}' WHEN n.extraction_id IS NULL THEN '{fv.NOT_SCANNED}' ELSE coalesce(v.verdict, '{fv.NOT_FOUND}') END
+        || ' ' || coalesce(v.line_count, 0) || ' ' || coalesce(CASE WHEN v.has_head THEN v.h_ref END, '-'), '; ' ORDER BY n.ccn) AS listed, min(CASE WHEN NOT n.there THEN 'no hospital with CCN ' || n.ccn END) AS unknown
+        FROM named n LEFT JOIN i_verdicts v ON v.ccn = n.ccn AND v.service_id = n.service_id GROUP BY n.search, n.service_id)
+    SELECT t.search, t.service_id, CASE WHEN s.id IS NULL OR t.unknown IS NOT NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN s.id IS NULL THEN 'no catalog entry with id ' || t.service_id ELSE t.unknown END AS error,
+        CASE WHEN s.id IS NOT NULL AND t.unknown IS NULL THEN t.listed END AS listed FROM told t LEFT JOIN d_services s ON s.id = t.service_id""")
+def by_id(spark, folder):
+    views.load(spark, folder, "supplier")
+    spark.read.parquet(f"{folder}/supplier.parquet").createOrReplaceTempView("supplier")
+    out = prices.payloads_at(stored(spark, folder), spark.sql(_BY_ID.replace("VARCHAR", "STRING")), F.expr(AS_OF))
+    parsed = F.from_json("payload", "status string, error string, hospitals array<struct<ccn:string,verdict:string,line_count:bigint,headline:struct<ref:string>>>")
+    shown = F.transform("p.hospitals", lambda h: F.concat_ws(" ", h["ccn"], h["verdict"], h["line_count"].cast("string"), F.coalesce(h["headline"]["ref"], F.lit("-"))))
+    return out.select("search", "service_id", parsed.alias("p")).select("search", "service_id", "p.status", "p.error", F.array_join(shown, "; ").alias("listed"))
+
+
+@register("K14_answer_pages", f"""{PRICED}, sized AS (SELECT s.query, s.zip, r.service_id FROM (SELECT DISTINCT query, zip FROM searches) s JOIN resolved r ON r.query = s.query WHERE r.service_id IS NOT NULL)
+    SELECT z.query, z.zip, x.ccn, count(*) AS lines, string_agg(l.source_ref, ',' ORDER BY l.code, l.modifiers NULLS FIRST, l.setting NULLS LAST, l.billing_class NULLS LAST, l.source_ref, l.code_type, l.description, l.gross, l.discounted_cash, l.minimum, l.maximum) AS refs
+    FROM sized z JOIN results x ON x.query_zip = z.zip AND x.service_id = z.service_id JOIN answer_lines l ON l.ccn = x.ccn AND l.service_id = x.service_id GROUP BY ALL""")
+def answer_pages(spark, folder):
+    """Lines of every search, put together again from their pages."""
+    pages = prices.answer_pages(stored(spark, folder), searches(spark, folder), K, F.expr(AS_OF), 1_500).filter("part > 0")
+    lines_of = F.from_json("payload", "array<struct<ref:string>>")
+    opened = pages.select("query", "zip", "ccn", "part", F.posexplode(lines_of).alias("no", "line"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "no", "line.ref"))), lambda x: x["ref"])
+    return opened.groupBy("query", "zip", "ccn").agg(F.count("*").alias("lines"), F.array_join(in_order, ",").alias("refs"))

@@ -11,6 +11,7 @@ from clearcharge.plans import audit
 from clearcharge.registry import duck, views
 from clearcharge.registry.core import register
 from clearcharge.registry.reg_text import project
+from clearcharge.session import materialise
 
 c = F.col
 project("P20_clean_name", "d_entries", {"n": "location_name || ' & Sons-' || index_id"}, {"cleaned": (lambda: names.clean_name(c("n")), duck.clean_name("n"))}, "entry_no")
@@ -179,21 +180,80 @@ def stored_answers(spark, folder):
     return discovery.stored_answer(asked, told, F.col("candidates")).select("c_custkey", "known")
 
 
-# The chain joins guessed domains, index texts, links and probes; tests pin each way it can go.
-@register("D16_locate")
+def _kind(host: str, n: int) -> str:
+    """A number from 0 to n - 1 out of a host's name, in SQL that both engines read."""
+    return f"(instr('0123456789abcdef', substr(md5({host}), 1, 1)) - 1) % {n}"
+
+
+# What guessed domains answer: 0 has a page with a charges file, 1 blocks but links to its care host, 2 is dead, 3 has the
+# index of the nation in its name, 4 links to a shoppable list and its care host, 5 has nothing. Care hosts: 0 index, 1 a
+# link to the prices host, 2 a charges file, 3 dead. Prices hosts: 0 index, 1 a link back, 2 a charges file. The hosts a web
+# search knows: one for each nation, with an index, a file, or a link to a care host with the index.
+_HOSTS = f"""SELECT host, nation, CASE WHEN kind IN (0, 4, 5) THEN '404' WHEN kind = 1 THEN '403' WHEN kind = 2 THEN 'dead' ELSE 'index' END AS says, kind = 0 AS has_file, kind = 4 AS has_list, CASE WHEN kind IN (1, 4) THEN concat('care.', host) END AS points_at
+    FROM (SELECT host, nation, {_kind('host', 6)} AS kind FROM guessed_hosts) AS g
+UNION ALL SELECT host, nation, CASE kind WHEN 0 THEN 'index' WHEN 3 THEN 'dead' ELSE '404' END, kind = 2, false, CASE WHEN kind = 1 THEN concat('prices.', apex) END
+    FROM (SELECT concat('care.', host) AS host, host AS apex, nation, {_kind("concat('care.', host)", 4)} AS kind FROM guessed_hosts) AS c
+UNION ALL SELECT host, nation, CASE kind WHEN 0 THEN 'index' ELSE '404' END, kind = 2, false, CASE WHEN kind = 1 THEN concat('care.', apex) END
+    FROM (SELECT concat('prices.', host) AS host, host AS apex, nation, {_kind("concat('prices.', host)", 3)} AS kind FROM guessed_hosts) AS p
+UNION ALL SELECT concat('www.group', CAST(n_nationkey AS STRING), '.org'), CAST(n_nationkey AS STRING), CASE n_nationkey % 3 WHEN 0 THEN 'index' ELSE '404' END, n_nationkey % 3 = 1, false, CASE WHEN n_nationkey % 3 = 2 THEN concat('care.group', CAST(n_nationkey AS STRING), '.org') END FROM nation
+UNION ALL SELECT concat('care.group', CAST(n_nationkey AS STRING), '.org'), CAST(n_nationkey AS STRING), 'index', false, false, NULL FROM nation"""
+_CHAIN = f"""{MATCHED}, guesses AS (SELECT ccn, CAST(s_nationkey AS VARCHAR) AS nation, s_suppkey, unnest(string_split(d, ' ')) AS host, generate_subscripts(string_split(d, ' '), 1) AS no FROM (SELECT *, {_domains('name')} AS d FROM d_raw_hospitals)),
+guessed_hosts AS (SELECT host, min(nation) AS nation FROM guesses GROUP BY host), hosts AS ({_HOSTS}),
+asked AS (SELECT g.*, h.says, h.has_file, h.points_at, min(g.no) FILTER (WHERE h.says = 'index') OVER (PARTITION BY g.ccn) AS ok_no FROM guesses g JOIN hosts h USING (host)),
+r0 AS (SELECT ccn, no, host, 'cms-hpt' AS method, 0 AS level FROM asked WHERE no = ok_no),
+alive AS (SELECT * FROM asked WHERE ok_no IS NULL AND says IN ('404', '403')),
+r1 AS (SELECT ccn, no, host, 'site-page' AS method, 1 AS level FROM alive WHERE has_file),
+care AS (SELECT a.ccn, a.no, h.* FROM alive a JOIN hosts h ON h.host = a.points_at WHERE a.ccn NOT IN (SELECT ccn FROM r1)),
+r2 AS (SELECT ccn, no, host, CASE WHEN says = 'index' THEN 'site-link+cms-hpt' ELSE 'site-link+site-page' END AS method, 2 AS level FROM care WHERE says = 'index' OR has_file),
+prices AS (SELECT c.ccn, c.no, h.* FROM care c JOIN hosts h ON h.host = c.points_at WHERE c.ccn NOT IN (SELECT ccn FROM r2)),
+r3 AS (SELECT ccn, no, host, CASE WHEN says = 'index' THEN 'site-link+cms-hpt' ELSE 'site-link+site-page' END AS method, 3 AS level FROM prices WHERE says = 'index' OR has_file),
+searched AS (SELECT ccn, h.* FROM d_raw_hospitals d JOIN hosts h ON h.host = 'www.group' || s_nationkey || '.org' WHERE s_suppkey % 4 < 3 AND ccn NOT IN (SELECT ccn FROM r0 UNION ALL SELECT ccn FROM r1 UNION ALL SELECT ccn FROM r2 UNION ALL SELECT ccn FROM r3)),
+r4 AS (SELECT ccn, 1 AS no, coalesce(points_at, host) AS host, CASE WHEN says = 'index' THEN 'web-search+cms-hpt' WHEN has_file THEN 'web-search+site-page' ELSE 'web-search+site-link+cms-hpt' END AS method, 4 AS level FROM searched),
+routes AS (SELECT DISTINCT ON (ccn) * FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4) ORDER BY ccn, level, no),
+linked AS (SELECT r.ccn, r.level, (SELECT count(*) FROM care c WHERE c.ccn = r.ccn AND (r.level > 2 OR (r.level = 2 AND c.no <= r.no))) + (SELECT count(*) FROM prices p WHERE p.ccn = r.ccn AND (r.level > 3 OR (r.level = 3 AND p.no <= r.no))) + (r.method = 'web-search+site-link+cms-hpt')::INT AS hops FROM routes r),
+registry AS ({_FIRST_REGISTRY}),
+tied AS (SELECT k.ccn, k.entry_no, regexp_extract(e.mrf_url, '([0-9]{{10}})_', 1) AS x FROM candidates k JOIN decided d ON d.ccn = k.ccn AND d.verdict = 'ambiguous' JOIN d_entries e ON e.entry_no = k.entry_no),
+tie_hits AS (SELECT t.ccn, t.entry_no FROM (SELECT ccn, entry_no, CASE WHEN length(x) = 10 AND {_LUHN} THEN x END AS npi FROM tied) t JOIN d_raw_hospitals h ON h.ccn = t.ccn JOIN registry r ON r.npi = t.npi
+    WHERE coalesce(regexp_extract(h.address, '^[0-9]+') = regexp_extract(r.address, '^[0-9]+') AND ({duck.clean_name('h.city')} = {duck.clean_name('r.city')} OR r.zip = h.zip), false)),
+npi AS (SELECT ccn, max(entry_no) AS entry_no FROM tie_hits GROUP BY ccn HAVING count(*) = 1),
+entry AS (SELECT r.ccn, r.host, r.level, r.method LIKE '%site-page' AS on_site, d.verdict, CASE WHEN d.verdict = 'matched' THEN d.first_no ELSE n.entry_no END AS entry_no, r.method || CASE WHEN r.method NOT LIKE '%site-page' AND n.entry_no IS NOT NULL THEN '+npi' ELSE '' END AS method
+    FROM routes r JOIN decided d ON d.ccn = r.ccn LEFT JOIN npi n ON n.ccn = r.ccn),
+found AS (SELECT h.ccn, e.host AS domain, coalesce(e.method, 'failed') AS method, e.on_site, e.verdict, CASE WHEN e.on_site THEN 'https://' || e.host || '/pricing' WHEN e.host IS NOT NULL THEN 'https://' || e.host || '/cms-hpt.txt' END AS index_url,
+    CASE WHEN e.on_site THEN e.host || '_standardcharges.csv' ELSE trim(x.location_name) END AS location_name,
+    CASE WHEN e.on_site THEN 'https://' || e.host || '/pricing' END AS source_page_url,
+    CASE WHEN e.on_site THEN 'https://' || e.host || '/files/' || e.host || '_standardcharges.csv' ELSE x.mrf_url || CASE WHEN x.entry_no % 5 = 0 THEN '?v=2' ELSE '' END END AS mrf_url,
+    CASE WHEN e.on_site THEN length(e.host) % 3 <> 0 ELSE x.entry_no % 5 <> 0 AND x.entry_no % 6 <> 0 END AS good, CASE WHEN e.on_site THEN true ELSE x.entry_no % 5 <> 0 END AS probed, coalesce(l.hops, (SELECT count(*) FROM care c WHERE c.ccn = h.ccn) + (SELECT count(*) FROM prices p WHERE p.ccn = h.ccn)) AS hops
+    FROM d_raw_hospitals h LEFT JOIN entry e ON e.ccn = h.ccn LEFT JOIN d_entries x ON x.entry_no = e.entry_no AND NOT e.on_site LEFT JOIN linked l ON l.ccn = h.ccn)
+SELECT ccn, method, domain, index_url, location_name, source_page_url, CASE WHEN location_name IS NOT NULL THEN mrf_url END AS mrf_url, hops, CASE WHEN method = 'failed' THEN 'no cms-hpt.txt or linked file located' WHEN location_name IS NULL THEN 'index found but no entry for this hospital (' || verdict || ')'
+    WHEN NOT probed THEN 'file URL failed' WHEN NOT good THEN 'file URL failed' ELSE '' END AS reason FROM found"""
+
+
+@register("D16_P50_locate", _CHAIN)
 def locate(spark, folder):
+    """The whole chain over landed logs: guessed domains, pages, sibling hosts, web searches, entries, probes."""
     from clearcharge.plans import discovery
     from clearcharge.sources import pages as page_links
 
-    hospitals, lines, landed, entries = views.load(spark, folder, "d_raw_hospitals", "d_index_lines", "d_pages", "d_entries")
+    hospitals, lines, entries, nation = views.load(spark, folder, "d_raw_hospitals", "d_index_lines", "d_entries", "nation")
     texts = lines.groupBy("index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("body"))
-    nations = hospitals.select("name", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("index_id"))
-    guessed = nations.select("index_id", F.explode(names.domain_candidates(F.col("name"))).alias("domain")).dropDuplicates(["domain"])
-    kind = F.pmod(F.xxhash64("domain"), F.lit(4))
-    fetches = guessed.join(texts, "index_id").select(
-        "domain", F.lit(0).alias("try_no"), F.col("domain").alias("host"), F.when(kind == 0, 404).when(kind == 1, 403).otherwise(200).alias("status"), F.lit(None).cast("string").alias("error"),
-        F.when(kind > 1, F.col("body")).alias("body"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("https://"), F.col("domain"), F.lit("/cms-hpt.txt")).alias("final_url"))
+    guessed = hospitals.select(F.col("s_nationkey").cast("string").alias("nation"), F.explode(names.domain_candidates(F.col("name"))).alias("host")).groupBy("host").agg(F.min("nation").alias("nation"))
+    guessed.createOrReplaceTempView("guessed_hosts")
+    nation.createOrReplaceTempView("nation")
+    hosts = materialise(spark.sql(_HOSTS), "hosts")
     none = F.lit(None).cast("string")
-    probes = entries.select(F.col("mrf_url").alias("url"), F.when(F.col("entry_no") % 6 == 0, 404).otherwise(200).alias("status"), none.alias("error"), F.lit("text/csv").alias("content_type"),
-                            none.alias("disposition"), F.lit("a,b").alias("head"), F.lit(1).cast("bigint").alias("size_bytes"), none.alias("last_modified"), none.alias("etag")).dropDuplicates(["url"])
-    return discovery.locate(hospitals.drop("s_suppkey", "s_nationkey"), fetches, page_links.extract_links(landed), spark.sql(_FIRST_REGISTRY), probes).select("ccn", "ok", "method", "domain", "mrf_url", "reason")
+    says = F.col("says")
+    fetches = hosts.join(texts.withColumnRenamed("index_id", "of"), F.concat(F.lit("N"), "nation") == F.col("of"), "left").select(
+        F.col("host").alias("domain"), F.lit(0).alias("try_no"), "host", F.when(says == "index", 200).when(says != "dead", says.cast("int")).alias("status"), F.when(says == "dead", "ConnectError").alias("error"),
+        F.when(says == "index", F.col("body")).alias("body"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("https://"), "host", F.lit("/cms-hpt.txt")).alias("final_url"))
+    link = lambda url: F.concat(F.lit('<a href="'), url, F.lit('">price transparency</a>'))
+    file_url = F.concat(F.lit("/files/"), "host", F.lit("_standardcharges.csv"))
+    html = F.concat(F.when(F.col("has_file"), link(file_url)).otherwise(""), F.when(F.col("has_list"), link(F.lit("/files/shoppable_standardcharges.csv"))).otherwise(""), F.coalesce(link(F.concat(F.lit("https://"), "points_at", F.lit("/price-transparency"))), F.lit("")))
+    landed = hosts.filter("says <> 'dead'").select(F.xxhash64("host").alias("page_id"), F.concat(F.lit("https://"), "host", F.lit("/pricing")).alias("url"), html.alias("html"))
+    of_index = entries.select(F.col("mrf_url").alias("url"), F.when(F.col("entry_no") % 6 == 0, 404).otherwise(200).alias("status"))
+    of_site = hosts.filter("has_file").select(F.concat(F.lit("https://"), "host", file_url).alias("url"), F.when(F.length("host") % 3 == 0, 404).otherwise(200).alias("status"))
+    probes = of_index.unionByName(of_site).select("url", "status", none.alias("error"), F.lit("text/csv").alias("content_type"), none.alias("disposition"), F.lit("a,b").alias("head"), F.lit(1).cast("bigint").alias("size_bytes"), none.alias("last_modified"), none.alias("etag"))
+    searched = hospitals.filter("s_suppkey % 4 < 3").select("ccn", F.concat(F.lit("www.group"), F.col("s_nationkey").cast("string"), F.lit(".org")).alias("host"))
+    found = discovery.locate(hospitals.drop("s_suppkey", "s_nationkey"), fetches, page_links.extract_links(landed), spark.sql(_FIRST_REGISTRY), probes, website_answers=searched)
+    hops = F.size(F.filter("steps", lambda x: x.startswith("a pricing link points at"))).cast("bigint")
+    reason = F.when(F.col("reason").startswith("index found"), F.col("reason")).otherwise(F.element_at(F.split("reason", ":"), 1))
+    return found.select("ccn", "method", "domain", "index_url", "location_name", "source_page_url", "mrf_url", hops.alias("hops"), reason.alias("reason"))

@@ -159,6 +159,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                'H' || {_S('event_id % 4')} AS ccn, CASE WHEN event_id % 2 = 0 THEN 'download' ELSE 'extract' END AS phase,
                CAST(round(value * 100) AS BIGINT) AS done, CAST(NULL AS BIGINT) AS total, event_type || {_S('event_id')} AS result
         FROM events"""),
+    # The same, each run up to its first end or error: nothing follows that.
+    "d_runs": (("d_events",), """
+        SELECT e.* FROM d_events AS e LEFT JOIN (SELECT run_id, min(seq) AS stop FROM d_events WHERE kind IN ('end', 'error') GROUP BY run_id) AS s ON s.run_id = e.run_id
+        WHERE s.stop IS NULL OR e.seq <= s.stop"""),
     "d_spend": ((), """
         SELECT event_id AS call_id, CAST(ts AS TIMESTAMP) AS called_at,
                CASE event_type WHEN 'click' THEN 'small-model' WHEN 'view' THEN 'small-model-2024' WHEN 'purchase' THEN 'large-model' ELSE 'other' END AS model,

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 
 from clearcharge import fixed_values as fv
 from clearcharge import schemas
-from clearcharge.functions import similarity
-from clearcharge.operators import close_words, matching, places, resolve, verdicts
+from clearcharge.functions import names, similarity
+from clearcharge.operators import close_words, matching, places, positions, resolve, verdicts
+from clearcharge.plans import prices
 from clearcharge.streaming import admission
 from tests.conftest import rows
 
@@ -149,19 +151,80 @@ def test_matching_and_ties(spark):
     assert tie["5"]["entry_no"] == 1 and "640 QUAYSIDE, Marlow" in tie["5"]["why"] and tie["1"]["why"] == "no NPI in the filenames"
 
 
-def test_admission_equals_a_plain_model(spark):
-    rng = random.Random(9)
-    attempts = [(f"ip{rng.randrange(3)}", i, rng.randrange(40_000)) for i in range(300)]
-    df = spark.createDataFrame(attempts, "address string, attempt_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    got = rows(admission.admission_batch(df, 3), "attempt_id", "admitted", "wait_seconds")
+def _admission_model(attempts, limit, window=3600):
     expected = []
     for ip in {a[0] for a in attempts}:
         recent = []
         for _, i, s in sorted((a for a in attempts if a[0] == ip), key=lambda a: (a[2], a[1])):
-            recent = [t for t in recent if s - t < 3600]
-            if len(recent) < 3:
+            recent = [t for t in recent if s - t < window]
+            if len(recent) < limit:
                 recent.append(s)
                 expected.append((i, True, 0))
             else:
-                expected.append((i, False, 3600 - (s - recent[0])))
-    assert got == sorted(expected)
+                expected.append((i, False, window - (s - recent[0])))
+    return sorted(expected)
+
+
+@pytest.mark.parametrize("limit, part_rows", [(1, 40), (3, 40), (3, 10_000), (7, 25)])
+def test_admission_equals_a_plain_model(spark, limit, part_rows):
+    """One address with nearly all attempts covers many parts; quiet and busy stretches, and attempts at one moment."""
+    rng = random.Random(limit)
+    attempts = [(f"ip{0 if i % 20 else rng.randrange(3)}", i, rng.choice([rng.randrange(60_000), rng.randrange(20) * 3_000, rng.randrange(300_000)])) for i in range(500)]
+    df = spark.createDataFrame(attempts, "address string, attempt_id bigint, s bigint").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = rows(admission.admission_batch(df, limit, part_rows=part_rows), "attempt_id", "admitted", "wait_seconds")
+    assert got == _admission_model(attempts, limit)
+
+
+def test_admission_of_no_attempts_and_of_one_at_its_limit_without_end(spark):
+    schema = "address string, attempt_id bigint, s bigint"
+    steady = [("a", i, i * 7) for i in range(2_000)]
+    frame = lambda given: spark.createDataFrame(given, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    assert rows(admission.admission_batch(frame(steady), 2, part_rows=300), "attempt_id", "admitted", "wait_seconds") == _admission_model(steady, 2)
+    assert admission.admission_batch(frame([]), 2).count() == 0
+
+
+@pytest.mark.parametrize("part_rows", [7, 10_000])
+def test_positions_and_running_sums_of_a_hot_group(spark, part_rows):
+    rng = random.Random(1)
+    given = [(None if i % 9 == 0 else "hot" if i % 9 < 7 else f"k{i % 5}", rng.choice([None, rng.randrange(30)]), i, rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(given, "k string, at int, id int, v int").repartition(5)
+    got = {r["id"]: (r["nth"], r["before"]) for r in positions.numbered(df, ["k"], [F.col("at"), F.col("id")], "nth", part_rows, "v", "before").collect()}
+    sums = {r["id"]: r["b"] for r in positions.summed_before(df, ["k"], [F.col("at"), F.col("id")], "v", "b", part_rows).collect()}
+    for k in {g[0] for g in given}:
+        total = 0
+        for n, (_, _, i, v) in enumerate(sorted((g for g in given if g[0] == k), key=lambda g: (g[1] is not None, g[1] or 0, g[2])), 1):
+            assert got[i] == (n, total) and sums[i] == total
+            total += v
+    whole = [r["id"] for r in positions.numbered(df, [], [F.col("id").desc()], "nth", part_rows).orderBy("nth").collect()]
+    assert whole == list(range(299, -1, -1)) and positions.numbered(df.limit(0), ["k"], [F.col("id")], "nth").count() == 0
+
+
+def test_best_external_equals_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["NORTH", "SOUTH", "MERCY", "SAINT", "OAK", "VALLEY", "GENERAL", "LAKE", "HILL", "COUNTY"]
+    name = lambda: " ".join(rng.choice(parts) + rng.choice(["", "", "E", "S"]) for _ in range(rng.randint(1, 5)))
+    ours, theirs = [(str(i), name()) for i in range(60)], [(i, name(), f"u{i}") for i in range(80)]
+    got = {r["ccn"]: (round(r["score"], 6), r["row_no"]) for r in matching.best_external(spark.createDataFrame(ours, "ccn string, name string"), spark.createDataFrame(theirs, "row_no bigint, name string, url string")).collect()}
+    words = {n: r for n, r in spark.createDataFrame([(n,) for n in {n for _, n in ours} | {n for _, n, _ in theirs}], "n string").select("n", similarity.sorted_words(names.match_text(F.col("n")))).collect()}
+    want = {}
+    for ccn, n in ours:
+        scored = [(-_ratio(words[n], words[t]), i) for i, t, _ in theirs if words[n] and words[t] and _ratio(words[n], words[t]) >= fv.EXTERNAL_INDEX_SCORE]
+        if scored:
+            want[ccn] = (round(-min(scored)[0], 6), min(scored)[1])
+    assert got == want and 10 < len(want) < 60
+
+
+def test_pages_hold_every_line_once_in_order(spark):
+    given = spark.range(3_000).select(
+        F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("k"), F.lit("CPT").alias("code_type"), F.concat(F.lit("9"), (F.col("id") % 3).cast("string")).alias("code"), F.array().cast("array<string>").alias("other_codes"),
+        F.lit("Hearing test é").alias("description"), *[F.lit(None).cast("string").alias(c) for c in ("setting", "billing_class", "modifiers")], *[F.col("id").cast("decimal(18,6)").alias(c) for c in ("gross", "discounted_cash", "minimum", "maximum")],
+        F.concat(F.lit("row "), F.col("id").cast("string")).alias("source_ref"), F.lit(None).cast("string").alias("off_template_note"), F.lit(False).alias("class_from_review"))
+    pages = prices.line_pages(given, ["k"], page_bytes=5_000, part_rows=400).orderBy("k", "page").collect()
+    for k in "ab":
+        mine = [p for p in pages if p["k"] == k]
+        lines_of = [json.loads(p["lines"]) for p in mine]
+        refs = [x["ref"] for page in lines_of for x in page]
+        want = sorted((i for i in range(3_000) if (i % 10 == 0) == (k == "b")), key=lambda i: (i % 3, f"row {i}"))
+        assert refs == [f"row {i}" for i in want] and [p["page"] for p in mine] == list(range(len(mine)))
+        assert [p["first"] for p in mine] == [1 + sum(map(len, lines_of[:n])) for n in range(len(mine))]
+        assert max(len(p["lines"].encode()) for p in mine) < 6_000

@@ -73,6 +73,44 @@ def test_extractions_are_replaced_whole_and_reasons_kept(spark, tmp_path):
     assert second[True]["charges"] == 1 and store.read_table(spark, root, "charges").count() == 1 and store.read_table(spark, root, "extractions").count() == 2
 
 
+@pytest.mark.parametrize("broken", ["item_codes", "charges", "files", "extractions", "commit"])
+def test_a_write_that_fails_on_the_way_leaves_the_old_extraction_whole(spark, tmp_path, monkeypatch, broken):
+    path, root = tmp_path / "a.csv", str(tmp_path / "store")
+
+    def run(text):
+        path.write_text(HEAD + COLUMNS + text)
+        headers, charges = charge_csv.read_mrf_csv(spark, str(path))
+        store.write_extractions(spark, root, headers, charges, headers.select("file", F.lit("c" * 64).alias("checksum"), F.lit(5).cast("bigint").alias("size_bytes")), dt.datetime(2026, 1, 1))
+
+    def seen():
+        return {name: sorted(map(str, store.read_table(spark, root, name).drop("first_seen").collect())) for name in ("items", "item_codes", "charges", "files", "extractions")}
+
+    run("Hearing test,92557,CPT,outpatient,,10,5\nCast,1,RC,,,1,\n")
+    old, part, commit = seen(), store._write_part, store._commit
+
+    def failing(frame, root, name, write):
+        if name == broken:
+            raise OSError("lost")
+        part(frame, root, name, write)
+
+    def lost(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store, "_write_part", failing)
+    if broken == "commit":
+        monkeypatch.setattr(store, "_commit", lost)
+    with pytest.raises(OSError, match="lost"):
+        run("Cast,2,RC,,,7,\n")
+    assert seen() == old
+    monkeypatch.setattr(store, "_write_part", part)
+    monkeypatch.setattr(store, "_commit", commit)
+    run("Cast,2,RC,,,7,\n")
+    new = seen()
+    assert len(new["charges"]) == len(new["items"]) == len(new["extractions"]) == 1 and "7.0" in new["charges"][0]
+    left = [p for p in (tmp_path / "store" / "charges.writes").glob("write=*/extraction_id=*")]
+    assert len(left) <= 2  # the current one, and what the write that failed has left
+
+
 def reference(spark, tmp_path):
     folder = tmp_path / "ref"
     folder.mkdir()
