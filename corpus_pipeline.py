@@ -7,8 +7,8 @@
 5. encoding: two distinct sampled segmentations of each text.
 
 Each stage takes every row its predecessor kept. Stages 1 to 4 return the columns of documents. Null and empty texts go
-in stage 1; repeated rows with one id count as one document from stage 2 on; rows without an id are kept until then
-and go in stage 2, since nothing could be said of them; empty tables give empty results.
+in stage 1; repeated rows with one id and text count as one document from stage 2 on; rows without an id pass stage 2
+and stage 3 as they are, since nothing links them to another document; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,12 +33,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = materialise(near_duplicates(docs, words=5, percent=80), "pipeline-groups")
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.filter("doc_id IS NOT NULL").join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.limit(1).count() == 0:
         return left
     again = broadcast_if_small(materialise(repeated, "pipeline-repeated"))
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
