@@ -120,9 +120,14 @@ def best_known(spark, folder):
     return resolve.correct_tokens(parsed.select(F.explode("tokens").alias("word")), services(spark, folder))
 
 
-# Whole texts: every word of the conversations that the benchmark texts do not use, against their words.
-# No oracle: comparing every pair in SQL takes minutes; tests check it against brute force.
-@register("J15_close_words_in_texts")
+# Whole texts: every word of the conversations that the benchmark texts do not use, against their words. Two words of so
+# many letters are that far apart at most, whatever is counted as a change; what is left is scored.
+_FAR = f"floor((length(word) + length(known)) * (100 - {fv.TYPO_SCORE}) / 100)"
+
+
+@register("J15_close_words_in_texts", f"""WITH vocabulary AS (SELECT DISTINCT unnest({duck.tokens('text')}) AS known FROM benchmark), typed AS (SELECT DISTINCT unnest({duck.tokens('text')}) AS word FROM conversations),
+    near AS (SELECT word, known FROM typed JOIN vocabulary ON abs(length(word) - length(known)) <= {_FAR} WHERE length(word) >= {fv.TYPO_MIN_LENGTH} AND word NOT IN (SELECT known FROM vocabulary) AND levenshtein(word, known) <= {_FAR}),
+    scored AS (SELECT word, known, {duck.ratio('word', 'known')} AS ratio FROM near) SELECT word, known, round(ratio, 6) AS ratio FROM scored WHERE ratio >= {fv.TYPO_SCORE}""")
 def close_in_texts(spark, folder):
     from clearcharge.functions import words
 
