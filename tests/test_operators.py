@@ -151,6 +151,35 @@ def test_matching_and_ties(spark):
     assert tie["5"]["entry_no"] == 1 and "640 QUAYSIDE, Marlow" in tie["5"]["why"] and tie["1"]["why"] == "no NPI in the filenames"
 
 
+def test_frequent_words_do_not_compare_half_the_index(spark, monkeypatch):
+    """One word in 49 of 100 names: the same rows as comparing all that share it, from few pairs."""
+    rng = random.Random(12)
+    syllables = ["ba", "ke", "lo", "mi", "nu", "ra", "se", "ti", "vo", "wu", "xa", "zy"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))).upper()
+    listed = [("ix", i, ("LANTERN " if i % 100 < 49 else "") + " ".join(word() for _ in range(rng.randint(1, 3))), f"u{i}") for i in range(1_000)]
+    listed += [("ix", 1_000 + i, listed[i * 7][2], f"v{i}") for i in range(5)] + [("other", 1, "LANTERN HILL", "w")]
+
+    def changed(name):
+        letters = list(name)
+        for _ in range(rng.choice([0, 0, 0, 1])):
+            letters[-rng.randrange(1, 4)] = rng.choice("AEIOU")
+        return "".join(letters)
+
+    asked = [(str(i), changed(listed[rng.randrange(1_000)][2]), "ix") for i in range(150)] + [("n", "LANTERN QQQQQQQQQ JJJJJJJJJJJ", "ix"), ("o", "LANTERN", "ix"), ("p", "LANTERN HILL", "other")]
+    entries = spark.createDataFrame(listed, "index_id string, entry_no bigint, location_name string, mrf_url string")
+    hospitals = spark.createDataFrame(asked, "ccn string, name string, index_id string")
+    pairs = []
+    kept = matching.compared
+    monkeypatch.setattr(matching, "compared", lambda *given: pairs.append(kept(*given)) or pairs[-1])
+    said = {}
+    for selective in (10**9, 20):
+        monkeypatch.setattr(matching, "SELECTIVE", selective)
+        said[selective] = sorted(map(str, matching.match_entries(hospitals, entries).collect()))
+    assert said[20] == said[10**9]
+    plain, few = (p.count() for p in pairs)
+    assert plain > 25_000 and few < plain / 5, (plain, few)
+
+
 def _admission_model(attempts, limit, window=3600):
     expected = []
     for ip in {a[0] for a in attempts}:
