@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from clearcharge.llm.common import gram_hashes, materialise, new_work_path, scramble, texts_of, word_hashes
 from clearcharge.llm.graph import components
+from clearcharge.llm.kneser_ney import portions
 from clearcharge.llm.shared_files import map_array, write_array
 from clearcharge.session import broadcast_if_small
 
 BANDS, ROWS = 56, 6
 SKETCH_BITS = 2048
 SMALL_BUCKET, BLOCK = 32, 1024
+PORTION_BYTES = 2_000_000
 # Sketch estimates below this are dropped: over six standard deviations under a true similarity of 0.8.
 LEAST_ESTIMATE = 0.62
 _random = np.random.default_rng(20240607)
@@ -102,7 +104,7 @@ def features(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, PORTION_BYTES)):
             n, a, b, bands, sketches = [], [], [], [], []
             for value in texts_of(batch.column(1)):
                 items = shingles(value, words)
@@ -129,7 +131,7 @@ def shingle_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """id, items: the full set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, PORTION_BYTES)):
             sets = [shingles(t, words).view(np.int64) for t in texts_of(batch.column(1))]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *sets]))], names=["id", "items"])
