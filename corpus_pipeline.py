@@ -26,11 +26,22 @@ from clearcharge.llm.queries import tokenizer_file
 from clearcharge.session import broadcast_if_small
 
 
+# Rows of text that go to a worker and come back at once; JVM and worker hold a batch each way.
+BATCH_ROWS = "1000"
+
+
+def modest(spark: SparkSession) -> None:
+    """Stages run one after the other on the same executors, whose memory each leaves as large as it needed it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     groups = materialise(near_duplicates(docs, words=5, percent=80), "pipeline-groups")
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -43,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     gone = materialise(contaminated(docs, read_table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id"), "pipeline-contaminated")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
 
@@ -52,6 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return segmentations(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
