@@ -153,7 +153,7 @@ def hospitals_by_id(hospitals: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def first_come(nearest: DataFrame, zip_order: DataFrame) -> DataFrame:
-    """Each hospital once over several ZIP lists, where it came first (list order, then rank)."""
+    """Each hospital once over several ZIP lists, where it came first (list order, then rank, then ZIP)."""
     placed = nearest.join(zip_order.select(F.col("zip").alias("query_zip"), "zip_pos"), "query_zip")
-    first = F.row_number().over(Window.partitionBy("ccn").orderBy("zip_pos", "rank"))
+    first = F.row_number().over(Window.partitionBy("ccn").orderBy("zip_pos", "rank", "query_zip"))
     return placed.withColumn("nth", first).filter("nth = 1").drop("nth")

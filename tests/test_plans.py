@@ -47,6 +47,38 @@ def test_discovery_chain(spark):
     assert got["6"]["reason"] == "file URL failed: HTTP 404" and got["4"]["shape"] == "json" and got["5"]["location_name"].startswith("Corvane Abbey Upland")
 
 
+def test_discovery_follows_siblings_of_siblings_and_says_its_steps(spark):
+    hospitals = spark.createDataFrame([hospital("1", "ORSELL BAY HOSPITAL"), hospital("2", "TARN GATE HOSPITAL"), hospital("3", "WINDLE HOSPITAL"), hospital("4", "PELLOW HOSPITAL")], "ccn string, name string, address string, city string, state string, zip string")
+    index = "location-name: Orsell Bay Hospital\nsource-page-url: https://x.org/p\nmrf-url: https://f.org/o.csv\n"
+    fetch = lambda domain, status, body=None, error=None: (domain, 0, domain, status, error, body, "text/html", f"https://{domain}/cms-hpt.txt")
+    fetches = spark.createDataFrame([
+        fetch("orsellbay.com", 404), fetch("care.orsellbay.com", 404), fetch("prices.orsellbay.com", 200, index), fetch("tarngate.com", None, error="ConnectError"),
+        fetch("www.corvid.org", 404), fetch("care.corvid.org", 200, index.replace("Orsell Bay", "Tarn Gate")), fetch("windle.com", 404), fetch("pellow.com", 404), fetch("care.pellow.com", 404)],
+        "domain string, try_no int, host string, status int, error string, body string, content_type string, final_url string")
+    link = lambda url: f'<a href="{url}">price transparency</a>'
+    landed = spark.createDataFrame([
+        (1, "https://orsellbay.com/", link("https://care.orsellbay.com/price-transparency")), (2, "https://care.orsellbay.com/", link("https://orsellbay.com/price-transparency") + link("https://prices.orsellbay.com/price-transparency")),
+        (3, "https://www.corvid.org/", link("https://care.corvid.org/price-transparency")), (4, "https://windle.com/pricing", "".join(link(f"/f/{n}_standardcharges.csv") for n in ("North", "South"))),
+        (5, "https://pellow.com/", link("https://care.pellow.com/price-transparency")), (6, "https://care.pellow.com/", link("https://pellow.com/price-transparency"))], "page_id bigint, url string, html string")
+    probes = spark.createDataFrame([(u, 200, None, "text/csv", None, "a,b", 2_500_000, "Mon", None) for u in ("https://f.org/o.csv", "https://windle.com/f/South_standardcharges.csv")],
+                                   "url string, status int, error string, content_type string, disposition string, head string, size_bytes bigint, last_modified string, etag string")
+    registry = spark.createDataFrame([], "npi string, address string, city string, zip string")
+    web_answers = spark.createDataFrame([("2", "www.corvid.org", "sure")], "ccn string, host string, why string")
+    site_answers = spark.createDataFrame([("3", "windle.com", 2, "the only one in town")], "ccn string, index_id string, entry_no bigint, why string")
+    got = {r["ccn"]: r for r in discovery.locate(hospitals, fetches, pages.extract_links(landed), registry, probes, web_answers, None, site_answers).collect()}
+    assert {c: (r["ok"], r["method"], r["domain"]) for c, r in got.items()} == {
+        "1": (True, "site-link+cms-hpt", "prices.orsellbay.com"), "2": (True, "web-search+site-link+cms-hpt", "care.corvid.org"), "3": (True, "site-page", "windle.com"), "4": (False, "failed", None)}
+    assert got["1"]["steps"] == [
+        "a pricing link points at care.orsellbay.com, trying there", "a pricing link points at prices.orsellbay.com, trying there", "cms-hpt.txt found at https://prices.orsellbay.com/cms-hpt.txt",
+        "1 entries, matched Orsell Bay Hospital (100)", "price file csv, 2 MB, modified Mon"]
+    assert got["1"]["source_page_url"] == "https://x.org/p" and got["3"]["source_page_url"] == got["3"]["index_url"] == "https://windle.com/pricing"
+    assert got["2"]["steps"][:4] == ["cms-hpt.txt missing on guessed domains, searching the web for the site", "web search says www.corvid.org (sure)", "a pricing link points at care.corvid.org, trying there", "cms-hpt.txt found at https://care.corvid.org/cms-hpt.txt"]
+    assert got["3"]["mrf_url"].endswith("South_standardcharges.csv") and got["3"]["steps"] == [
+        "no cms-hpt.txt at windle.com, but 2 standard-charges link(s) on https://windle.com/pricing", "2 files linked, ambiguous: North_standardcharges.csv; South_standardcharges.csv",
+        "tie-break picked South_standardcharges.csv (the only one in town)", "price file csv, 2 MB, modified Mon"]
+    assert got["4"]["steps"] == ["a pricing link points at care.pellow.com, trying there", "no machine-readable index located — skipped"] and got["4"]["reason"].endswith("care.pellow.com: 404")
+
+
 def test_stored_answers_outside_the_candidates_are_refused(spark):
     asked = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x"]), ("c", ["x"])], "key string, candidates array<string>")
     told = spark.createDataFrame([("a", "y"), ("b", "z")], "key string, choice string")
