@@ -267,15 +267,24 @@ def price_batch(spark, folder):
     return results.select("query_zip", "service_id", "rank", "ccn", "distance_km", "approximate", "url", "file_date", "verdict", "detail", F.col("line_count").cast("bigint").alias("line_count"), F.col("headline.source_ref").alias("headline_ref"))
 
 
-@register("K14_payloads", f"""{PRICED} SELECT s.query, s.zip, CASE WHEN r.service_id IS NULL THEN 'needs_clarification' ELSE 'ok' END AS status, CASE WHEN r.service_id IS NULL THEN 0 ELSE (SELECT count(*) FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS hospitals,
-    CASE WHEN r.service_id IS NOT NULL THEN (SELECT coalesce(string_agg(x.ccn || ' ' || x.verdict || ' ' || x.line_count || ' ' || coalesce(x.headline_ref, '-'), '; ' ORDER BY x.rank), '') FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS listed
-    FROM (SELECT DISTINCT query, zip FROM searches) s JOIN resolved r ON r.query = s.query""")
+# Every fiftieth search is asked once more for a ZIP that is not listed.
+@register("K14_payloads", f"""{PRICED}, heads AS (SELECT x.query_zip, x.service_id, x.rank, x.ccn AS name, v.* EXCLUDE (ccn, service_id) FROM results x JOIN z_verdicts v ON v.ccn = x.ccn AND v.service_id = x.service_id WHERE v.has_head),
+    said AS (SELECT a.query_zip, a.service_id, a.rank AS ra, b.rank AS rb, {pair_sql('a', 'b')} FROM heads a JOIN heads b ON b.query_zip = a.query_zip AND b.service_id = a.service_id AND b.rank > a.rank),
+    told AS (SELECT query_zip, service_id, string_agg(verdict, ',' ORDER BY ra, rb) AS compared FROM said GROUP BY ALL),
+    asked_for AS (SELECT DISTINCT query, zip FROM searches UNION SELECT DISTINCT query, '00000' FROM searches WHERE CAST(zip AS BIGINT) % 50 = 0)
+    SELECT s.query, s.zip, CASE WHEN r.service_id IS NULL THEN 'needs_clarification' WHEN s.zip = '00000' THEN 'error' ELSE 'ok' END AS status, CASE WHEN s.zip = '00000' THEN s.zip || ' is not a residential ZIP code in the census ZCTA list' END AS error,
+    CASE WHEN r.service_id IS NULL THEN 0 ELSE (SELECT count(*) FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS hospitals,
+    CASE WHEN r.service_id IS NOT NULL AND s.zip <> '00000' THEN (SELECT coalesce(string_agg(x.ccn || ' ' || x.verdict || ' ' || x.detail || ' ' || x.line_count || ' ' || coalesce(x.headline_ref, '-'), '; ' ORDER BY x.rank), '') FROM results x WHERE x.query_zip = s.zip AND x.service_id = r.service_id) END AS listed,
+    CASE WHEN r.service_id IS NOT NULL AND s.zip <> '00000' THEN coalesce(t.compared, '') END AS compared
+    FROM asked_for s JOIN resolved r ON r.query = s.query LEFT JOIN told t ON t.query_zip = s.zip AND t.service_id = r.service_id""")
 def payloads(spark, folder):
-    out = prices.payloads(stored(spark, folder), searches(spark, folder), K, F.expr(AS_OF))
-    parsed = F.from_json("payload", "status string, hospitals array<struct<ccn:string,verdict:string,line_count:bigint,headline:struct<ref:string>>>")
-    shown = F.transform("p.hospitals", lambda h: F.concat_ws(" ", h["ccn"], h["verdict"], h["line_count"].cast("string"), F.coalesce(h["headline"]["ref"], F.lit("-"))))
+    given = searches(spark, folder)
+    more = given.filter(F.col("zip").cast("bigint") % 50 == 0).select("query", F.lit("00000").alias("zip"))
+    out = prices.payloads(stored(spark, folder), given.unionByName(more), K, F.expr(AS_OF))
+    parsed = F.from_json("payload", "status string, error string, hospitals array<struct<ccn:string,verdict:string,detail:string,line_count:bigint,headline:struct<ref:string>>>, comparisons array<struct<verdict:string>>")
+    shown = F.transform("p.hospitals", lambda h: F.concat_ws(" ", h["ccn"], h["verdict"], h["detail"], h["line_count"].cast("string"), F.coalesce(h["headline"]["ref"], F.lit("-"))))
     return out.select("query", "zip", parsed.alias("p")).select(
-        "query", "zip", "p.status", F.coalesce(F.size("p.hospitals"), F.lit(0)).cast("bigint").alias("hospitals"), F.array_join(shown, "; ").alias("listed"))
+        "query", "zip", "p.status", "p.error", F.coalesce(F.size("p.hospitals"), F.lit(0)).cast("bigint").alias("hospitals"), F.array_join(shown, "; ").alias("listed"), F.array_join(F.transform("p.comparisons", lambda c: c["verdict"]), ",").alias("compared"))
 
 
 # Small pages, so that groups have several; every line of every page is compared.

@@ -228,7 +228,7 @@ SELECT ccn, method, domain, index_url, location_name, source_page_url, CASE WHEN
     WHEN NOT probed THEN 'file URL failed' WHEN NOT good THEN 'file URL failed' ELSE '' END AS reason FROM found"""
 
 
-@register("D16_P50_locate", _CHAIN)
+@register("D16_locate", _CHAIN)
 def locate(spark, folder):
     """The whole chain over landed logs: guessed domains, pages, sibling hosts, web searches, entries, probes."""
     from clearcharge.plans import discovery
