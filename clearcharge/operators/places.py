@@ -54,77 +54,113 @@ def _size(level: int) -> float:
     return _TOP_DEGREES / _REFINE**level
 
 
-def _cell(level: int) -> list[Column]:
+def _cell(level: int, lat: str = "lat", lon: str = "lon") -> list[Column]:
     s = _size(level)
-    return [F.floor((F.col("lat") + 90) / s).alias(f"y{level}"), F.floor((F.col("lon") + 180) / s).alias(f"x{level}")]
+    return [F.floor((F.col(lat) + 90) / s), F.floor((F.col(lon) + 180) / s)]
 
 
-def _span(at: Column, low: Column, high: Column) -> tuple[Column, Column]:
-    """Least and greatest distance in degrees from a value to an interval."""
-    outside = F.greatest(low - at, at - high, F.lit(0.0))
-    return outside, F.greatest(F.abs(at - low), F.abs(at - high))
+# Candidates an origin meets in one row; more come in several rows.
+_LIST = 1_000
 
 
-def _bounds(level: int, lat: Column, lon: Column, y: Column, x: Column) -> tuple[Column, Column]:
-    """Kilometres no point of a cell is nearer than, and none is farther than."""
+def _span(at_low: Column, at_high: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Least and greatest distance in degrees between two intervals."""
+    outside = F.greatest(low - at_high, at_low - high, F.lit(0.0))
+    return outside, F.greatest(F.abs(at_high - low), F.abs(at_low - high))
+
+
+def _bounds(level: int, y: Column, x: Column) -> tuple[Column, Column]:
+    """Kilometres no point of a cell is nearer than to any origin of a group, and none is farther than. The group's
+    origins lie in the box (south, north, west, east)."""
     s = _size(level)
+    south, north, west, east = (F.col(c) for c in ("south", "north", "west", "east"))
     lat_low, lat_high = y * s - 90, (y + 1) * s - 90
     lon_low, lon_high = x * s - 180, (x + 1) * s - 180
-    near_lat, far_lat = _span(lat, lat_low, lat_high)
-    near_lon = F.least(*[_span(lon + turn, lon_low, lon_high)[0] for turn in (-360, 0, 360)])
-    far_lon = F.least(_span(lon, lon_low, lon_high)[1], F.lit(180.0))
+    near_lat, far_lat = _span(south, north, lat_low, lat_high)
+    near_lon = F.least(*[_span(west + turn, east + turn, lon_low, lon_high)[0] for turn in (-360, 0, 360)])
+    far_lon = F.least(_span(west, east, lon_low, lon_high)[1], F.lit(180.0))
+    narrow = F.cos(F.radians(F.greatest(F.abs(south), F.abs(north))))
+    wide = F.cos(F.radians(F.greatest(south, -north, F.lit(0.0))))
     r = fv.EARTH_RADIUS_KM
-    sideways = F.asin(F.least(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(near_lon, F.lit(90.0)))), F.lit(1.0)))
+    sideways = F.asin(F.least(narrow * F.sin(F.radians(F.least(near_lon, F.lit(90.0)))), F.lit(1.0)))
     low = r * F.greatest(F.radians(near_lat), sideways)
-    high = r * (F.radians(far_lat) + F.cos(F.radians(lat)) * F.radians(far_lon))
+    high = r * (F.radians(far_lat) + wide * F.radians(far_lon))
     return low, high
 
 
 def _keep_reachable(cells: DataFrame, level: int, k: int) -> DataFrame:
-    """Cells that can hold one of an origin's k nearest: those no farther than the distance
+    """Cells that can hold one of the k nearest of any origin of a group (gy, gx): those no farther than the distance
     within which the counted cells already guarantee k."""
-    low, high = _bounds(level, F.col("o_lat"), F.col("o_lon"), F.col(f"y{level}"), F.col(f"x{level}"))
+    low, high = _bounds(level, F.col("y"), F.col("x"))
     bounded = cells.withColumn("low", low).withColumn("high", high)
-    by_high = Window.partitionBy("origin").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = bounded.withColumn("so_far", F.sum("n").over(by_high))
-    limit = F.min(F.when(F.col("so_far") >= k, F.col("high"))).over(Window.partitionBy("origin"))
-    return reached.withColumn("within", limit).filter(F.col("within").isNull() | (F.col("low") <= F.col("within") + 1e-6))
+    group = Window.partitionBy("gy", "gx")
+    reached = bounded.withColumn("so_far", F.sum("n").over(group.orderBy("high").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    limit = F.min(F.when(F.col("so_far") >= k, F.col("high"))).over(group)
+    near = reached.withColumn("within", limit).filter(F.col("within").isNull() | (F.col("low") <= F.col("within") + 1e-6))
+    return near.drop("low", "high", "so_far", "within")
+
+
+def _groups(origins: DataFrame, level: int) -> DataFrame:
+    """Origins of one cell (gy, gx) and the box they lie in."""
+    y, x = _cell(level, "o_lat", "o_lon")
+    return origins.groupBy(y.alias("gy"), x.alias("gx")).agg(
+        F.min("o_lat").alias("south"), F.max("o_lat").alias("north"), F.min("o_lon").alias("west"), F.max("o_lon").alias("east"))
+
+
+def _parent(name: str) -> Column:
+    return F.floor(F.col(name) / _REFINE)
 
 
 def nearest_hospitals(hospitals: DataFrame, zcta: DataFrame, zips: DataFrame, limit: int = 5, include_federal: bool = False) -> DataFrame:
     """The `limit` hospitals nearest each requested ZIP's centroid, with their rank.
 
-    Works down a grid: at each level an origin keeps only the cells that can still hold one
-    of its nearest, so no origin meets every hospital however they crowd. Hospitals at one
-    and the same point are first cut to the `limit` that could be reported."""
+    Works down a grid with the origins of one cell together: at each level a cell of origins keeps only the cells that
+    can still hold one of the nearest of any of them, so nothing per origin is shuffled but what it reports. At the end
+    each origin measures the hospitals of its cell's list, in its own row. Hospitals at one and the same point are first
+    cut to the `limit` that could be reported."""
     if limit < 1:
         raise ValueError(f"limit must be at least 1, got {limit}")
     tie = ["location_source", "name", "ccn"]
     at_point = Window.partitionBy("lat", "lon").orderBy(*tie)
     points = placeable(hospitals, include_federal).withColumn("at_point", F.row_number().over(at_point)).filter(F.col("at_point") <= limit)
-    points = materialise(points.drop("at_point"), "hospital-points")
-    n_points = points.count()
-    last = min(_MAX_LEVEL, max(1, math.ceil(math.log(max(n_points, 1) / (_CROWD * 1035) + 1, _REFINE**2))))
+    points = materialise(points.drop("at_point").withColumn("point", F.monotonically_increasing_id()), "hospital-points")
     origins = zips.select("zip").distinct().join(zcta.select("zip", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")), "zip").select(
         F.col("zip").alias("origin"), "o_lat", "o_lon")
 
+    def counted(level: int) -> DataFrame:
+        y, x = _cell(level)
+        return points.groupBy(y.alias("y"), x.alias("x")).agg(F.count("*").alias("n"))
+
     # Level 0: at most 23 x 46 occupied cells on the whole globe, as one literal array.
-    top = [(int(r["y0"]), int(r["x0"]), int(r["n"])) for r in points.groupBy(*_cell(0)).agg(F.count("*").alias("n")).collect()]
+    top = [(int(r["y"]), int(r["x"]), int(r["n"])) for r in counted(0).collect()]
     if not top:
         return origins.crossJoin(points.limit(0)).select(*_nearest_columns(F.lit(0.0), F.lit(0)))
-    roots = F.array(*[F.struct(F.lit(y).alias("y0"), F.lit(x).alias("x0"), F.lit(n).alias("n")) for y, x, n in top])
-    frontier = _keep_reachable(origins.select("*", F.inline(roots)), 0, limit)
+    last = min(_MAX_LEVEL, max(1, math.ceil(math.log(sum(n for _, _, n in top) / (_CROWD * len(top)), _REFINE**2))))
+    y, x = _cell(last, "o_lat", "o_lon")
+    origins = materialise(origins.withColumn("gy", y).withColumn("gx", x), "nearest-origins")
+    roots = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(n).alias("n")) for y, x, n in top])
+    frontier = _keep_reachable(_groups(origins, 0).select("*", F.inline(roots)), 0, limit)
     for level in range(1, last + 1):
-        parent = [f"y{level - 1}", f"x{level - 1}"]
-        counted = points.groupBy(*_cell(level - 1), *_cell(level)).agg(F.count("*").alias("n"))
-        frontier = frontier.select("origin", "o_lat", "o_lon", *parent).join(counted, parent).drop(*parent)
-        frontier = _keep_reachable(frontier, level, limit)
-    leaf = [f"y{last}", f"x{last}"]
-    candidates = frontier.select("origin", "o_lat", "o_lon", *leaf).join(points.select("*", *_cell(last)), leaf)
-    distance = geo.haversine_km(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
+        above = frontier.select(F.col("gy").alias("above_y"), F.col("gx").alias("above_x"), "y", "x", "n")
+        inside = _parent("gy").eqNullSafe(F.col("above_y")) & _parent("gx").eqNullSafe(F.col("above_x"))
+        kept = _keep_reachable(_groups(origins, level).join(above, inside).drop("above_y", "above_x"), level - 1, limit)
+        finer = counted(level).withColumns({"parent_y": _parent("y"), "parent_x": _parent("x")})
+        kept = kept.drop("n").withColumnsRenamed({"y": "parent_y", "x": "parent_x"})
+        frontier = _keep_reachable(kept.join(finer, ["parent_y", "parent_x"]).drop("parent_y", "parent_x"), level, limit)
+    lists = F.greatest(F.ceil(F.sum("n").over(Window.partitionBy("gy", "gx")) / _LIST), F.lit(1))
+    y, x = _cell(last)
+    met = frontier.select("gy", "gx", "y", "x", lists.alias("lists")).join(points.select("lat", "lon", *tie, "point", y.alias("y"), x.alias("x")), ["y", "x"])
+    listed = met.groupBy(F.col("gy").alias("list_y"), F.col("gx").alias("list_x"), F.pmod("point", "lists").alias("part")).agg(
+        F.collect_list(F.struct("lat", "lon", *tie, "point")).alias("met"))
+
+    # A list is measured and cut to `limit` in the origin's own row.
+    measured = F.transform("met", lambda p: F.struct(
+        geo.haversine_km(F.col("o_lat"), F.col("o_lon"), p["lat"], p["lon"]).alias("distance_km"), *[p[c].alias(c) for c in tie], p["point"].alias("point")))
+    here = F.col("gy").eqNullSafe(F.col("list_y")) & F.col("gx").eqNullSafe(F.col("list_x"))
+    candidates = origins.join(listed, here).select("origin", F.inline(F.slice(F.array_sort(measured), 1, limit)))
     order = Window.partitionBy("origin").orderBy("distance_km", *tie)
-    ranked = candidates.withColumn("distance_km", distance).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.select(*_nearest_columns(F.col("distance_km"), F.col("rank")))
+    ranked = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return ranked.select("origin", "rank", "distance_km", "point").join(points, "point").select(*_nearest_columns(F.col("distance_km"), F.col("rank")))
 
 
 def _nearest_columns(distance: Column, rank: Column) -> list[Column]:

@@ -83,6 +83,27 @@ def test_nearest_equals_brute_force_with_crowds_copies_and_the_date_line(spark):
         places.nearest_hospitals(hospitals, zcta, zcta, 0)
 
 
+def test_nearest_shuffles_cells_of_origins_and_not_origins(spark, monkeypatch):
+    rng = random.Random(8)
+    points = [(rng.uniform(30, 40), rng.uniform(-100, -90)) for _ in range(60)]
+    hospitals = spark.createDataFrame([(f"{i:04d}", f"n{i % 7}", "a", "c", "s", "z", "t", "o", la, lo, "address", None, 1.0, None) for i, (la, lo) in enumerate(points)], schemas.HOSPITALS)
+    origins = [(f"{i:05d}", 35 + rng.random() / 10, -95 + rng.random() / 10) for i in range(1500)]
+    zcta = spark.createDataFrame([(z, la, lo, 1.0) for z, la, lo in origins], schemas.ZCTA).cache()
+    looked_at, keep = [], places._keep_reachable
+
+    def counted(cells, *rest):
+        looked_at.append(cells.count())
+        return keep(cells, *rest)
+
+    monkeypatch.setattr(places, "_keep_reachable", counted)
+    monkeypatch.setattr(places, "_LIST", 4, raising=False)  # lists in several rows
+    got = rows(places.nearest_hospitals(hospitals, zcta, zcta.select("zip"), 3), "query_zip", "rank", "ccn")
+    expected = []
+    for z, la, lo in origins:
+        expected += [(z, r + 1, o[1]) for r, o in enumerate(sorted((_km((la, lo), p), f"{i:04d}") for i, p in enumerate(points))[:3])]
+    assert got == sorted(expected) and max(looked_at) < len(origins)
+
+
 def _ratio(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
