@@ -10,6 +10,7 @@ from clearcharge.operators import places
 from clearcharge.plans import reference_build
 from clearcharge.registry import duck, views
 from clearcharge.registry.core import register
+from clearcharge.session import materialise
 from clearcharge.sources import reference_data
 
 K = 5
@@ -100,7 +101,7 @@ def by_id(spark, folder):
 @register("W10_U1_first_come", f"""{NEAREST}, placed AS (SELECT n.*, CAST(query_zip AS BIGINT) * 7919 % 10007 AS zip_pos FROM nearest n)
     SELECT ccn, query_zip, zip_pos, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ccn ORDER BY zip_pos, rank, query_zip) AS nth FROM placed) WHERE nth = 1""")
 def first_come(spark, folder):
-    near = nearest_k(spark, folder)
+    near = materialise(nearest_k(spark, folder).select("ccn", "query_zip", "rank"), "nearest")  # read twice
     order = near.select(F.col("query_zip").alias("zip")).distinct().withColumn("zip_pos", F.col("zip").cast("bigint") * 7919 % 10007)
     return places.first_come(near, order).select("ccn", "query_zip", "zip_pos", "rank")
 
