@@ -48,6 +48,24 @@ def test_every_verdict(spark):
     assert got["agree"]["detail"].startswith("cash agrees; gross charges differ ($1,910.00, $1,990.00); 1 other line for this code")
 
 
+def test_pages_and_verdicts_of_lines_read_them_once(spark, monkeypatch):
+    from clearcharge.registry import reg_charges
+
+    given = [line("a", source_ref=f"row {n}", gross=n, billing_class="facility") for n in range(1, 5)] + [line("b", source_ref="row 9", discounted_cash=3)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    df = spark.createDataFrame([tuple(g[c.split(" ")[0]] for c in LINE.split(", ")) for g in given], LINE)
+    df = df.withColumnRenamed("k", "extraction_id").withColumn("service_id", F.lit("s")).withColumn("description", F.udf(look, "string")("description"))
+    monkeypatch.setattr(reg_charges, "charge_lines", lambda *_: df)
+    got = rows(reg_charges.merged_lines(spark, "none"), "extraction_id", "place", "ref", "line_count")
+    assert got == [("a", 1, "row 1", 4), ("a", 2, "row 2", 4), ("a", 3, "row 3", 4), ("a", 4, "row 4", 4), ("b", 1, "row 9", 1)]
+    assert seen.value == len(given)
+
+
 def test_pairs_once_in_order_and_unpriced_named(spark):
     head = "struct<code_type:string,code:string,setting:string,billing_class:string,modifiers:string>"
     h = lambda s="outpatient", b="facility", m=None, t="CPT", c="1": (t, c, s, b, m)
