@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearcharge import schemas
-from clearcharge.plans import discovery, export, reference_build
+from clearcharge.plans import audit, discovery, export, reference_build
 from clearcharge.sources import charge_csv, pages, reference_data, store
 from tests.conftest import rows
 
@@ -186,3 +186,24 @@ def test_recorded_run_joined_by_name_with_defaults(spark, tmp_path):
 def test_old_tables_read_in_the_current_shape(spark):
     got = store.columns_present(spark.createDataFrame([("x",)], "name string"), schemas.SOURCES)
     assert got.columns == schemas.SOURCES.names and got.first()["sha256"] is None
+
+
+def test_a_report_computes_what_it_is_given_once(spark, tmp_path):
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("discoveries", "results")}
+
+    def counted(df, name, column):
+        def look(value):
+            seen[name].add(1)
+            return value
+
+        return df.withColumn(column, F.udf(look, "string")(column))
+
+    looked = spark.createDataFrame([("1", "A", True, "cms-hpt", ""), ("2", "B", False, None, "timeout"), ("3", "C", None, None, None)], "ccn string, name string, ok boolean, method string, reason string")
+    results = spark.createDataFrame([("comparable",), ("comparable",), ("not found",), (None,)], "verdict string")
+    per_file = spark.createDataFrame([("X1", 2, 2, 2, 0)], "extraction_id string, sampled bigint, checked bigint, matched bigint, missing bigint")
+    path = str(tmp_path / "report")
+    audit.report(counted(looked, "discoveries", "name"), per_file, counted(results, "results", "verdict"), looked.select("ccn").limit(0), path)
+    said = audit.read_report(spark, path)
+    assert sorted((r["verdict"] or "", r["n"]) for r in said["comparison"].collect()) == [("", 1), ("comparable", 2), ("not found", 1)]
+    assert rows(said["discovery"], "method", "n", "of") == [("cms-hpt", 1, 3)] and said["share"].first()["pairs"] == 4 and said["unresolved"].count() == 3
+    assert {name: a.value for name, a in seen.items()} == {"discoveries": 3, "results": 4}
