@@ -219,6 +219,36 @@ def test_frequent_words_do_not_compare_half_the_index(spark, monkeypatch):
     assert plain > 25_000 and few < plain / 5, (plain, few)
 
 
+def test_a_word_in_most_entries_keeps_the_best_of_each_name_only(spark, monkeypatch):
+    """Alike names that share frequent words: the same rows as comparing all of them, from five pairs a word and block."""
+    rng = random.Random(5)
+    place, kind = ["NORTHEAST", "KINGWOOD", "SUGAR LAND"], ["GENERAL", "CHILDRENS", "MEMORIAL"]
+    listed = [("ix", i, f"LANTERN {rng.choice(place)} {rng.choice(kind)} {rng.randrange(40)}" + (" d/b/a " + "Q" * 70 + f" {rng.choice(kind)}" if i % 50 == 0 else ""), f"u{i}") for i in range(400)]
+    asked = [(str(i), f"LANTERN {rng.choice(place)} {rng.choice(kind)} {rng.randrange(60)}", "ix") for i in range(80)] + [("a", "LANTERN", "ix"), ("b", None, "ix"), ("c", "", "ix"), ("d", "GENERAL", None)]
+    entries = spark.createDataFrame(listed + [("ix", None, "LANTERN GENERAL 1", "v"), (None, 1, "GENERAL", "w"), ("ix", 7, None, "x")], "index_id string, entry_no bigint, location_name string, mrf_url string")
+    hospitals = spark.createDataFrame(asked, "ccn string, name string, index_id string")
+    pairs, kept = [], matching.compared
+    monkeypatch.setattr(matching, "compared", lambda *given: pairs.append(kept(*given)) or pairs[-1])
+    said = {}
+    for selective, block in ((10**9, 4096), (20, 4096), (20, 60)):
+        monkeypatch.setattr(matching, "SELECTIVE", selective)
+        monkeypatch.setattr(matching, "_BLOCK_ENTRIES", block, raising=False)
+        monkeypatch.setattr(matching, "_BLOCK_TARGETS", block // 2, raising=False)
+        said[selective, block] = sorted(map(str, matching.match_entries(hospitals, entries).collect()))
+    assert said[20, 4096] == said[10**9, 4096] == said[20, 60]
+    assert pairs[1].groupBy("target").count().agg(F.max("count")).first()[0] < 60  # 20 entries hold a number, 5 for each frequent word
+
+
+def test_ratios_of_many_texts_equal_those_of_pairs():
+    rng = random.Random(3)
+    draw = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for letters in ("ab", "abcdefgh xyz", "aéß😀 "):
+        texts = [draw(rng.choice([0, 3, 40, 64, 65, 200]), letters) for _ in range(40)]
+        for text in [draw(n, letters + "q") for n in (0, 1, 63, 64, 65, 128, 129, 200)]:
+            expected = [100.0 if not text and not t else 200.0 * similarity._lcs(text, t) / (len(text) + len(t)) for t in texts]
+            assert similarity.Texts(texts).ratios(text).tolist() == expected
+
+
 def _admission_model(attempts, limit, window=3600):
     expected = []
     for ip in {a[0] for a in attempts}:
