@@ -90,3 +90,16 @@ def test_round_trips_and_seeds(spark, documents, prose):
     again = segmentations(docs.repartition(3), PATH, k=3, keep_ids=False).collect()
     assert sorted((r.doc_id, r.rank, r.ids_crc32) for r in again) == sorted((r.doc_id, r.rank, r.ids_crc32) for r in got)
     assert segmentations(documents([]), PATH).count() == 0
+
+
+def test_the_query_returns_the_segmentations_themselves(spark, documents, tmp_path):
+    from clearcharge.llm.queries import QUERIES
+
+    texts = ["the cat sat", "", None, "a" * 30 + " ünïcode 😀"]
+    documents(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_sentencepiece_sampling"](spark, str(tmp_path)).collect()
+    p = pieces_of(PATH, THETA)
+    assert len(got) == 6
+    for r in got:
+        assert p.decode(r["ids"]) == (texts[r["doc_id"]] or "") and len(r["ids"]) == r["n_pieces"]
+        assert zlib.crc32(np.array(r["ids"], np.int32).tobytes()) == r["ids_crc32"]
