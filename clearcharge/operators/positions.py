@@ -22,7 +22,8 @@ def dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column], part_rows:
     of a group apart: rows that are equal in it share a range."""
     rows = part_rows or PART_ROWS
     parts = max(1, -(-df.count() // rows))
-    ranged = df.repartitionByRange(parts, *by, *order) if parts > 1 else df.coalesce(1)
+    # A shuffle to one range: rows that are few at the end may come from work that takes all tasks.
+    ranged = df.repartitionByRange(parts, *by, *order) if parts > 1 else df.repartition(1)
     return materialise(ranged.sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "dealt")
 
 
