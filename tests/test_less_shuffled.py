@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from clearcharge.operators import positions
+from clearcharge.plans import export
 
 
 def test_few_rows_are_numbered_by_one_task_but_made_by_all(spark):
@@ -10,3 +11,16 @@ def test_few_rows_are_numbered_by_one_task_but_made_by_all(spark):
     placed = positions.numbered(made, [], [F.col("id").desc()], "place").collect()
     assert {r["place"]: r["id"] for r in placed} == {800 - i: i for i in range(800)}
     assert len({r["made_by"] for r in placed}) == 8
+
+
+def test_a_copy_is_cut_by_lists_written_once(spark):
+    table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    whole = {name: table([(1,)], "x int") for name in export.WHOLE}
+    of = {name: table([("e1", 1), ("e1", 1), ("e2", 2), (None, 3)], "extraction_id string, n int") for name in ("items", "item_codes", "charges")}
+    given = {**whole, **of, "hospital_files": table([("h1", "u1"), ("h1", "u1"), ("h2", "u2"), (None, "u3"), ("h1", None)], "ccn string, mrf_url string"),
+             "fetches": table([("u1", "c1"), ("u1", None), ("u2", "c2"), (None, "c3")], "url string, checksum string"),
+             "files": table([("c1",), ("c2",), (None,)], "checksum string"), "extractions": table([("c1", "e1"), ("c2", "e2"), (None, "e3")], "checksum string, extraction_id string")}
+    out = export.subset(given, table([("h1",), ("h1",), (None,)], "ccn string"))
+    rows = {name: df.count() for name, df in out.items() if name not in whole}
+    assert rows == {"hospital_files": 3, "fetches": 2, "files": 1, "extractions": 1, "items": 2, "item_codes": 2, "charges": 2}
+    assert "mrf_url" not in out["charges"]._jdf.queryExecution().optimizedPlan().toString()
