@@ -21,12 +21,12 @@ def service_codes(services: DataFrame) -> DataFrame:
 def matched_items(item_codes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Items that carry a wanted code, with the matched code and the item's other codes.
 
-    The wanted codes cut the code table first, on the map side where their list is small; only
-    the items that are left meet their other codes. The catalog's list says how many that are."""
+    Codes come together once per item, those of a task before the shuffle; the wanted ones are marked on the map side
+    where their list is small."""
     asked = broadcast_if_small(wanted.select("code").distinct().withColumn("asked", F.lit(True)))
     typed = F.col("code_type").isin(*fv.SERVICE_CODE_TYPES)
-    carriers = item_codes.filter(typed).join(asked.select("code"), "code", "left_semi").select("extraction_id", "item_id").distinct()
-    known = item_codes.join(carriers, ["extraction_id", "item_id"], "left_semi").join(asked, "code", "left").withColumn("asked", F.coalesce("asked", F.lit(False)) & typed)
+    of_items = item_codes.filter("extraction_id IS NOT NULL AND item_id IS NOT NULL")
+    known = of_items.join(asked, "code", "left").withColumn("asked", F.coalesce("asked", F.lit(False)) & typed)
     per_item = known.groupBy("extraction_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("code_type", "code", "asked"))).alias("all_codes"))
     hits = per_item.select("extraction_id", "item_id", "all_codes", F.inline(F.filter("all_codes", lambda c: c["asked"]))).drop("asked")
     rest = F.filter("all_codes", lambda c: ~((c["code_type"] == F.col("code_type")) & (c["code"] == F.col("code"))))

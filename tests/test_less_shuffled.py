@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from clearcharge.operators import positions
+from clearcharge.operators import lines, positions, verdicts
 from clearcharge.plans import export
 
+_LINE = "k int, setting_expected string, code_type string, code string, other_codes array<string>, description string, setting string, billing_class string, modifiers string, " \
+        "gross decimal(18,6), discounted_cash decimal(18,6), minimum decimal(18,6), maximum decimal(18,6), source_ref string, off_template_note string, class_from_review boolean"
+
 
 def test_few_rows_are_numbered_by_one_task_but_made_by_all(spark):
     made = spark.range(0, 800, 1, 8).withColumn("made_by", F.spark_partition_id())
@@ -13,6 +16,27 @@ def test_few_rows_are_numbered_by_one_task_but_made_by_all(spark):
     assert len({r["made_by"] for r in placed}) == 8
 
 
+def test_a_summary_sends_one_line_a_group(spark):
+    row = lambda cash, setting, ref, other: (1, "outpatient", "CPT", "7", other, "d", setting, "facility", None, None, cash, None, None, ref, None, False)
+    given = spark.createDataFrame([row(3, "inpatient", "row 1", ["a"]), row(5, "outpatient", "row 3", ["c"]), row(5, "outpatient", "row 2", ["b"]), row(5, None, "row 0", None)],
+                                  _LINE.replace("decimal(18,6)", "int"))
+    found = verdicts.summarise(given, ["k"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(" min(") == 1
+    told = found.first()
+    # The line that does not fit is cheaper and earlier, but no headline.
+    assert (told["verdict"], told["headline"]["source_ref"], told["headline"]["other_codes"], told["line_count"]) == ("comparable", "row 2", ["b"], 4)
+
+
+def test_codes_of_items_are_read_once(spark):
+    codes = spark.createDataFrame([("x", "i", "CPT", "7"), ("x", "i", "CDM", "9"), ("x", "i", "RC", "7"), ("x", "j", "CPT", "8"), (None, "i", "CPT", "7"), ("x", None, "CPT", "7"), ("x", "k", None, "7"), ("x", "l", "CPT", None)],
+                                  "extraction_id string, item_id string, code_type string, code string")
+    wanted = spark.createDataFrame([("s", "7", "outpatient")], "service_id string, code string, setting_expected string")
+    found = lines.matched_items(codes, wanted)
+    assert [(r["item_id"], r["code_type"], r["other_codes"]) for r in found.collect()] == [("i", "CPT", ["CDM 9", "RC 7"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("item_id#" in line and ("LogicalRDD" in line or "LocalRelation" in line) for line in plan.splitlines()) == 1
+
+
 def test_a_copy_is_cut_by_lists_written_once(spark):
     table = lambda rows, ddl: spark.createDataFrame(rows, ddl)
     whole = {name: table([(1,)], "x int") for name in export.WHOLE}
