@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clearcharge.operators import lines, positions, verdicts
-from clearcharge.plans import export
+from clearcharge.plans import audit, export
 
 _LINE = "k int, setting_expected string, code_type string, code string, other_codes array<string>, description string, setting string, billing_class string, modifiers string, " \
         "gross decimal(18,6), discounted_cash decimal(18,6), minimum decimal(18,6), maximum decimal(18,6), source_ref string, off_template_note string, class_from_review boolean"
@@ -48,3 +48,12 @@ def test_a_copy_is_cut_by_lists_written_once(spark):
     rows = {name: df.count() for name, df in out.items() if name not in whole}
     assert rows == {"hospital_files": 3, "fetches": 2, "files": 1, "extractions": 1, "items": 2, "item_codes": 2, "charges": 2}
     assert "mrf_url" not in out["charges"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_code_lists_do_not_look_through_the_rows_first(spark):
+    rows = spark.createDataFrame([("x", "i"), ("x", "i"), ("x", "j"), (None, "i")], "extraction_id string, item_id string")
+    codes = spark.createDataFrame([("x", "i", "9"), ("x", "i", "10"), ("y", "i", "3"), (None, "i", "4")], "extraction_id string, item_id string, code string")
+    found = audit.with_code_list(rows, codes)
+    assert sorted((r["item_id"], r["code_values"]) for r in found.collect() if r["code_values"]) == [("i", ["10", "9"])] * 2 and found.count() == 4
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("LogicalRDD" in line or "LocalRelation" in line for line in plan.splitlines()) == 2
