@@ -38,7 +38,9 @@ from clearcharge.llm.kneser_ney import portions
 
 BLANK = "▁"
 WORDS = regex.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-KEPT_NODES, PREPARED, PREPARED_BYTES = 1_200_000, 256, 600_000
+# Nodes of lattices that are kept: about 100 bytes each with their words and edges. More of them save learning words again.
+KEPT_NODES = 2_000_000
+PREPARED, PREPARED_BYTES = 256, 600_000
 TABLE_BITS = 18
 
 
@@ -187,15 +189,14 @@ class Pieces:
     def words(text: str) -> list[str]:
         return WORDS.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def prepare(self, texts: list[str]) -> list[np.ndarray]:
+    def prepare(self, texts: list[str], kept_nodes: int = KEPT_NODES) -> list[np.ndarray]:
         """For each text the nodes at which its words' lattices begin. New words are learned; old ones are forgotten
         when there are too many, so nodes hold until the next call."""
-        if self.nodes > KEPT_NODES:
+        if self.nodes > kept_nodes:
             self.clear()
         words = [self.words(t) for t in texts]
-        starts = [list(map(self.starts.get, ws)) for ws in words]
-        size, group = 0, []
-        for w in {w for ws, at in zip(words, starts, strict=True) if None in at for w, a in zip(ws, at, strict=True) if a is None}:
+        known, size, group = self.starts, 0, []
+        for w in {w for ws in words for w in ws if w not in known}:
             group.append(w)
             size += len(w)
             if size > 100_000:
@@ -203,8 +204,7 @@ class Pieces:
                 size, group = 0, []
         if group:
             self.learn(group)
-        known = self.starts
-        return [np.array([known[w] if a is None else a for w, a in zip(ws, at, strict=True)] if None in at else at, np.int64) for ws, at in zip(words, starts, strict=True)]
+        return [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in words]
 
     def flat(self, found: list[np.ndarray]) -> list[np.ndarray]:
         """Piece ids of each segmentation, with the bytes of characters outside the vocabulary."""
@@ -399,9 +399,10 @@ def pieces_of(path: str, theta: float) -> Pieces:
     return _known[path, theta]
 
 
-def segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: float = 1.5, seed: int = 17, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
+def segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: float = 1.5, seed: int = 17, key: str = "doc_id", text: str = "text", keep_ids: bool = True,
+                  kept_nodes: int = KEPT_NODES) -> DataFrame:
     """key, rank (from 1), n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, decoded (whether decoding gives the
-    text back) and, if `keep_ids`, ids."""
+    text back) and, if `keep_ids`, ids. `kept_nodes` trades a worker's memory for time; results do not depend on it."""
     schema = "id bigint, rank int, n_pieces bigint, log_prob double, perturbed double, log_inclusion double, ids_crc32 bigint, decoded boolean" + (", ids array<int>" if keep_ids else "")
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -420,7 +421,7 @@ def segmentations(docs: DataFrame, model_file: str, k: int = 2, theta: float = 1
                 for at in range(0, part.num_rows, PREPARED):
                     few = part.slice(at, PREPARED)
                     keys, values = few.column(0).to_pylist(), [v or "" for v in few.column(1).to_pylist()]
-                    found = samples(pieces, pieces.prepare(values), k, [xxhash.xxh3_64_intdigest(f"{seed}:{x}") for x in keys])
+                    found = samples(pieces, pieces.prepare(values, kept_nodes), k, [xxhash.xxh3_64_intdigest(f"{seed}:{x}") for x in keys])
                     back = iter(pieces.decoded([s["ids"] for some in found for s in some]))
                     for row, value, some in zip(keys, values, found, strict=True):
                         whole = value.replace(BLANK, " ").encode()

@@ -28,6 +28,8 @@ from clearcharge.session import broadcast_if_small
 
 # Rows of text that go to a worker and come back at once; JVM and worker hold a batch each way.
 BATCH_ROWS = "1000"
+# Lattice nodes a worker keeps: fewer than on its own, since the executor still holds what earlier stages needed.
+KEPT_NODES = 300_000
 
 
 def modest(spark: SparkSession) -> None:
@@ -65,7 +67,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     modest(spark)
-    return segmentations(docs, tokenizer_file("piece_bpe_32k.model"))
+    return segmentations(docs, tokenizer_file("piece_bpe_32k.model"), kept_nodes=KEPT_NODES)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("encoding", encoding)]
