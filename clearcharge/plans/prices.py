@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clearcharge import fixed_values as fv
 from clearcharge.functions import billing_codes, text, web
 from clearcharge.operators import latest, lines, places, positions, resolve, verdicts
-from clearcharge.session import materialise
+from clearcharge.session import BROADCAST_KEYS, broadcast_if_small, materialise
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,8 @@ def _asked(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of: Column)
 
 def _reviewed_lines(store: Store, asked: DataFrame) -> DataFrame:
     """Charge lines of the asked pairs with review answers applied, written once."""
-    needed = asked.filter(F.col("extraction_id").isNotNull() & F.col("located")).select("extraction_id").distinct()
+    needed = materialise(asked.filter(F.col("extraction_id").isNotNull() & F.col("located")).select("extraction_id").distinct(), "extractions-needed")
+    needed = broadcast_if_small(needed, BROADCAST_KEYS)  # else three whole tables are shuffled to be cut
     services = store.services.join(asked.select(F.col("service_id").alias("id")).distinct(), "id", "left_semi")
     found = lines.charge_lines(
         store.charges.join(needed, "extraction_id", "left_semi"), store.items.join(needed, "extraction_id", "left_semi"),
@@ -83,7 +84,11 @@ def hospital_prices(store: Store, wanted: DataFrame, hospitals: DataFrame, as_of
     could not be read or were past a cap. Lines are found once per extraction and service,
     however many ZIPs or hospitals share the file."""
     asked = _asked(store, wanted, hospitals, as_of)
-    reviewed = _reviewed_lines(store, asked)  # read twice: verdicts and shown lines
+    return _hospital_prices(asked, _reviewed_lines(store, asked), shown, failed)
+
+
+def _hospital_prices(asked: DataFrame, reviewed: DataFrame, shown: int, failed: DataFrame | None) -> DataFrame:
+    """`reviewed` is read twice: verdicts and shown lines."""
     summary = verdicts.summarise(reviewed, ["ccn", "service_id"])
     # A few lines travel with each result; all of them are pages (`line_pages`).
     collected = verdicts.collected_lines(reviewed, ["ccn", "service_id"], shown)
@@ -136,10 +141,11 @@ def with_all_lines(results: DataFrame, pages: DataFrame, keys: list[str]) -> Dat
 def answer_pages(store: Store, searches: DataFrame, limit: int, as_of: Column, page_bytes: int = PAGE_BYTES) -> DataFrame:
     """(query, zip, part, ccn, payload): part 0 is the search's payload, the others are all lines of its hospitals,
     nearest first, page by page."""
-    told = materialise(payloads(store, searches, limit, as_of), "payloads")
-    resolutions, results = prices(store, searches, limit, as_of)
+    resolutions, results, reviewed = _prices(store, searches, limit, as_of, None, fv.SHOWN_LINES)
+    results = materialise(results, "results")  # read by payloads and pages, as the lines are by answers and pages
+    told = materialise(_payloads(store, searches, resolutions, results), "payloads")
     placed = materialise(results.select("query_zip", "service_id", "rank", "ccn").distinct(), "places-answered")
-    pages = materialise(line_pages(all_lines(store, placed.select("ccn", "service_id"), as_of), ["ccn", "service_id"], page_bytes), "line-pages")
+    pages = materialise(line_pages(reviewed, ["ccn", "service_id"], page_bytes), "line-pages")
     asked = searches.select("query", "zip").distinct().join(resolutions.filter("service_id IS NOT NULL").select("query", "service_id"), "query")
     listed = asked.join(placed, (F.col("zip") == F.col("query_zip")) & (asked["service_id"] == placed["service_id"])).select("query", "zip", placed["service_id"], "rank", "ccn").join(pages, ["ccn", "service_id"])
     part = F.row_number().over(Window.partitionBy("query", "zip").orderBy("rank", "page"))
@@ -153,15 +159,22 @@ def prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed:
 
     Distinct queries are resolved once, distinct ZIPs located once, each (hospital, service)
     is answered once, and the answers are joined back to the searches."""
+    return _prices(store, searches, limit, as_of, failed, shown)[:2]
+
+
+def _prices(store: Store, searches: DataFrame, limit: int, as_of: Column, failed: DataFrame | None, shown: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same, and the lines behind the answers."""
     resolutions = materialise(resolve.resolve(searches.select("query"), store.services), "resolutions")
     ranked = places.nearest_hospitals(store.hospitals, store.zcta, searches.select("zip"), limit)
     chosen = resolutions.filter(F.col("service_id").isNotNull()).select("query", "service_id")
     asked = searches.select("query", "zip").distinct().join(chosen, "query").select("service_id", F.col("zip").alias("query_zip")).distinct()
     near = ranked.select("query_zip", "rank", "ccn", "distance_km", "approximate")
     places_asked = materialise(asked.join(near, "query_zip"), "places-asked")
-    answers = hospital_prices(store, places_asked, store.hospitals, as_of, shown, failed=failed)
+    with_files = _asked(store, places_asked, store.hospitals, as_of)
+    reviewed = _reviewed_lines(store, with_files)
+    answers = _hospital_prices(with_files, reviewed, shown, failed)
     results = places_asked.join(answers, ["ccn", "service_id"]).withColumn("distance_km", F.round("distance_km", 1))
-    return resolutions, results
+    return resolutions, results, reviewed
 
 
 def prices_at(store: Store, asked: DataFrame, as_of: Column, failed: DataFrame | None = None, shown: int = fv.SHOWN_LINES) -> DataFrame:
@@ -201,8 +214,11 @@ def payloads(store: Store, searches: DataFrame, limit: int, as_of: Column, shown
     """One JSON payload per search: ok with results and pairs, the candidates to choose from, or an error for a ZIP
     that is not listed. Absent values are written as null."""
     resolutions, results = prices(store, searches, limit, as_of, shown=shown)
+    return _payloads(store, searches, resolutions, materialise(results, "results"))
+
+
+def _payloads(store: Store, searches: DataFrame, resolutions: DataFrame, results: DataFrame) -> DataFrame:
     unknown = places.unknown_zips(searches.select("zip"), store.zcta).select("zip", F.col("reason").alias("error"))
-    results = materialise(results, "results")
     pairs = verdicts.priced_pairs(results, ["query_zip", "service_id"]).select("query_zip", "service_id", F.col("pairs").alias("comparisons"), "unpriced")
     hospitals = results.groupBy("query_zip", "service_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", _result_for_reader().alias("row"))), lambda x, y: x["rank"] - y["rank"]), lambda r: r["row"]).alias("hospitals"))
