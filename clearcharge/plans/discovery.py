@@ -12,18 +12,32 @@ from clearcharge.session import materialise
 from clearcharge.sources import index_text
 
 
+def fetched_texts(index_fetches: DataFrame, bodies: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(fetches, lines): fetches with `text_id` and `is_index` in place of `body`, and (index_id, line_no, line) of every
+    text that is an index. What several hosts serve is one text, told by its digest, and is cut into lines once; no
+    whole text is written or carried along with a host. `bodies` (text_id, body): texts that are already kept apart."""
+    if bodies is None:
+        index_fetches = index_fetches.withColumn("text_id", F.sha2("body", 256))
+        bodies = index_fetches.filter("body IS NOT NULL").select("text_id", "body")
+        index_fetches = index_fetches.drop("body")
+    texts = bodies.dropDuplicates(["text_id"]).filter(web.looks_like_index(F.col("body")))
+    lines = materialise(index_text.index_lines(texts.select(F.col("text_id").alias("index_id"), F.col("body").alias("text"))), "index-lines")
+    known = lines.filter("line_no = 0").select(F.col("index_id").alias("text_id"), F.lit(True).alias("is_index"))
+    return index_fetches.join(known, "text_id", "left").withColumn("is_index", F.coalesce("is_index", F.lit(False))), lines
+
+
 def domain_status(index_fetches: DataFrame) -> DataFrame:
     """Per domain over its hosts in order (the bare host, then www.): the first that is an
-    index, else the last status and every reason."""
+    index, else the last status and every reason. `index_fetches` as `fetched_texts` gives them."""
     said = index_fetches.select(
-        "domain", "try_no", "host", "final_url", "body", web.index_status(F.col("status"), F.col("error"), F.col("body")).alias("state"),
-        web.index_reason(F.col("host"), F.col("status"), F.col("error"), F.col("body"), F.col("content_type")).alias("reason"))
+        "domain", "try_no", "host", "final_url", "text_id", web.fetch_status(F.col("status"), F.col("error"), F.col("is_index")).alias("state"),
+        web.fetch_reason(F.col("host"), F.col("status"), F.col("error"), F.col("is_index"), F.col("content_type")).alias("reason"))
     ok = F.col("state") == "ok"
     reasons = F.array_sort(F.collect_list(F.when(~ok, F.struct("try_no", "reason"))))
     return said.groupBy("domain").agg(
-        F.min_by(F.when(ok, F.struct("final_url", "body")), F.when(ok, F.col("try_no"))).alias("index"),
+        F.min_by(F.when(ok, F.struct("final_url", "text_id")), F.when(ok, F.col("try_no"))).alias("index"),
         F.max_by("state", "try_no").alias("last_state"), reasons.alias("reasons")).select(
-        "domain", F.when(F.col("index").isNotNull(), F.lit("ok")).otherwise(F.col("last_state")).alias("state"), "index.final_url", "index.body",
+        "domain", F.when(F.col("index").isNotNull(), F.lit("ok")).otherwise(F.col("last_state")).alias("state"), "index.final_url", "index.text_id",
         F.array_join(F.transform("reasons", lambda r: r["reason"]), "; ").alias("reason"))
 
 
@@ -43,8 +57,9 @@ class _Hosts:
     """What is known of every landed host, whoever reached it: the state of its index, and of its site (the host
     without www.) the charges files linked on its pages and the sibling hosts its pricing links point at."""
 
-    def __init__(self, index_fetches: DataFrame, links: DataFrame):
-        self.status = materialise(domain_status(index_fetches), "domain-status")
+    def __init__(self, index_fetches: DataFrame, links: DataFrame, bodies: DataFrame | None = None):
+        fetches, self.lines = fetched_texts(index_fetches, bodies)
+        self.status = materialise(domain_status(fetches), "domain-status")
         sites = links.select(web.without_www(web.host_of(F.col("page"))).alias("site"), "kind", "link", "link_host", "page", F.struct("page_id", "link_no").alias("at"))
         files = sites.filter("kind = 'file'").groupBy("site", "link").agg(F.min(F.struct("at", "page")).alias("first"))
         numbered = files.withColumn("entry_no", F.row_number().over(Window.partitionBy("site").orderBy("first.at", "link")).cast("bigint"))
@@ -143,31 +158,32 @@ def routes(hospitals: DataFrame, hosts: _Hosts, website_answers: DataFrame | Non
 
 
 def locate(hospitals: DataFrame, index_fetches: DataFrame, links: DataFrame, registry: DataFrame, probes: DataFrame,
-           website_answers: DataFrame | None = None, entry_answers: DataFrame | None = None, site_answers: DataFrame | None = None) -> DataFrame:
+           website_answers: DataFrame | None = None, entry_answers: DataFrame | None = None, site_answers: DataFrame | None = None,
+           bodies: DataFrame | None = None) -> DataFrame:
     """One row per hospital: method, domain, index_url, entry, probe outcome, reason, and the steps that led there.
 
     `hospitals`: ccn, name, address, city, state, zip. `links`: extract_links output. `probes`: url, status, error,
     content_type, disposition, head, size_bytes, ... per file address. Stored answers: `website_answers` (ccn, host,
     perhaps why), `entry_answers` (ccn, entry_no) for an index, `site_answers` (ccn, index_id: a host, entry_no, perhaps
-    why) for several files on a site."""
-    hosts = _Hosts(index_fetches, links)
+    why) for several files on a site. `index_fetches` has `body`, or `text_id` where `bodies` (text_id, body) keeps the
+    texts. Hosts that serve the same text share its entries: they are read and matched once."""
+    hosts = _Hosts(index_fetches, links, bodies)
     route = materialise(routes(hospitals, hosts, website_answers, site_answers), "routes")
-    by_index = route.filter("method IS NOT NULL AND site_url IS NULL").select("ccn", F.col("domain").alias("index_id"))
-    used = by_index.select("index_id").distinct()
-    texts = hosts.status.filter("state = 'ok'").select(F.col("domain").alias("index_id"), F.col("body").alias("text")).join(used, "index_id", "left_semi")
-    entries = materialise(index_text.parse_index(index_text.index_lines(texts)), "index-entries")
-    sizes = entries.groupBy(F.col("index_id").alias("domain")).agg(F.count("*").alias("n_entries"))
+    served = hosts.status.select("domain", "final_url", F.col("text_id").alias("index_id"))
+    by_index = materialise(route.filter("method IS NOT NULL AND site_url IS NULL").select("ccn", "domain").join(served.select("domain", "index_id"), "domain").select("ccn", "index_id"), "by-index")
+    entries = materialise(index_text.parse_index(hosts.lines.join(by_index.select("index_id").distinct(), "index_id", "left_semi")), "index-entries")
+    sizes = entries.groupBy("index_id").agg(F.count("*").alias("n_entries"))
     matched = materialise(matching.match_entries(by_index.join(hospitals, "ccn"), entries), "matches")
     tie = matching.npi_tie_break(matched.filter("verdict = 'ambiguous'"), registry)
     settled = tie.select("ccn", F.col("entry_no").alias("npi_no"), F.col("location_name").alias("npi_name"), F.col("mrf_url").alias("npi_url"), F.col("why").alias("npi_why"))
-    joined = route.join(matched.select("ccn", "verdict", "entry_no", "location_name", "mrf_url", "score", "candidates"), "ccn", "left").join(settled, "ccn", "left").join(sizes, "domain", "left")
+    joined = route.join(served, "domain", "left").join(matched.select("ccn", "verdict", "entry_no", "location_name", "mrf_url", "score", "candidates"), "ccn", "left").join(settled, "ccn", "left").join(sizes, "index_id", "left")
     answers = entry_answers.select("ccn", F.col("entry_no").alias("told_no"), (F.col("why") if "why" in entry_answers.columns else F.lit("stored")).alias("told_why")) if entry_answers is not None else None
     joined = joined.join(answers, "ccn", "left") if answers is not None else joined.withColumn("told_no", F.lit(None).cast("bigint")).withColumn("told_why", F.lit(None).cast("string"))
     picked = F.try_element_at(F.filter("candidates", lambda c: c["entry_no"] == F.col("told_no")), F.lit(1))
     by_npi, by_answer = F.col("npi_no").isNotNull(), (F.col("verdict") == "ambiguous") & F.col("npi_no").isNull() & picked.isNotNull()
     located = joined.withColumn("picked", picked).withColumn("by_answer", F.coalesce(by_answer, F.lit(False))).withColumn("by_npi", by_npi)
     chosen = located.select(
-        "ccn", "domain", "verdict", "page", "tried", "steps", "site_url", "site_source", "n_entries", "candidates", "score", "by_npi", "by_answer", "npi_why", "told_no", "told_why",
+        "ccn", "domain", "final_url", "index_id", "verdict", "page", "tried", "steps", "site_url", "site_source", "n_entries", "candidates", "score", "by_npi", "by_answer", "npi_why", "told_no", "told_why",
         F.concat("method", F.when(F.col("by_npi"), F.lit("+npi")).when(F.col("by_answer"), F.lit("+tie-break")).otherwise(F.lit(""))).alias("method"),
         F.when(F.col("site_url").isNull(), F.coalesce("entry_no", "npi_no", F.when(F.col("by_answer"), F.col("told_no")))).alias("entry_no"),
         F.coalesce("site_name", "location_name", "npi_name", F.when(F.col("by_answer"), F.col("picked.location_name"))).alias("location_name"),
@@ -175,9 +191,8 @@ def locate(hospitals: DataFrame, index_fetches: DataFrame, links: DataFrame, reg
     seen = probes.select(
         F.col("url").alias("mrf_url"), web.probe_outcome(F.col("status"), F.col("error"), F.col("content_type"), F.col("head")).alias("probe"),
         web.classify_shape(F.col("url"), F.col("content_type"), F.col("disposition"), F.col("head")).alias("shape"), "size_bytes", "last_modified", "etag", "content_type")
-    sources = entries.select(F.col("index_id").alias("domain"), "entry_no", F.col("source_page_url").alias("index_source"))
-    urls = hosts.status.select("domain", "final_url")
-    full = hospitals.select("ccn", "name").join(chosen, "ccn", "left").join(seen, "mrf_url", "left").join(urls, "domain", "left").join(sources, ["domain", "entry_no"], "left")
+    sources = entries.select("index_id", "entry_no", F.col("source_page_url").alias("index_source"))
+    full = hospitals.select("ccn", "name").join(chosen, "ccn", "left").join(seen, "mrf_url", "left").join(sources, ["index_id", "entry_no"], "left")
     reason = text.first_matching([
         (F.col("method").isNull(), F.concat(F.lit("no cms-hpt.txt or linked file located: "), F.coalesce("tried", F.lit("")))),
         (F.col("location_name").isNull(), F.concat(F.lit("index found but no entry for this hospital ("), F.coalesce("verdict", F.lit("none")), F.lit(")"))),

@@ -236,15 +236,16 @@ def locate(spark, folder):
 
     hospitals, lines, entries, nation = views.load(spark, folder, "d_raw_hospitals", "d_index_lines", "d_entries", "nation")
     texts = lines.groupBy("index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("body"))
+    texts = materialise(texts.withColumn("text_id", F.sha2("body", 256)), "index-texts")
     guessed = hospitals.select(F.col("s_nationkey").cast("string").alias("nation"), F.explode(names.domain_candidates(F.col("name"))).alias("host")).groupBy("host").agg(F.min("nation").alias("nation"))
     guessed.createOrReplaceTempView("guessed_hosts")
     nation.createOrReplaceTempView("nation")
     hosts = materialise(spark.sql(_HOSTS), "hosts")
     none = F.lit(None).cast("string")
     says = F.col("says")
-    fetches = hosts.join(texts.withColumnRenamed("index_id", "of"), F.concat(F.lit("N"), "nation") == F.col("of"), "left").select(
+    fetches = hosts.join(texts.select(F.col("index_id").alias("of"), "text_id"), F.concat(F.lit("N"), "nation") == F.col("of"), "left").select(
         F.col("host").alias("domain"), F.lit(0).alias("try_no"), "host", F.when(says == "index", 200).when(says != "dead", says.cast("int")).alias("status"), F.when(says == "dead", "ConnectError").alias("error"),
-        F.when(says == "index", F.col("body")).alias("body"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("https://"), "host", F.lit("/cms-hpt.txt")).alias("final_url"))
+        F.when(says == "index", F.col("text_id")).alias("text_id"), F.lit("text/plain").alias("content_type"), F.concat(F.lit("https://"), "host", F.lit("/cms-hpt.txt")).alias("final_url"))
     link = lambda url: F.concat(F.lit('<a href="'), url, F.lit('">price transparency</a>'))
     file_url = F.concat(F.lit("/files/"), "host", F.lit("_standardcharges.csv"))
     html = F.concat(F.when(F.col("has_file"), link(file_url)).otherwise(""), F.when(F.col("has_list"), link(F.lit("/files/shoppable_standardcharges.csv"))).otherwise(""), F.coalesce(link(F.concat(F.lit("https://"), "points_at", F.lit("/price-transparency"))), F.lit("")))
@@ -253,7 +254,7 @@ def locate(spark, folder):
     of_site = hosts.filter("has_file").select(F.concat(F.lit("https://"), "host", file_url).alias("url"), F.when(F.length("host") % 3 == 0, 404).otherwise(200).alias("status"))
     probes = of_index.unionByName(of_site).select("url", "status", none.alias("error"), F.lit("text/csv").alias("content_type"), none.alias("disposition"), F.lit("a,b").alias("head"), F.lit(1).cast("bigint").alias("size_bytes"), none.alias("last_modified"), none.alias("etag"))
     searched = hospitals.filter("s_suppkey % 4 < 3").select("ccn", F.concat(F.lit("www.group"), F.col("s_nationkey").cast("string"), F.lit(".org")).alias("host"))
-    found = discovery.locate(hospitals.drop("s_suppkey", "s_nationkey"), fetches, page_links.extract_links(landed), spark.sql(_FIRST_REGISTRY), probes, website_answers=searched)
+    found = discovery.locate(hospitals.drop("s_suppkey", "s_nationkey"), fetches, page_links.extract_links(landed), spark.sql(_FIRST_REGISTRY), probes, website_answers=searched, bodies=texts.select("text_id", "body"))
     hops = F.size(F.filter("steps", lambda x: x.startswith("a pricing link points at"))).cast("bigint")
     reason = F.when(F.col("reason").startswith("index found"), F.col("reason")).otherwise(F.element_at(F.split("reason", ":"), 1))
     return found.select("ccn", "method", "domain", "index_url", "location_name", "source_page_url", "mrf_url", hops.alias("hops"), reason.alias("reason"))

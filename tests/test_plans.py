@@ -207,3 +207,19 @@ def test_a_report_computes_what_it_is_given_once(spark, tmp_path):
     assert sorted((r["verdict"] or "", r["n"]) for r in said["comparison"].collect()) == [("", 1), ("comparable", 2), ("not found", 1)]
     assert rows(said["discovery"], "method", "n", "of") == [("cms-hpt", 1, 3)] and said["share"].first()["pairs"] == 4 and said["unresolved"].count() == 3
     assert {name: a.value for name, a in seen.items()} == {"discoveries": 3, "results": 4}
+
+
+def test_hosts_that_serve_one_text_share_its_entries(spark):
+    """Every host's own copy was parsed, written and matched before."""
+    index = "".join(f"location-name: Orsell {n} Bay Hospital\nmrf-url: https://f.org/{n}.csv\n" for n in range(6))
+    given = [(f"orsell{n}bay.com", 0, f"orsell{n}bay.com", 200, None, index if n else "<html>", "text/html", f"https://orsell{n}bay.com/cms-hpt.txt") for n in range(6)]
+    fetches = spark.createDataFrame(given, "domain string, try_no int, host string, status int, error string, body string, content_type string, final_url string")
+    links = pages.extract_links(spark.createDataFrame([], "page_id bigint, url string, html string"))
+    hosts = discovery._Hosts(fetches, links)
+    assert "body" not in hosts.status.columns and hosts.lines.count() == 13 and hosts.status.select("text_id").distinct().count() == 2
+    # The same where the texts are kept apart already.
+    apart = fetches.withColumn("text_id", F.md5("body"))
+    kept = discovery._Hosts(apart.drop("body"), links, apart.select("text_id", "body"))
+    shown = lambda h: rows(h.status, "domain", "state", "final_url", "reason")
+    assert shown(kept) == shown(hosts) and [r[1] for r in shown(kept)] == ["html"] + ["ok"] * 5
+    assert rows(kept.lines, "line_no", "line") == rows(hosts.lines, "line_no", "line")
