@@ -17,14 +17,17 @@ from clearcharge.session import broadcast_if_small, materialise
 PART_ROWS = 500_000
 
 
-def dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column], part_rows: int | None = None) -> DataFrame:
+def dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column], part_rows: int | None = None, value: Column | None = None) -> DataFrame:
     """The rows with `_part`, the number of their range, and `_row`, rising in each range. The order must tell rows
-    of a group apart: rows that are equal in it share a range."""
+    of a group apart: rows that are equal in it share a range. `value` is worked out once, as `_value`, when rows have
+    been dealt: the ranges are found by a pass of their own."""
     rows = part_rows or PART_ROWS
     parts = max(1, -(-df.count() // rows))
     # A shuffle to one range: rows that are few at the end may come from work that takes all tasks.
     ranged = df.repartitionByRange(parts, *by, *order) if parts > 1 else df.repartition(1)
-    return materialise(ranged.sortWithinPartitions(*by, *order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "dealt")
+    ranged = ranged.sortWithinPartitions(*by, *order)
+    ranged = ranged if value is None else ranged.withColumn("_value", value)
+    return materialise(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "dealt", "zstd")
 
 
 def _ahead(rows: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -36,16 +39,18 @@ def _ahead(rows: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataF
     return rows.join(broadcast_if_small(materialise(totals, "ahead")), same).drop("_p", *[f"_by_{c}" for c in by])
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, part_rows: int | None = None, value: str | None = None, before: str | None = None) -> DataFrame:
-    """`name`: a row's place in its group, from 1. With `value`, also `before`: its sum over the rows that stand before
-    this one."""
-    rows = dealt(df, by, order, part_rows)
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, part_rows: int | None = None, value: str | Column | None = None, before: str | None = None) -> DataFrame:
+    """`name`: a row's place in its group, from 1. With `value` (a column, or what to work out of a row), also `before`:
+    its sum over the rows that stand before this one."""
+    made = isinstance(value, Column)
+    rows = dealt(df, by, order, part_rows, value if made else None)
+    value = "_value" if made else value
     sums = {"n": F.count("*")} | ({"sum": F.sum(value)} if value else {})
     placed = _ahead(rows, by, sums).withColumn(name, F.col("_n") + F.col("_row") - F.col("_first") + 1)
     if value:
         inside = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
         placed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).withColumn(before, F.coalesce("_sum", F.lit(0)) + F.col("_inside")).drop("_sum", "_inside")
-    return placed.drop("_part", "_row", "_first", "_n")
+    return placed.drop("_part", "_row", "_first", "_n", "_value")
 
 
 def summed_before(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, name: str, part_rows: int | None = None) -> DataFrame:

@@ -123,11 +123,13 @@ def line_pages(found: DataFrame, keys: list[str], page_bytes: int = PAGE_BYTES,
     """keys, page (from 0), first (place of its first line), n, lines: every line of each key in order, as JSON arrays
     of about `page_bytes` each. A page begins once the lines before it fill the ones before, so however many lines a
     key has, no row is longer than a page and one line; places and sizes are added up over ranges of the lines."""
-    told = found.select(*keys, *verdicts.LINE_FIELDS, F.to_json(line_for_reader(verdicts.line_struct()), {"ignoreNullFields": "false"}).alias("line"))
+    # A line's text is several times its fields: lines are dealt as fields, with the size their text will have.
+    text_of = lambda line: F.to_json(line_for_reader(line), {"ignoreNullFields": "false"})
     order = [*verdicts.line_order(), *[F.col(c).asc_nulls_last() for c in ("gross", "discounted_cash", "minimum", "maximum")]]
-    placed = positions.numbered(told.withColumn("size", F.octet_length("line") + 1), keys, order, "place", part_rows, "size", "ahead")
-    paged = placed.select(*keys, "place", "line", F.floor(F.col("ahead") / page_bytes).alias("filled"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"])
+    size = F.octet_length(text_of(verdicts.line_struct())) + 1
+    placed = positions.numbered(found.select(*keys, *verdicts.LINE_FIELDS), keys, order, "place", part_rows, size, "ahead")
+    paged = placed.select(*keys, "place", verdicts.line_struct().alias("line"), F.floor(F.col("ahead") / page_bytes).alias("filled"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: text_of(s["line"]))
     pages = paged.groupBy(*keys, "filled").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(in_order, ","), F.lit("]")).alias("lines"))
     return pages.withColumn("page", F.row_number().over(Window.partitionBy(*keys).orderBy("filled")) - 1).drop("filled")
 

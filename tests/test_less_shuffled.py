@@ -1,9 +1,14 @@
 """Work that is done once, in all tasks, on rows no wider than needed."""
 
+import glob
+import time
+
 from pyspark.sql import functions as F
 
 from clearcharge.operators import lines, positions, verdicts
-from clearcharge.plans import audit, export
+from clearcharge.plans import audit, export, prices
+from clearcharge.registry import views
+from clearcharge.session import materialise
 
 _LINE = "k int, setting_expected string, code_type string, code string, other_codes array<string>, description string, setting string, billing_class string, modifiers string, " \
         "gross decimal(18,6), discounted_cash decimal(18,6), minimum decimal(18,6), maximum decimal(18,6), source_ref string, off_template_note string, class_from_review boolean"
@@ -57,3 +62,27 @@ def test_code_lists_do_not_look_through_the_rows_first(spark):
     assert sorted((r["item_id"], r["code_values"]) for r in found.collect() if r["code_values"]) == [("i", ["10", "9"])] * 2 and found.count() == 4
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert sum("LogicalRDD" in line or "LocalRelation" in line for line in plan.splitlines()) == 2
+
+
+def test_lines_are_dealt_without_their_text(spark, monkeypatch):
+    given = spark.createDataFrame([(1, "outpatient", "CPT", "7", ["a"], "d", None, "facility", None, None, None, None, None, f"row {n}", None, False) for n in range(30)], _LINE)
+    dealt, kept = positions.dealt, []
+    monkeypatch.setattr(positions, "dealt", lambda *args: kept.append(dealt(*args)) or kept[0])
+    pages = prices.line_pages(given, ["k"], page_bytes=900).orderBy("page").collect()
+    assert sum(p["n"] for p in pages) == 30 and len(pages) > 3 and all('"explained"' in p["lines"] for p in pages)
+    widest = max(sum(len(str(v)) for v in r) for r in kept[0].collect())
+    assert widest < min(len(p["lines"]) // p["n"] for p in pages) / 2
+
+
+def test_shuffle_files_go_with_their_job(spark, tmp_path):
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+    spark.range(1_000).write.parquet(str(tmp_path / "events.parquet"))
+    (events,) = views.load(spark, str(tmp_path), "events")
+    before = files()
+    materialise(events.repartition(4, "id"), "test-tidy")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
