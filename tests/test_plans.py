@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from clearcharge import schemas
 from clearcharge.plans import audit, discovery, export, reference_build
+from clearcharge.session import work_folder
 from clearcharge.sources import charge_csv, pages, reference_data, store
 from tests.conftest import rows
 
@@ -105,6 +107,16 @@ def test_extractions_are_replaced_whole_and_reasons_kept(spark, tmp_path):
     assert second[True]["charges"] == 1 and store.read_table(spark, root, "charges").count() == 1 and store.read_table(spark, root, "extractions").count() == 2
 
 
+def test_a_write_leaves_no_work_table_of_its_charges(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEAD + COLUMNS + "Hearing test,92557,CPT,outpatient,,10,5\n")
+    headers, charges = charge_csv.read_mrf_csv(spark, str(tmp_path / "a.csv"))
+    work = Path(work_folder(spark).removeprefix("file:"), "clearcharge")
+    before = set(work.iterdir())
+    store.write_extractions(spark, str(tmp_path / "store"), headers, charges, headers.select("file", F.lit("c" * 64).alias("checksum"), F.lit(5).cast("bigint").alias("size_bytes")), dt.datetime(2026, 1, 1))
+    assert not [p for p in set(work.iterdir()) - before if p.name.startswith(("extractions-charges", "items-first"))]
+    assert store.read_table(spark, str(tmp_path / "store"), "charges").count() == store.read_table(spark, str(tmp_path / "store"), "items").count() == 1
+
+
 @pytest.mark.parametrize("broken", ["item_codes", "charges", "files", "extractions", "commit"])
 def test_a_write_that_fails_on_the_way_leaves_the_old_extraction_whole(spark, tmp_path, monkeypatch, broken):
     path, root = tmp_path / "a.csv", str(tmp_path / "store")
